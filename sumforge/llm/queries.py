@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from sumforge.llm import bpe_codec, exact_dedup, fingerprints, packing, token_counts
+from sumforge.llm import bpe_codec, exact_dedup, fingerprints, packing, sharding, token_counts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
     "op3_packing": packing.op3,
     "op5_token_counts": token_counts.op5,
+    "op6_sharding": sharding.op6,
     "op8_exact_dedup": exact_dedup.op8,
     "op10_bpe_codec": bpe_codec.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_sharding": sharding.op6,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
