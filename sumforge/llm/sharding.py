@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from sumforge.llm._shared import table, written
 
 SHARDS = 16
-#: A part is large from this share of the capacity of one shard on; at most SHARDS times 3 times as many exist.
+#: A group is large, and placed on the driver, from this share of one shard's capacity on: so at most 3 * SHARDS / LARGE are.
 LARGE = 1 / 64
+#: A group is cut into parts of at most this share of one shard's capacity.
+CUT = 1 / 8
 #: Weights of bytes, tokens and rows in the dot product; the law is that of bytes.
 WEIGHTS = (10.0, 1.0, 1.0)
 #: Groups of a block, on average.
@@ -42,11 +44,11 @@ def _largest_first(demand: np.ndarray) -> np.ndarray:
     return np.argsort(-demand.max(axis=1), kind="stable")
 
 
-def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, large: float = LARGE, block_groups: int = BLOCK_GROUPS) -> DataFrame:
+def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, large: float = LARGE, cut: float = CUT, block_groups: int = BLOCK_GROUPS) -> DataFrame:
     """(doc_id, size, text_crc32, shard) of every row; shards nearly equal in bytes, in tokens (words) and in rows.
 
     size is the UTF-8 bytes of the text plus 1; a null text has none. Equal texts share a shard, but for groups above
-    large times a shard's capacity, which are cut into parts. Repeated rows are rows of their own; null ids are placed
+    cut times a shard's capacity, which are cut into parts. Repeated rows are rows of their own; null ids are placed
     like others. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -58,10 +60,10 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     n_groups, *totals = groups.agg(F.count(F.lit(1)), F.sum("bytes"), F.sum("words"), F.sum("rows")).first()
     totals = [max(1, t or 0) for t in totals]
     share = F.greatest(*(F.col(c) / F.lit(t) for c, t in zip(("bytes", "words", "rows"), totals, strict=True)))
-    # at most 3 / (large / shards) groups can be that large; they are cut so that each part is below that
+    # at most 3 * shards / large groups can be that large
     limit = large / shards
     heavy = groups.withColumn("share", share).where(F.col("share") > limit)
-    heavy = heavy.withColumn("parts", F.least(F.ceil(F.col("share") / limit), F.col("rows")).cast("int")).select("digest", "parts").toPandas()
+    heavy = heavy.withColumn("parts", F.least(F.ceil(F.col("share") * shards / cut), F.col("rows")).cast("int")).select("digest", "parts").toPandas()
     residual = np.full((shards, 3), 1 / shards)
     spark = rows.sparkSession
     placed_heavy = spark.createDataFrame([], "digest string, part int, shard int, parts int")
