@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sumforge.llm import bpe_codec, exact_dedup, fingerprints, packing, sharding, token_counts
+from sumforge.llm import bpe_codec, exact_dedup, fingerprints, packing, quality, sharding, token_counts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5,
     "op6_sharding": sharding.op6,
     "op8_exact_dedup": exact_dedup.op8,
+    "op9_quality": quality.op9,
     "op10_bpe_codec": bpe_codec.op10,
 }
 
