@@ -46,6 +46,6 @@ def test_without_labels_all_stay(spark, documents, texts):
 
 def test_risk_uses_no_negatives():
     rng = np.random.default_rng(0)
-    good, bad = rng.normal(2, 1, (900, 2)), rng.normal(-2, 1, (100, 2))
-    model = quality.fit(good[:300], np.concatenate([good[300:], bad, bad]), 0.7)
-    assert (model.score(good[300:]) > 0.5).mean() > 0.95 and (model.score(bad) < 0.5).mean() > 0.9
+    good, bad = rng.normal(2, 1, (6000, 2)), rng.normal(-2, 1, (1000, 2))
+    model = quality.fit(good[:3000], np.concatenate([good[3000:], bad]), 0.75)
+    assert (model.score(good[3000:]) > 0.5).mean() > 0.95 and (model.score(bad) < 0.5).mean() > 0.9
