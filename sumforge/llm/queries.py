@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sumforge.llm import bpe_codec, exact_dedup, fingerprints, packing, quality, sharding, token_counts
+from sumforge.llm import bpe_codec, exact_dedup, fingerprints, minhash, packing, quality, sharding, token_counts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
     "op3_packing": packing.op3,
     "op5_token_counts": token_counts.op5,
     "op6_sharding": sharding.op6,
+    "op7_minhash": minhash.op7,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_quality": quality.op9,
     "op10_bpe_codec": bpe_codec.op10,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_sharding": sharding.op6,
+    "op7_minhash": minhash.op7,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
