@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sumforge.llm import bpe_codec, exact_dedup, fingerprints, minhash, packing, quality, sharding, token_counts
+from sumforge.llm import bpe_codec, exact_dedup, fingerprints, minhash, packing, quality, sharding, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
+    "op2_substring_dedup": substring_dedup.op2,
     "op3_packing": packing.op3,
+    "op4_suffix_dedup": suffix_dedup.op4,
     "op5_token_counts": token_counts.op5,
     "op6_sharding": sharding.op6,
     "op7_minhash": minhash.op7,
