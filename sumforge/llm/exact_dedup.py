@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sumforge.llm._shared import table, written
@@ -78,6 +78,21 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     return marked.select(F.col("doc_id").alias(id_col), keep.alias("keep_id"), "group_size", F.coalesce(keep == F.col("doc_id"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that dedup() keeps, with all their columns; of rows repeated with one id and text, one.
+
+    Rows without an id all stay, unless a row with an id has the same text.
+    """
+    marks = dedup(docs, id_col=id_col, text_col=text_col)
+    kept = marks.where("kept").select(F.col(id_col).alias("__id")).distinct()
+    unnamed = marks.where(F.col(id_col).isNull() & F.col("keep_id").isNull()).select(F.col("text_sha256").alias("__sha")).distinct()
+    sha = F.sha2(normalised(F.col(text_col)), 256)
+    first = Window.partitionBy(id_col, "__sha").orderBy(id_col)
+    named = docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__sha", sha).withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    rest = docs.where(F.col(id_col).isNull()).withColumn("__sha", sha).join(unnamed, "__sha", "left_semi")
+    return named.select(docs.columns).unionByName(rest.select(docs.columns))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     return dedup(table(spark, sf_dir, "documents"))

@@ -12,7 +12,9 @@ the array; only windows whose suffix has such a neighbour are compared, by 128 b
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sumforge.llm._shared import table
 from sumforge.llm.repeats import Kind, anchors, gram_hashes, removed, repeated, window_hashes
@@ -177,3 +179,38 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     return dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def cut_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """docs with the repeated strings cut from the texts, all columns kept; chars_col gets the new length.
+
+    What is cut are the spans of dedup(), less the bytes of a character that lies across an edge: such a character stays.
+    """
+    spans = dedup(docs, id_col=id_col, text_col=text_col).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).dropDuplicates(["__id"])
+    columns = docs.columns
+    at, found = columns.index(text_col), len(columns) + 1
+    joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, cut in zip(batch.column(at).to_pylist(), batch.column(found).to_pylist(), strict=True):
+                if cut:
+                    data, edges = text.encode("utf-8", "surrogatepass"), []
+                    for s in cut:
+                        a, b = s["start"], s["stop"]
+                        while a < len(data) and data[a] & 0xC0 == 0x80:
+                            a += 1
+                        while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
+                            b -= 1
+                        edges.append((a, max(a, b)))
+                    text = _without(text, edges).decode("utf-8", "surrogatepass")
+                out.append(text)
+            kept = batch.select(columns)
+            kept = kept.set_column(at, text_col, pa.array(out, kept.schema.field(at).type))
+            if chars_col in columns:
+                k = columns.index(chars_col)
+                kept = kept.set_column(k, chars_col, pa.array([None if t is None else len(t) for t in out], kept.schema.field(k).type))
+            yield kept
+
+    return joined.mapInArrow(run, docs.schema)
