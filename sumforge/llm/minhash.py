@@ -7,7 +7,8 @@ those of independent hashes, and an element's later ranks are not drawn once eve
 Documents with equal shingle sets are one node. Nodes that agree in a band of their signatures are candidates. First
 every node of a bucket is held against the bucket's smallest one, on full sets, and the links found are merged. Only
 buckets that still hold several components are looked at again: there each node outside the largest component is held
-against all nodes of other components, in tiles of bounded size. So every candidate pair is either confirmed, refuted
+against a few hashed nodes of that one, and what is still apart against all nodes of other components, in tiles of
+bounded size. So every candidate pair is either confirmed, refuted
 or already connected, and copies are never expanded into pairs.
 """
 
@@ -27,9 +28,12 @@ from sumforge.llm.graph import components
 #: 25 bands of 5 slots miss a pair of similarity 0.8 once in 20,000 times.
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-#: Pairs whose signatures agree in less than this share are not held against each other: 0.8 less 5.6 deviations.
-LEAST_ESTIMATE = 0.6
+#: Pairs whose signatures agree in less than this share are not held against each other: 0.8 less four deviations.
+LEAST_ESTIMATE = 0.66
+#: Steps, and nodes of a bucket's largest component in each, that the others are held against before all are.
+ROUNDS, HUBS = 1, 2
 TILE = 1024
+BITS = 4096
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -111,39 +115,57 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> Da
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, set binary) of the documents in ids(id)."""
+    """(id, n, set, bits) of the documents in ids(id): size, full set, and a bitmap of which hashes modulo BITS occur."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], ["id", "n", "set", "bits"])
 
-    return source.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    return source.mapInArrow(run, "id long, n long, set binary, bits binary").dropDuplicates(["id"])
 
 
-def agreement(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return (one == other).mean(axis=-1)
+def bitmap(elements: np.ndarray) -> bytes:
+    flags = np.zeros(BITS, bool)
+    flags[(elements % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose signatures agree enough."""
-    sig = nodes.select(F.col("id"), F.col("sig"))
-    both = pairs.join(sig.withColumnsRenamed({"id": "u", "sig": "s1"}), "u").join(sig.withColumnsRenamed({"id": "v", "sig": "s2"}), "v").select("u", "v", "s1", "s2")
+def possible(sig1: np.ndarray, n1, bits1: np.ndarray, sig2: np.ndarray, n2, bits2: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs are worth holding against each other on full sets.
+
+    A bit that only one set has stands for at least one element that the other lacks, which bounds the intersection; that
+    bound loses no pair. The signatures' estimate is for sets too large for the bitmap.
+    """
+    both = np.minimum(n1 - np.bitwise_count(bits1 & ~bits2).sum(axis=-1, dtype=np.int64), n2 - np.bitwise_count(bits2 & ~bits1).sum(axis=-1, dtype=np.int64))
+    fits = 100 * both >= percent * (n1 + n2 - both)
+    fits &= (sig1 == sig2).mean(axis=-1) >= LEAST_ESTIMATE - (0.8 - percent / 100)
+    return fits
+
+
+def _arrays(columns, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sig, n, bits = columns
+    return np.frombuffer(b"".join(sig.to_pylist()), "<u2").reshape(rows, SLOTS), n.to_numpy(zero_copy_only=False), np.frombuffer(b"".join(bits.to_pylist()), "<u8").reshape(rows, BITS // 64)
+
+
+def _likely(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that are possible() by their cards (id, sig, n, bits)."""
+    side = lambda end, k: cards.withColumnsRenamed({"id": end, "sig": f"s{k}", "n": f"n{k}", "bits": f"b{k}"})
+    both = pairs.join(side("u", 1), "u").join(side("v", 2), "v").select("u", "v", "s1", "n1", "b1", "s2", "n2", "b2")
 
     def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(len(batch), SLOTS) for k in (2, 3))
-            yield batch.select(["u", "v"]).filter(pa.array(agreement(a, b) >= LEAST_ESTIMATE))
+            if len(batch):
+                one, other = (_arrays([batch.column(k + j) for j in range(3)], len(batch)) for k in (2, 5))
+                yield batch.select(["u", "v"]).filter(pa.array(possible(*one, *other, percent)))
 
     return both.mapInArrow(run, "u long, v long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= percent * union."""
-    both = pairs.join(sets.withColumnsRenamed({"id": "u", "set": "a"}), "u").join(sets.withColumnsRenamed({"id": "v", "set": "b"}), "v").select("u", "v", "a", "b")
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v").select("u", "v", "a", "b")
 
     def run(batches):
         for batch in batches:
@@ -157,29 +179,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _tiles(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def _per_bucket(members: DataFrame) -> DataFrame:
+    """(key, n, top): size and largest component, as struct(n, component), of buckets that hold several."""
+    per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+
+
+def _to_largest(members: DataFrame, step: int) -> DataFrame:
+    """Pairs of each node outside its bucket's largest component with HUBS nodes of that one, others in each step and bucket."""
+    rows = members.join(_per_bucket(members).select("key", F.col("top.component").alias("top")), "key")
+    picks = [F.min_by("id", F.xxhash64("id", "key", F.lit(step * HUBS + k))) for k in range(HUBS)]
+    hubs = rows.where("component = top").groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("hubs"))
+    pairs = rows.where("component <> top").join(hubs, "key").select("id", F.explode("hubs").alias("hub"))
+    return pairs.select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
+
+
+def _tiles(members: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
     """Likely pairs across components in buckets that hold several; members has key, id, component.
 
     A bucket's nodes outside its largest component meet all its nodes; both sides are cut into tiles of about TILE, so a
     bucket of any size is spread over as many groups as it takes.
     """
-    per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    per = _per_bucket(members)
     cut = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
     per = per.select("key", F.col("top.component").alias("top"), cut(F.col("n")).alias("all_tiles"), cut(F.col("n") - F.col("top.n")).alias("few_tiles"))
-    rows = members.join(per, "key").join(nodes.select("id", "sig"), "id")
+    rows = members.join(per, "key").join(cards, "id")
     tile = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
-    wide = rows.select("key", tile(F.col("all_tiles")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("few_tiles") - 1)).alias("j"), F.lit(False).alias("few"), "id", "component", "sig")
-    few = rows.where("component <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("all_tiles") - 1)).alias("i"), tile(F.col("few_tiles")).alias("j"), F.lit(True).alias("few"), "id", "component", "sig")
+    wide = rows.select("key", tile(F.col("all_tiles")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("few_tiles") - 1)).alias("j"), F.lit(False).alias("few"), "id", "component", "sig", "n", "bits")
+    few = rows.where("component <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("all_tiles") - 1)).alias("i"), tile(F.col("few_tiles")).alias("j"), F.lit(True).alias("few"), "id", "component", "sig", "n", "bits")
 
     def run(group: pa.Table) -> pa.Table:
         flag = group.column("few").to_numpy(zero_copy_only=False)
         ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(ids), SLOTS)
+        sig, n, bits = _arrays([group.column(k) for k in ("sig", "n", "bits")], len(ids))
         others = np.flatnonzero(~flag)
         u, v = [], []
         for k in np.flatnonzero(flag):
-            near = others[(agreement(sig[others], sig[k]) >= LEAST_ESTIMATE) & (comp[others] != comp[k])]
+            apart = others[comp[others] != comp[k]]
+            near = apart[possible(sig[apart], n[apart], bits[apart], sig[k], n[k], bits[k], percent)]
             u += [np.maximum(ids[near], ids[k])]
             v += [np.minimum(ids[near], ids[k])]
         return pa.table({"u": np.concatenate(u or [np.zeros(0, np.int64)]), "v": np.concatenate(v or [np.zeros(0, np.int64)])})
@@ -202,19 +239,19 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keys = nodes.select(band.alias("key"), "id")
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     members = written(keys.join(hubs, "key"), "near-buckets")
-    pairs = _likely(members.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct(), nodes)
-    pairs = written(pairs, "near-pairs")
-    ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    options = {"id_col": id_col, "text_col": text_col, "shingle": shingle}
-    sets = written(_full_sets(docs, ends, **options), "near-sets")
-    links = written(_confirmed(pairs, sets, percent), "near-links")
-    found = written(components(links), "near-components")
-    labelled = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    more = written(_tiles(labelled, nodes).join(pairs, ["u", "v"], "left_anti"), "near-pairs")
-    if not more.isEmpty():
-        ends = more.select(F.col("u").alias("id")).unionByName(more.select(F.col("v").alias("id"))).distinct()
-        links = links.unionByName(_confirmed(more, written(_full_sets(docs, ends, **options), "near-sets"), percent))
+    sets = written(_full_sets(docs, members.select("id").distinct(), id_col=id_col, text_col=text_col, shingle=shingle), "near-sets")
+    cards = written(nodes.join(sets.select("id", "n", "bits"), "id").select("id", "sig", "n", "bits"), "near-cards")
+    tried = written(_likely(members.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct(), cards, percent), "near-pairs")
+    found = written(components(written(_confirmed(tried, sets, percent), "near-links")), "near-components")
+    for step in (*range(ROUNDS), None):
+        labelled = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        pairs = _tiles(labelled, cards, percent) if step is None else _likely(_to_largest(labelled, step), cards, percent)
+        pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "near-pairs")
+        if pairs.isEmpty():
+            continue
+        links = found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(_confirmed(pairs, sets, percent))
         found = written(components(links), "near-components")
+        tried = tried.unionByName(pairs)
     classes = nodes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
