@@ -50,11 +50,11 @@ def negatives(pairs: DataFrame, members: DataFrame, *, k: int = 3, seed: int = 4
     draw; with replacement. Rows stay only if there is another cluster."""
     numbered = members.withColumn("at", F.row_number().over(Window.partitionBy("cluster").orderBy("id")) - 1)
     clusters = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    clusters = clusters.withColumn("c", F.row_number().over(Window.orderBy("cluster")) - 1).withColumn("C", F.count(F.lit(1)).over(Window.partitionBy()))
-    own = pairs.join(clusters.select("cluster", "c", "C"), "cluster").where("C > 1")
+    clusters = clusters.withColumn("c", F.row_number().over(Window.orderBy("cluster")) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+    own = pairs.join(clusters.select("cluster", "c", "total"), "cluster").where("total > 1")
     slots = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     key = [F.lit(str(seed)), F.col("query_id").cast("string"), F.col("positive_id").cast("string"), F.col("j").cast("string")]
-    drawn = draw(F.lit("c"), *key) % (F.col("C") - 1)
+    drawn = draw(F.lit("c"), *key) % (F.col("total") - 1)
     slots = slots.withColumn("other", drawn + (drawn >= F.col("c")).cast("long")).withColumn("pick", draw(F.lit("m"), *key))
     far = clusters.select(F.col("c").alias("other"), F.col("cluster").alias("other_cluster"), "size")
     slots = slots.join(far, "other").withColumn("at", F.col("pick") % F.col("size"))
