@@ -92,6 +92,26 @@ def anchors(grams: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return owner[first], first, np.r_[first[1:] - 1, n - 1]
 
 
+class Rolling:
+    """Hashes of any runs of a sequence, 64 bits each, from prefix sums of a polynomial over scrambled symbols."""
+
+    def __init__(self, symbols: np.ndarray, base: int, salt: int):
+        n = len(symbols)
+        values = mix(symbols.astype(np.uint64) + np.uint64(salt))
+        values *= np.cumprod(np.full(n, base, np.uint64))
+        self.sums = np.empty(n + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum(values, out=self.sums[1:])
+        self.back = np.cumprod(np.full(n, pow(base, -1, 2**64), np.uint64))
+
+    def of(self, starts: np.ndarray, sizes) -> np.ndarray:
+        return (self.sums[starts + sizes] - self.sums[starts]) * self.back[starts]
+
+
+def rolling_pair(symbols: np.ndarray) -> tuple[Rolling, Rolling]:
+    return Rolling(symbols, 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D), Rolling(symbols, 0xD1342543DE82EF95, 0x5851F42D4C957F2D)
+
+
 def window_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
     """128 bits of hash for each window: n by 2."""
     return np.stack([gram_hashes(symbols, size), gram_hashes(symbols.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D), size)], axis=1)
@@ -150,6 +170,7 @@ def _emit(rows: DataFrame, kind: Kind, hot: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            found_key, found_doc, found_start, found_data = [], [], [], []
             for doc, text, shared, often in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 wanted = np.array(often if hot else shared, np.int64)
                 if not len(wanted):
@@ -159,18 +180,22 @@ def _emit(rows: DataFrame, kind: Kind, hot: bool) -> DataFrame:
                 at, first, last = anchors(grams, L - kind.gram + 1)
                 key = grams[at].view(np.int64)
                 go = np.flatnonzero(np.isin(key, wanted))
-                out = [(int(key[k]), int(first[k]), int(last[k])) for k in go]
+                out = list(zip(key[go].tolist(), first[go].tolist(), last[go].tolist(), strict=True))
                 if hot:
                     cores = gram_hashes(symbols, L - BLOCK + 1).view(np.int64)
                     cut = []
-                    for k in go:
-                        a, lo, hi = int(at[k]), int(first[k]), int(last[k])
+                    for a, lo, hi in zip(at[go].tolist(), first[go].tolist(), last[go].tolist(), strict=True):
                         for b in range((a - hi) // BLOCK, (a - lo) // BLOCK + 1):
-                            key2 = int(cores[a - b * BLOCK]) ^ b
-                            cut.append((key2, max(lo, a - (b + 1) * BLOCK + 1), min(hi, a - b * BLOCK)))
+                            cut.append((int(cores[a - b * BLOCK]) ^ b, max(lo, a - (b + 1) * BLOCK + 1), min(hi, a - b * BLOCK)))
                     out = cut
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in out], pa.int64()), pa.array([doc] * len(out), pa.int64()), pa.array([s for _, s, _ in out], pa.int64()), pa.array([symbols[s : e + L].tobytes() for _, s, e in out], pa.binary())], ["key", "doc_id", "start", "data"])
+                width, data = symbols.itemsize, symbols.tobytes()
+                found_doc += [doc] * len(out)
+                for k, s, e in out:
+                    found_key.append(k)
+                    found_start.append(s)
+                    found_data.append(data[s * width : (e + L) * width])
+            if found_key:
+                yield pa.RecordBatch.from_arrays([pa.array(found_key, pa.int64()), pa.array(found_doc, pa.int64()), pa.array(found_start, pa.int64()), pa.array(found_data, pa.binary())], ["key", "doc_id", "start", "data"])
 
     return rows.select("doc_id", "text", "keys", "hot_keys").mapInArrow(run, CONTEXT)
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from sumforge.llm._shared import Memo, table
-from sumforge.llm.repeats import Kind, gram_hashes, removed, repeated, window_hashes
+from sumforge.llm.repeats import Kind, gram_hashes, removed, repeated, rolling_pair
 
 WINDOW, BLOCK_WORDS = 50, 25
 _words = Memo(xxhash.xxh3_64_intdigest, 500_000)
@@ -58,7 +58,8 @@ def repeated_windows(kind: Kind, contexts: list[np.ndarray], ids: np.ndarray, st
     window = window[total[window + L - BLOCK_WORDS + 1] > total[window]]
     exact = np.zeros(len(data), bool)
     if len(window):
-        exact[window] = repeated(window_hashes(data, L)[window], doc[window], False)
+        one, other = rolling_pair(data)
+        exact[window] = repeated(np.stack([one.of(window, L), other.of(window, L)], axis=1), doc[window], False)
     return [exact[a : b - L + 1] for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
 
 

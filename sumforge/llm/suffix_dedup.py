@@ -4,7 +4,7 @@ The suffix array is built by linear grouping: suffixes are grouped by their Lynd
 descending order with pointers to the previous smaller group, and then each group's order is emitted; no symbol is ever
 renamed recursively.
 
-Its symbols are phrases: texts are parsed at local minima of a rolling hash, a phrase every 24 bytes or so, which puts
+Its symbols are phrases: texts are parsed at local minima of a rolling hash, a phrase every 36 bytes or so, which puts
 the same borders into equal strings wherever they stand. Suffixes that share a long prefix of phrases are neighbours in
 the array; only windows whose suffix has such a neighbour are compared, by 128 bits of hash of all their 400 bytes.
 """
@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumforge.llm._shared import table
-from sumforge.llm.repeats import Kind, anchors, gram_hashes, removed, repeated, window_hashes
+from sumforge.llm.repeats import Kind, anchors, gram_hashes, removed, repeated, rolling_pair
 
 WINDOW = 400
 #: A phrase border is the least hash of PHRASE_GRAM bytes among PHRASE_SPAN neighbours.
-PHRASE_GRAM, PHRASE_SPAN = 8, 48
+PHRASE_GRAM, PHRASE_SPAN = 8, 72
 _REACH = PHRASE_GRAM + PHRASE_SPAN
 #: Equal windows share at least so many bytes of whole phrases from their first inner border on.
 _SHARED = WINDOW - 4 * _REACH
@@ -116,19 +116,13 @@ def repeated_windows(kind: Kind, contexts: list[np.ndarray], ids: np.ndarray, st
     begin = ends - sizes
     cut = borders(data)
     flags = np.zeros(len(data), bool)
+    one, other = rolling_pair(data)
     if len(cut) > 1:
         # phrases by content; the last one is open
-        sizes_of = np.diff(np.r_[cut, len(data)])
-        prefix = np.zeros((len(cut), 2), np.uint64)
-        mixed = gram_hashes(data, 1)
-        powers = np.cumprod(np.full(len(data), 0x9E3779B97F4A7C15 | 1, np.uint64))
-        summed = np.r_[np.uint64(0), np.cumsum(mixed * powers)]
-        inverse = np.cumprod(np.full(len(data), pow(0x9E3779B97F4A7C15 | 1, -1, 2**64), np.uint64))
-        prefix = (summed[cut + sizes_of] - summed[cut]) * inverse[cut]
-        sa = suffix_array(np.unique(prefix, return_inverse=True)[1])
+        sa = suffix_array(np.unique(one.of(cut, np.diff(np.r_[cut, len(data)])), return_inverse=True)[1])
         at = cut[sa]
         room = at + _SHARED <= len(data)
-        head = np.where(room, (summed[np.minimum(at + _SHARED, len(data))] - summed[at]) * inverse[at], 0)
+        head = one.of(np.where(room, at, 0), _SHARED)
         near = room[1:] & room[:-1] & (head[1:] == head[:-1])
         hit = np.zeros(len(cut), bool)
         hit[sa] = np.r_[near, False] | np.r_[False, near]
@@ -141,7 +135,7 @@ def repeated_windows(kind: Kind, contexts: list[np.ndarray], ids: np.ndarray, st
     check = np.flatnonzero(flags & owned)
     exact = np.zeros(len(data), bool)
     if len(check):
-        exact[check] = repeated(window_hashes(data, L)[check], np.zeros(len(check), np.int64), True)
+        exact[check] = repeated(np.stack([one.of(check, L), other.of(check, L)], axis=1), np.zeros(len(check), np.int64), True)
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(contexts)
     for (same, a, b) in zip(classes.values(), begin.tolist(), ends.tolist(), strict=True):
         found = exact[a : b - L + 1] if len(same) == 1 else np.ones(b - a - L + 1, bool)
