@@ -16,7 +16,7 @@ from sumforge.llm._shared import Memo, table
 from sumforge.llm.repeats import Kind, gram_hashes, removed, repeated, rolling_pair
 
 WINDOW, BLOCK_WORDS = 50, 25
-_words = Memo(xxhash.xxh3_64_intdigest, 500_000)
+_words = Memo(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def _split(text: str | None) -> list[bytes]:
