@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sumforge.functions import expressions as E
 from sumforge.functions import latex as L
+from sumforge.functions import latex_scan
 from sumforge.sources.tables import sql_text, table
 
 GOLDEN = {
@@ -38,6 +40,30 @@ FLAGS = {
 }
 
 
+CHAINS = {
+    "a = b = c": ("a", "b | c", None), r"I = \int_0^1 f(x) dx = 42": ("I", r"\int_{0}^{1}f(x)dx | 42", None), r"\sin^2(x) + \cos^2(x) = 1 = \sec^2(x) - \tan^2(x)": (r"\sin(x)^{2}+ \cos(x)^{2}", r"1 | \sec(x)^{2}- \tan(x)^{2}", None),
+    r"\int_0^1 x^2 dx = \frac{1}{3}": (r"\int_{0}^{1}x^2 dx", r"\frac{1}{3}", None), r"\sin(x) + \cos(x)": (r"\sin(x)+ \cos(x)", "", None), r"A \approx B ≈ C": ("A", "B | C", None),
+    r"\int_{0}^{\infty} \frac{1}{(x-\log x)^2}dx≈2.51792": (r"\int_{0}^{\infty}\frac{1}{(x-\log(x))^2}dx", "2.51792", None), r"\begin{align} f(x) &= x^2 \\ &+ 2x + 1 \end{align}": ("f(x)", "x^2 + 2x + 1", None),
+    r"f(x) = \begin{cases} 1 \end{cases}": (None, "", "contains_piecewise_function"), "": (None, "", "empty"), "   ": (None, "", "empty_after_parsing"),
+}
+INTEGRALS = {
+    r"\int_0^1 x^2 dx": ("x**2", "x", "0", "1", "definite", None), r"\int \frac{\sin x}{x} dx": ("sin(x)/x", "x", None, None, "indefinite", None), r"\int_{0}^{\infty} e^{-x^2} dx": ("E**(-x**2)", "x", "0", "oo", "definite", None),
+    r"\int \sqrt{1-x^2}\, dx": ("sqrt(-x**2 + 1)", "x", None, None, "indefinite", None), "x^2": (None, None, None, None, None, "not_integral_object"), r"\int x^2": (None, None, None, None, None, "no_differential"),
+}
+
+
+def normalize_latex(spark, d):
+    rows = spark.createDataFrame([(k, k) for k in CHAINS], "id string, latex string")
+    return latex_scan.normalized(rows).select(F.col("id").alias("input"), "leading", F.array_join("equivalents", " | ").alias("equivalents"), "reason")
+
+
+def parse_integrals(spark, d):
+    """Integrals of a table, read and brought into canonical form."""
+    rows = spark.createDataFrame([(k, k) for k in INTEGRALS], "id string, latex string")
+    found = latex_scan.integrals(rows).withColumn("canonical", E.describe("integrand")["canonical"])
+    return found.select(F.col("id").alias("input"), F.col("canonical").alias("integrand"), "variable", "lower", "upper", "kind", "error")
+
+
 def _golden(function, cases):
     def query(spark, d):
         rows = spark.createDataFrame([(k,) for k in cases], "input string")
@@ -65,7 +91,7 @@ def differential_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(t, F.lit(r"\$\$"), F.lit(0))).alias("dollars"), L.inequality(t).alias("inequality"))
 
 
-QUERIES = {"extract_display_math": extract_display_math, "latex_reject_cascade": latex_reject_cascade, "differential_scan": differential_scan}
+QUERIES = {"extract_display_math": extract_display_math, "latex_reject_cascade": latex_reject_cascade, "differential_scan": differential_scan, "normalize_latex": normalize_latex, "parse_integrals": parse_integrals}
 QUERIES |= {name: _golden(*x) for name, x in (GOLDEN | FLAGS).items()}
 
 _W = r"[^\p{L}\p{N}_]"
@@ -82,6 +108,13 @@ def _sql_rule(p: str) -> str:
 
 
 ORACLE_SQL = {name: _expected(cases) for name, (_, cases) in (GOLDEN | FLAGS).items()}
+
+
+def _rows(cases, names: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(sql_text(x) for x in (k, *v)) + ")" for k, v in cases.items()) + f") t({names})"
+
+
+ORACLE_SQL |= {"normalize_latex": _rows(CHAINS, "input, leading, equivalents, reason"), "parse_integrals": _rows(INTEGRALS, "input, integrand, variable, lower, upper, kind, error")}
 ORACLE_SQL |= {
     "extract_display_math": r"""WITH m AS (
   SELECT doc_id, 0 AS k, unnest(regexp_extract_all(text, '(?s)\$\$(.+?)\$\$', 1)) AS l FROM documents UNION ALL
