@@ -215,6 +215,8 @@ def power(base: tuple, e: tuple) -> tuple:
         return ONE
     if e == ONE or base == ONE:
         return base
+    if base == ("sym", "E"):
+        return ("exp", e)
     if e[0] == "num":
         n = e[1]
         if abs(n) > MAX_EXPONENT:

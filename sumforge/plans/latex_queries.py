@@ -47,14 +47,14 @@ CHAINS = {
     r"f(x) = \begin{cases} 1 \end{cases}": (None, "", "contains_piecewise_function"), "": (None, "", "empty"), "   ": (None, "", "empty_after_parsing"),
 }
 INTEGRALS = {
-    r"\int_0^1 x^2 dx": ("x**2", "x", "0", "1", "definite", None), r"\int \frac{\sin x}{x} dx": ("sin(x)/x", "x", None, None, "indefinite", None), r"\int_{0}^{\infty} e^{-x^2} dx": ("E**(-x**2)", "x", "0", "oo", "definite", None),
+    r"\int_0^1 x^2 dx": ("x**2", "x", "0", "1", "definite", None), r"\int \frac{\sin x}{x} dx": ("sin(x)/x", "x", None, None, "indefinite", None), r"\int_{0}^{\infty} e^{-x^2} dx": ("exp(-x**2)", "x", "0", "oo", "definite", None),
     r"\int \sqrt{1-x^2}\, dx": ("sqrt(-x**2 + 1)", "x", None, None, "indefinite", None), "x^2": (None, None, None, None, None, "not_integral_object"), r"\int x^2": (None, None, None, None, None, "no_differential"),
 }
 
 
 def normalize_latex(spark, d):
     rows = spark.createDataFrame([(k, k) for k in CHAINS], "id string, latex string")
-    return latex_scan.normalized(rows).select(F.col("id").alias("input"), "leading", F.array_join("equivalents", " | ").alias("equivalents"), "reason")
+    return latex_scan.normalized(rows).select(F.col("id").alias("input"), F.col("leading").alias("first_form"), F.array_join("equivalents", " | ").alias("equivalents"), "reason")
 
 
 def parse_integrals(spark, d):
@@ -114,7 +114,7 @@ def _rows(cases, names: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(sql_text(x) for x in (k, *v)) + ")" for k, v in cases.items()) + f") t({names})"
 
 
-ORACLE_SQL |= {"normalize_latex": _rows(CHAINS, "input, leading, equivalents, reason"), "parse_integrals": _rows(INTEGRALS, "input, integrand, variable, lower, upper, kind, error")}
+ORACLE_SQL |= {"normalize_latex": _rows(CHAINS, "input, first_form, equivalents, reason"), "parse_integrals": _rows(INTEGRALS, "input, integrand, variable, lower, upper, kind, error")}
 ORACLE_SQL |= {
     "extract_display_math": r"""WITH m AS (
   SELECT doc_id, 0 AS k, unnest(regexp_extract_all(text, '(?s)\$\$(.+?)\$\$', 1)) AS l FROM documents UNION ALL
