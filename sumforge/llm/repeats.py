@@ -32,6 +32,7 @@ HOT = 4096
 VERY_HOT = 20_000
 BLOCK = 32
 BUCKET_BYTES = 2_000_000
+BATCH_BYTES = 4_000_000
 _BIG = np.iinfo(np.int64).max
 _MAX = np.iinfo(np.uint64).max
 CONTEXT = "key long, doc_id long, start long, data binary"
@@ -168,14 +169,18 @@ def _emit(rows: DataFrame, kind: Kind, hot: bool) -> DataFrame:
     """Contexts of the anchors in keys; those in hot_keys are left out, or they alone are cut into blocks."""
     L = kind.window
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        keys, ids, starts, data = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())], ["key", "doc_id", "start", "data"])
+
     def run(batches):
+        found, size = [], 0
         for batch in batches:
-            found_key, found_doc, found_start, found_data = [], [], [], []
-            for doc, text, shared, often in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                wanted = np.array(often if hot else shared, np.int64)
+            for doc, text, shared, often in zip(*(batch.column(k) for k in range(4)), strict=True):
+                wanted = np.array((often if hot else shared).as_py(), np.int64)
                 if not len(wanted):
                     continue
-                _, symbols = kind.parse(text)
+                _, symbols = kind.parse(text.as_py())
                 grams = gram_hashes(symbols, kind.gram)
                 at, first, last = anchors(grams, L - kind.gram + 1)
                 key = grams[at].view(np.int64)
@@ -188,14 +193,15 @@ def _emit(rows: DataFrame, kind: Kind, hot: bool) -> DataFrame:
                         for b in range((a - hi) // BLOCK, (a - lo) // BLOCK + 1):
                             cut.append((int(cores[a - b * BLOCK]) ^ b, max(lo, a - (b + 1) * BLOCK + 1), min(hi, a - b * BLOCK)))
                     out = cut
-                width, data = symbols.itemsize, symbols.tobytes()
-                found_doc += [doc] * len(out)
+                width, data, doc = symbols.itemsize, symbols.tobytes(), doc.as_py()
                 for k, s, e in out:
-                    found_key.append(k)
-                    found_start.append(s)
-                    found_data.append(data[s * width : (e + L) * width])
-            if found_key:
-                yield pa.RecordBatch.from_arrays([pa.array(found_key, pa.int64()), pa.array(found_doc, pa.int64()), pa.array(found_start, pa.int64()), pa.array(found_data, pa.binary())], ["key", "doc_id", "start", "data"])
+                    found.append((k, doc, s, data[s * width : (e + L) * width]))
+                    size += len(found[-1][3])
+                    if size > BATCH_BYTES:
+                        yield packed(found)
+                        found, size = [], 0
+        if found:
+            yield packed(found)
 
     return rows.select("doc_id", "text", "keys", "hot_keys").mapInArrow(run, CONTEXT)
 
