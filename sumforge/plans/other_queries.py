@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sumforge.functions import expressions as E
@@ -153,10 +156,48 @@ def running_average(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity"), 6).alias("average"))
 
 
+def evenly_spaced_sample(spark, d):
+    """m = 25 rows at equal distances in the order of ids, the first and the last among them."""
+    rows = table(spark, d, "embeddings").select("vec_id")
+    n = rows.count()
+    places = spark.range(25).select(F.floor(F.col("id") * (n - 1) / 24).alias("at")).distinct()
+    numbered = rows.withColumn("at", F.row_number().over(Window.orderBy("vec_id")) - 1)  # ids only
+    return numbered.join(F.broadcast(places), "at").select(F.col("at").cast("long").alias("at"), "vec_id")
+
+
+def learning_rate_schedule(spark, d):
+    """Linear warm-up over 4 epochs, then a half cosine to zero at epoch 20."""
+    e = F.col("epoch")
+    warm = (e + 1) / 4
+    rate = F.when(e < 4, warm).otherwise(0.5 * (1 + F.cos(F.lit(math.pi) * (e - 4) / 16)))
+    return spark.range(21).withColumnRenamed("id", "epoch").select("epoch", F.round(1e-3 * rate, 9).alias("rate"))
+
+
+def training_summary(spark, d):
+    """Best step of each series, its relative improvement over the first value, and the gap of the last to it."""
+    s = _series(spark, d)
+    out = s.groupBy("name").agg(F.min("value").alias("best"), F.min_by("step", F.struct("value", "step")).alias("best_step"), F.min_by("value", "step").alias("first"), F.max_by("value", "step").alias("last"))
+    return out.select("name", "best", "best_step", F.round((F.col("first") - F.col("best")) / F.col("first"), 6).alias("improvement"), F.round(F.col("last") - F.col("best"), 6).alias("gap"))
+
+
+def metrics_history(spark, d):
+    """Each epoch's mean and the mean of all epochs so far."""
+    per = table(spark, d, "events").groupBy((F.floor(F.col("event_id") / 500)).alias("epoch")).agg(F.avg("value").alias("mean"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    w = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)  # one row for each epoch
+    return per.select("epoch", F.round("mean", 6).alias("mean"), F.round("norm", 4).alias("norm"), F.round(F.avg("mean").over(w), 6).alias("mean_so_far"))
+
+
+def parameter_histogram(spark, d):
+    rows = _forms(spark, VALID).select(E.describe("input").alias("d"), "input").where("d.valid")
+    names = F.array_except(F.array_distinct(F.regexp_extract_all("input", F.lit(r"[A-Za-z_]\w*"), F.lit(0))), F.array(*map(F.lit, ["x", "sin"])))
+    return rows.groupBy(F.size(names).alias("params")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     canonicalize, prefix_to_sexp, query_normalize, symbol_validation, vocabulary, tokenizer_encode, token_limit_filter, numeric_tokens, equivalents_generate, egraph_equiv,
     relational_ematch, seed_split, ordered_pairs_sampled, negatives, permutation_dedup, tfidf_char_ngrams, rolling_rate, rate_limit_stateful, ema_smoothing,
-    moving_average_valid, running_best, eval_schedule, generator_benchmark, startup_profile, running_average,
+    moving_average_valid, running_best, eval_schedule, generator_benchmark, startup_profile, running_average, evenly_spaced_sample, learning_rate_schedule,
+    training_summary, metrics_history, parameter_histogram,
 )}
 
 
@@ -198,5 +239,10 @@ SELECT name, round(sum(value * CASE WHEN i = 1 THEN pow(0.9, n - 1) ELSE 0.1 * p
     "eval_schedule": "SELECT step, concat_ws(',', CASE WHEN step >= 10000 AND step % 5000 = 0 THEN 'quick' END, CASE WHEN step >= 10000 AND step % 25000 = 0 THEN 'full' END, CASE WHEN step >= 10000 AND step % 100000 = 0 THEN 'deep' END) AS tiers FROM range(0, 200001, 2500) r(step)",
     "generator_benchmark": "SELECT event_type, round(avg(value), 5) AS mean, round(quantile_cont(value, 0.5), 5) AS median, round(stddev_samp(value), 5) AS stdev, min(value) AS least, max(value) AS most FROM events GROUP BY ALL",
     "startup_profile": "WITH t AS (SELECT event_type, avg(value) AS m FROM events GROUP BY ALL) SELECT event_type, round(m, 5) AS mean, round(100 * m / sum(m) OVER (), 4) AS percent FROM t",
+    "evenly_spaced_sample": "WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings) SELECT DISTINCT i AS at, vec_id FROM r, range(25) p(k) WHERE i = floor(k * (n - 1) / 24)",
+    "learning_rate_schedule": "SELECT epoch, round(0.001 * CASE WHEN epoch < 4 THEN (epoch + 1) / 4 ELSE 0.5 * (1 + cos(pi() * (epoch - 4) / 16)) END, 9) AS rate FROM range(21) r(epoch)",
+    "training_summary": "WITH s AS (SELECT event_type AS name, min(value) AS best, arg_min(event_id, (value, event_id)) AS best_step, arg_min(value, event_id) AS f, arg_max(value, event_id) AS l FROM events GROUP BY ALL) SELECT name, best, best_step, round((f - best) / f, 6) AS improvement, round(l - best, 6) AS gap FROM s",
+    "metrics_history": "WITH p AS (SELECT event_id // 500 AS epoch, avg(value) AS m, sqrt(sum(value * value)) AS n FROM events GROUP BY ALL) SELECT epoch, round(m, 6) AS mean, round(n, 4) AS norm, round(avg(m) OVER (ORDER BY epoch), 6) AS mean_so_far FROM p",
+    "parameter_histogram": "SELECT * FROM (VALUES (0, 1), (1, 1), (2, 1), (3, 1)) t(params, n)",
     "running_average": "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS average FROM lineitem GROUP BY ALL",
 }
