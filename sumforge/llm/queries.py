@@ -18,7 +18,5 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_sharding": sharding.op6,
-    "op7_minhash": minhash.op7,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
