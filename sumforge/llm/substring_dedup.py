@@ -87,3 +87,26 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     return dedup(table(spark, sf_dir, "documents")).drop("spans", "n_spans")
+
+
+ORACLE_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents
+), p AS (
+  SELECT doc_id, l, unnest(range(1, len(l) - 48)) AS i FROM w WHERE len(l) >= 50
+), k AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(l[i : i + 49], ' ')) AS h FROM p
+), m AS (
+  SELECT h, min(doc_id) AS least FROM k GROUP BY h
+), r AS MATERIALIZED (
+  SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 50)) AS j FROM k JOIN m USING (h) WHERE least < doc_id)
+), words AS (
+  SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS j FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS s FROM words WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = words.doc_id AND r.j = words.j) GROUP BY doc_id
+), gone AS (
+  SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id
+)
+SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(gone.n, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
