@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = os.environ.get("SUMFORGE_LOCAL_WORK")
         if not base:
-            if not conf.get("spark.master", "").startswith("local["):
+            if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = os.environ["SUMFORGE_LOCAL_WORK"] = tempfile.mkdtemp(prefix="sumforge-")
     return base.rstrip("/")
