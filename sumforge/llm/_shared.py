@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,14 +16,17 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir")
     if not base:
-        base = os.environ.get("SUMFORGE_LOCAL_WORK")
-        if not base:
-            if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            base = os.environ["SUMFORGE_LOCAL_WORK"] = tempfile.mkdtemp(prefix="sumforge-")
+        if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_dir()
     return base.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="sumforge-")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
