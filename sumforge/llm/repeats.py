@@ -29,10 +29,11 @@ from sumforge.llm._shared import written
 from sumforge.llm.minhash import mix
 
 HOT = 4096
-VERY_HOT = 20_000
+VERY_HOT = 8192
 BLOCK = 32
 BUCKET_BYTES = 2_000_000
 BATCH_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 _BIG = np.iinfo(np.int64).max
 _MAX = np.iinfo(np.uint64).max
 CONTEXT = "key long, doc_id long, start long, data binary"
@@ -208,14 +209,23 @@ def _emit(rows: DataFrame, kind: Kind, hot: bool) -> DataFrame:
 
 def _in_buckets(contexts: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
-        data = [np.frombuffer(x, kind.dtype) for x in group.column("data").to_pylist()]
-        ids, starts = group.column("doc_id").to_numpy(), group.column("start").to_numpy()
-        doc, lo, hi = [], [], []
-        for k, flags in enumerate(kind.kernel(kind, data, ids, starts)):
-            for a, b in runs(flags, kind.window):
-                doc.append(ids[k])
-                lo.append(starts[k] + a)
-                hi.append(starts[k] + b)
+        group = group.sort_by("key")
+        keys, sizes = group.column("key").to_numpy(), np.cumsum(pa.compute.binary_length(group.column("data")).to_numpy())
+        # keys are independent: as many at a time as make CHUNK_BYTES, so that memory follows the largest key alone
+        ends = np.r_[np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+        doc, lo, hi, at = [], [], [], 0
+        for k, end in enumerate(ends.tolist()):
+            if k + 1 < len(ends) and sizes[ends[k + 1] - 1] - (sizes[at - 1] if at else 0) <= CHUNK_BYTES:
+                continue
+            part = group.slice(at, end - at)
+            ids, starts = part.column("doc_id").to_numpy(), part.column("start").to_numpy()
+            data = [np.frombuffer(x, kind.dtype) for x in part.column("data").to_pylist()]
+            for j, flags in enumerate(kind.kernel(kind, data, ids, starts)):
+                for a, b in runs(flags, kind.window):
+                    doc.append(ids[j])
+                    lo.append(starts[j] + a)
+                    hi.append(starts[j] + b)
+            at = end
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(lo, pa.int64()), "stop": pa.array(hi, pa.int64())})
 
     return contexts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, RUN)
