@@ -43,3 +43,15 @@ def test_seed_is_followed_by_its_nearest():
 def test_same_rows_each_time(documents):
     texts = HARD * 4
     assert sorted(pack(documents(texts)).collect()) == sorted(pack(documents(texts).repartition(7)).collect())
+
+
+def test_neighbours_meet_from_all_shards(documents):
+    rng = np.random.default_rng(1)
+    words = [[f"w{k}x{rng.integers(10**6)}" for _ in range(40)] for k in range(12)]
+    texts = [" ".join(rng.choice(words[k % 12], 60)) for k in range(240)]
+    rows = pack(documents(texts), shard_tokens=8_000).collect()
+    windows = {}
+    for r in rows:
+        windows.setdefault(r.sequence_id, []).append(r.doc_id % 12)
+    alike = sum(max(map(w.count, w)) for w in windows.values()) / sum(map(len, windows.values()))
+    assert alike > 0.7
