@@ -24,12 +24,12 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def groups(instances: DataFrame, *, variants: int = 10) -> DataFrame:
-    """One row per hash, null and empty hashes left out: first canonical and family, counts by kind, distinct questions, first variants."""
+    """One row per hash, null and empty hashes left out: first canonical and family, counts by kind, distinct questions, first variants, whole."""
     some = instances.where(F.coalesce(F.col("hash"), F.lit("")) != "")
     return some.groupBy("hash").agg(
         F.min_by("family", "instance_id").alias("family"), F.count_if(F.col("kind") == "definite").alias("definite"), F.count_if(F.col("kind") != "definite").alias("indefinite"),
         F.count_distinct(F.when(F.col("question_id") != 0, F.col("question_id"))).alias("questions"), F.min("instance_id").alias("first_id"),
-        F.array_join(F.slice(F.sort_array(F.collect_set(F.substring("variant", 1, 24))), 1, variants), "|").alias("variants"),
+        F.array_join(F.slice(F.sort_array(F.collect_set("variant")), 1, variants), "|").alias("variants"),
     )
 
 

@@ -26,7 +26,7 @@ def checksum_dedup_keep_first(spark, d):
 
 
 def group_by_hash(spark, d):
-    return S.groups(_instances(spark, d))
+    return S.groups(_instances(spark, d).withColumn("variant", F.substring("variant", 1, 24)))  # as the SQL has it; the operator keeps whole variants
 
 
 def count_groups(spark, d):
