@@ -4,7 +4,8 @@ Trusted positives are the rows labelled good; unlabelled web text is a sample of
 class prior p, the risk of taking good text for bad is known from the positives and that of taking bad text for good is
 the unlabelled risk less the positives' share of it, which must not fall below zero: the non-negative unbiased risk
 p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)). It is minimised over an additive logistic model of
-binned text statistics; then one scale and one offset, fitted to the labelled rows, make the score a probability.
+binned text statistics. The logistic loss is proper, so the minimum is at the probability of good text, which is the
+score; rows labelled bad serve only to estimate the prior.
 """
 
 from __future__ import annotations
@@ -64,8 +65,8 @@ def statistics(text: str) -> list[float]:
 class Model:
     """An additive model: each statistic falls in one of BINS bins, and the weights of its bins are summed."""
 
-    def __init__(self, edges: np.ndarray, weights: np.ndarray, offset: float, scale: float = 1.0, shift: float = 0.0):
-        self.edges, self.weights, self.offset, self.scale, self.shift = edges, weights, offset, scale, shift
+    def __init__(self, edges: np.ndarray, weights: np.ndarray, offset: float):
+        self.edges, self.weights, self.offset = edges, weights, offset
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         """Column numbers of the bins; x is rows by statistics."""
@@ -76,7 +77,7 @@ class Model:
         return self.weights[self.bins(x)].sum(axis=1) + self.offset
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.05, ridge: float | None = None) -> Model:
@@ -105,21 +106,6 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: in
     return model
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
-    """Fits scale and shift to labelled rows by Newton's method, with a weak pull to the uncalibrated score."""
-    if not len(y):
-        return
-    raw = model.raw(x)
-    design = np.stack([raw, np.ones(len(raw))], axis=1)
-    theta = np.array([1.0, 0.0])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        gradient = design.T @ (p - y) + 0.1 * (theta - [1.0, 0.0])
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2)
-        theta -= np.linalg.solve(hessian, gradient)
-    model.scale, model.shift = max(1e-3, theta[0]), theta[1]
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether labels of this id must not be learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT[0] == HELD_OUT[1], F.lit(False))
@@ -134,8 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """A model fitted to at most 2 * sample rows, fewer where there are fewer; None without a trusted positive.
 
     Only labels of ids that are not held out are learnt from, and of an id labelled twice the higher one. The prior, if
-    not given, is estimated as the share of good rows among those
-    (PRIOR where none is bad); the unlabelled rows are sampled from all documents.
+    not given, is estimated as the share of good rows among those (PRIOR where none is bad); the unlabelled rows are
+    sampled from all documents. Of an id with several texts, the least is learnt from.
     """
     ids = docs.select(F.col(id_col).alias("doc_id"))
     known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -143,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     picked = known.unionByName(_sample_ids(ids, sample).withColumn("y", F.lit(-1)))
     # at most 2 * sample rows of 12 bytes
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")  # one text for an id, however often it is repeated
 
     def measure(batches):
         for batch in batches:
@@ -157,10 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return None
     if prior is None:
         prior = float(good[labelled].mean()) if (~good[labelled]).any() else PRIOR
-    model = fit(x[good], x[y == -1], min(0.99, max(0.01, prior)))
-    if (~good[labelled]).any():
-        calibrate(model, x[labelled], y[labelled].astype(float))
-    return model
+    return fit(x[good], x[y == -1], min(0.99, max(0.01, prior)))
 
 
 def _scores(model: Model | None, texts: list[str | None]) -> np.ndarray:
