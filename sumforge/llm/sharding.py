@@ -27,12 +27,13 @@ WEIGHTS = (10.0, 1.0, 1.0)
 BLOCK_GROUPS = 20_000
 
 
-def place(demand: np.ndarray, residual: np.ndarray, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
+def place(demand: np.ndarray, residual: np.ndarray, weights: tuple[float, ...] | None = None) -> np.ndarray:
     """The bin of each demand (rows: items, in the order given; columns: resources); residual (bins x resources) shrinks.
 
-    The bin with the highest dot product of weighted demand and residual capacity is taken, the lowest of equal ones.
+    The bin with the highest dot product of weighted demand and residual capacity is taken, the lowest of equal ones;
+    without weights, all resources count alike.
     """
-    weighted = demand * np.array(weights)
+    weighted = demand if weights is None else demand * np.array(weights)
     out = np.empty(len(demand), np.int32)
     for k, want in enumerate(demand):
         at = out[k] = int((residual @ weighted[k]).argmax())
@@ -74,7 +75,7 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         parts = parts.toPandas().sort_values(["digest", "part"], ignore_index=True)
         demand = parts[["bytes", "words", "rows"]].to_numpy(float) / totals
         order = _largest_first(demand)
-        parts.loc[order, "shard"] = place(demand[order], residual)
+        parts.loc[order, "shard"] = place(demand[order], residual, WEIGHTS)
         parts["shard"] = parts["shard"].astype(int)
         placed_heavy = spark.createDataFrame(parts[["digest", "part", "shard", "parts"]], placed_heavy.schema)
     blocks = max(1, -(-(n_groups - len(heavy)) // block_groups))
@@ -89,7 +90,7 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         demand /= np.maximum(demand.sum(axis=0), 1)
         order = _largest_first(demand)
         at = np.empty(len(pdf), np.int32)
-        at[order] = place(demand[order], left.copy())
+        at[order] = place(demand[order], left.copy(), WEIGHTS)
         return pd.DataFrame({"digest": pdf["digest"], "shard": at})
 
     light = light.select("digest", "bytes", "words", "rows", block.alias("block")).groupBy("block").applyInPandas(pack, "digest string, shard int")
