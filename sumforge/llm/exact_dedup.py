@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sumforge.llm._shared import table, written
+from sumforge.llm._shared import fresh, table, written
 
 #: Deleted before texts are compared.
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -84,12 +84,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Rows without an id all stay, unless a row with an id has the same text.
     """
     marks = dedup(docs, id_col=id_col, text_col=text_col)
-    kept = marks.where("kept").select(F.col(id_col).alias("__id")).distinct()
-    unnamed = marks.where(F.col(id_col).isNull() & F.col("keep_id").isNull()).select(F.col("text_sha256").alias("__sha")).distinct()
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    first = Window.partitionBy(id_col, "__sha").orderBy(id_col)
-    named = docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__sha", sha).withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    rest = docs.where(F.col(id_col).isNull()).withColumn("__sha", sha).join(unnamed, "__sha", "left_semi")
+    key, sha, rank = fresh(docs.columns, "key", "sha", "rank")
+    kept = marks.where("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(sha)).distinct()
+    unnamed = marks.where(F.col(id_col).isNull() & F.col("keep_id").isNull()).select(F.col("text_sha256").alias(sha)).distinct()
+    marked = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    # of rows with one id and one content, the longest original stays, as dedup() has it
+    first = Window.partitionBy(id_col, sha).orderBy(F.length(text_col).desc_nulls_last())
+    named = marked.join(kept, (F.col(id_col) == kept[key]) & (marked[sha] == kept[sha]), "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    rest = marked.where(F.col(id_col).isNull()).join(unnamed, sha, "left_semi")
     return named.select(docs.columns).unionByName(rest.select(docs.columns))
 
 
