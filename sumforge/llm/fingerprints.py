@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sumforge.llm._shared import table
+from sumforge.llm._shared import table, written
 
 #: One in so many shingle hashes is retained.
 SCALE = 8
@@ -81,28 +81,30 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return made.withColumn("fingerprint", as_string(F.col("sketch")))
 
 
-def with_next(rows: DataFrame, columns: list[str], *, id_col: str = "doc_id", per_bucket: int = 2048) -> DataFrame:
-    """rows with next_<column> of the row that follows in ascending id, the first row's after the last.
+def with_next(rows: DataFrame, columns: list[str], *, id_col: str = "doc_id", per_bucket: int = 100_000) -> DataFrame:
+    """(id_col, columns, next_<columns>): each row and the one that follows in ascending id, the first's after the last.
 
-    Rows are dealt into ranges of ids, each of about per_bucket rows, and ordered within; the first row of a range also
-    goes to the range before it. The first ids of all ranges are as many as rows / per_bucket. Null ids come first; of
-    repeated ids the order among them is that of the text.
+    The order is found from ids and hashes of the columns alone: Spark deals them into ranges of about per_bucket rows by
+    a sample of them, so that neither null nor far ids crowd a range, and only the first of each range is looked at
+    together. Rows then meet their successor by its id and hash. Null ids come first; rows with one id are in the order
+    of their hashes; rows repeated with one id and equal columns take one place and have the same successor.
     """
-    key = F.coalesce(F.col(id_col), F.lit(-(2**63)).cast("long"))
-    low, high, n = rows.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    width = max(1, -(-(high - low + 1) * per_bucket // n)) if n else 1
-    bucket = F.floor((key.cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
-    firsts = rows.select(bucket.alias("bucket"), key.alias("key")).groupBy("bucket").agg(F.min("key").alias("first_key"))
-    order = Window.orderBy("bucket")
-    firsts = firsts.select("first_key", F.lag("bucket").over(order).alias("to"), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
-    firsts = firsts.select("first_key", F.coalesce("to", "last").alias("to"), F.col("to").isNull().alias("wraps"))
-    marked = rows.withColumn("__key", key).withColumn("__bucket", bucket).join(firsts, F.col("__key") == F.col("first_key"), "left")
-    own = F.struct(F.col("__bucket").alias("bucket"), F.lit(0).alias("rank"), F.lit(False).alias("lent"))
-    lent = F.struct(F.col("to").alias("bucket"), F.lit(1).alias("rank"), F.lit(True).alias("lent"))
-    dealt = marked.withColumn("__at", F.explode(F.when(F.col("first_key").isNull(), F.array(own)).otherwise(F.array(own, lent))))
-    within = Window.partitionBy("__at.bucket").orderBy("__at.rank", "__key", *columns)
-    found = dealt.select("*", *(F.lead(c).over(within).alias(f"next_{c}") for c in columns))
-    return found.where(~F.col("__at.lent")).select(*rows.columns, *(f"next_{c}" for c in columns))
+    whole = rows.select(F.col(id_col).alias("__id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__key"), F.xxhash64(F.col(id_col).isNull(), *columns).alias("__tag"), *(F.col(c).alias(f"__{k}") for k, c in enumerate(columns)))
+    places = written(whole.groupBy("__key", "__tag").agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("copies")), "next-places")
+    dealt = places.repartitionByRange(max(1, -(-places.count() // per_bucket)), "__key", "__tag")
+    dealt = written(dealt.withColumn("part", F.spark_partition_id()), "next-ranges")
+    at = F.struct(F.col("__key").alias("key"), F.col("__tag").alias("tag"))
+    everywhere = Window.partitionBy(F.lit(0)).orderBy("part")
+    firsts = dealt.groupBy("part").agg(F.min(at).alias("first"))  # one row for per_bucket rows
+    after = firsts.select("part", F.coalesce(F.lead("first").over(everywhere), F.first("first").over(everywhere)).alias("after"))
+    places = dealt.withColumn("next", F.lead(at).over(Window.partitionBy("part").orderBy("__key", "__tag"))).join(after, "part")
+    places = places.select("__id", "__key", "__tag", "copies", F.coalesce("next", "after").alias("next"))
+    once = whole.drop("__id").dropDuplicates(["__key", "__tag"])  # dealt out once, for both sides of the join
+    names = [f"__{k}" for k in range(len(columns))]
+    ahead = once.select(F.col("__key").alias("__next_key"), F.col("__tag").alias("__next_tag"), *(F.col(c).alias(f"{c}_next") for c in names))
+    found = once.join(places, ["__key", "__tag"]).withColumns({"__next_key": F.col("next.key"), "__next_tag": F.col("next.tag")}).join(ahead, ["__next_key", "__next_tag"])
+    found = found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return found.select(F.col("__id").alias(id_col), *(F.col(c).alias(name) for c, name in zip(names, columns, strict=True)), *(F.col(f"{c}_next").alias(f"next_{name}") for c, name in zip(names, columns, strict=True)))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
