@@ -22,14 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumforge.llm._shared import Memo, table, written
+from sumforge.llm._shared import Memo, fresh, table, written
 from sumforge.llm.graph import components
 
 #: 25 bands of 5 slots miss a pair of similarity 0.8 once in 20,000 times.
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-#: Pairs whose signatures agree in less than this share are not held against each other: 0.8 less four deviations.
-LEAST_ESTIMATE = 0.66
 #: Steps, and nodes of a bucket's largest component in each, that the others are held against before all are.
 ROUNDS, HUBS = 1, 2
 TILE = 1024
@@ -94,13 +92,11 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, n, digest, sig): set size, digest of the set, signature; no shuffle."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, tag, n, digest, sig): a hash of the text, set size, digest of the set, signature; no shuffle."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            at = 0
+            texts, at = batch.column(2), 0
             while at < len(texts):
                 sets, total, start = [], 0, at
                 while at < len(texts) and total < 300_000:
@@ -109,14 +105,19 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> Da
                     at += 1
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 sigs = [row.tobytes() for row in signatures(sets)]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, at - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, at - start) for c in batch.columns[:2]), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "tag", "n", "digest", "sig"])
 
-    return source.mapInArrow(run, "doc_id long, n long, digest binary, sig binary")
+    return _tagged(docs, id_col, text_col).mapInArrow(run, "doc_id long, tag long, n long, digest binary, sig binary")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, n, set, bits) of the documents in ids(id): size, full set, and a bitmap of which hashes modulo BITS occur."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), text.alias("text"))
+
+
+def _full_sets(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, n, set, bits) of nodes(id, doc_id, tag): size, full set, and a bitmap of which hashes modulo BITS occur."""
+    source = _tagged(docs, id_col, text_col).join(nodes, ["doc_id", "tag"]).select("id", "text")
 
     def run(batches):
         for batch in batches:
@@ -132,32 +133,29 @@ def bitmap(elements: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def possible(sig1: np.ndarray, n1, bits1: np.ndarray, sig2: np.ndarray, n2, bits2: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs are worth holding against each other on full sets.
+def possible(n1, bits1: np.ndarray, n2, bits2: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs can be similar enough, by a bound that loses none.
 
-    A bit that only one set has stands for at least one element that the other lacks, which bounds the intersection; that
-    bound loses no pair. The signatures' estimate is for sets too large for the bitmap.
+    A bit that only one set has stands for at least one element that the other lacks, which bounds the intersection.
     """
     both = np.minimum(n1 - np.bitwise_count(bits1 & ~bits2).sum(axis=-1, dtype=np.int64), n2 - np.bitwise_count(bits2 & ~bits1).sum(axis=-1, dtype=np.int64))
-    fits = 100 * both >= percent * (n1 + n2 - both)
-    fits &= (sig1 == sig2).mean(axis=-1) >= LEAST_ESTIMATE - (0.8 - percent / 100)
-    return fits
+    return 100 * both >= percent * (n1 + n2 - both)
 
 
-def _arrays(columns, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sig, n, bits = columns
-    return np.frombuffer(b"".join(sig.to_pylist()), "<u2").reshape(rows, SLOTS), n.to_numpy(zero_copy_only=False), np.frombuffer(b"".join(bits.to_pylist()), "<u8").reshape(rows, BITS // 64)
+def _arrays(columns, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    n, bits = columns
+    return n.to_numpy(zero_copy_only=False) if isinstance(n, pa.Array) else n.to_numpy(), np.frombuffer(b"".join(bits.to_pylist()), "<u8").reshape(rows, BITS // 64)
 
 
 def _likely(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that are possible() by their cards (id, sig, n, bits)."""
-    side = lambda end, k: cards.withColumnsRenamed({"id": end, "sig": f"s{k}", "n": f"n{k}", "bits": f"b{k}"})
-    both = pairs.join(side("u", 1), "u").join(side("v", 2), "v").select("u", "v", "s1", "n1", "b1", "s2", "n2", "b2")
+    """The pairs (u, v) that are possible() by their cards (id, n, bits)."""
+    side = lambda end, k: cards.withColumnsRenamed({"id": end, "n": f"n{k}", "bits": f"b{k}"})
+    both = pairs.join(side("u", 1), "u").join(side("v", 2), "v").select("u", "v", "n1", "b1", "n2", "b2")
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                one, other = (_arrays([batch.column(k + j) for j in range(3)], len(batch)) for k in (2, 5))
+                one, other = (_arrays([batch.column(k + j) for j in range(2)], len(batch)) for k in (2, 4))
                 yield batch.select(["u", "v"]).filter(pa.array(possible(*one, *other, percent)))
 
     return both.mapInArrow(run, "u long, v long")
@@ -205,18 +203,18 @@ def _tiles(members: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
     per = per.select("key", F.col("top.component").alias("top"), cut(F.col("n")).alias("all_tiles"), cut(F.col("n") - F.col("top.n")).alias("few_tiles"))
     rows = members.join(per, "key").join(cards, "id")
     tile = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
-    wide = rows.select("key", tile(F.col("all_tiles")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("few_tiles") - 1)).alias("j"), F.lit(False).alias("few"), "id", "component", "sig", "n", "bits")
-    few = rows.where("component <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("all_tiles") - 1)).alias("i"), tile(F.col("few_tiles")).alias("j"), F.lit(True).alias("few"), "id", "component", "sig", "n", "bits")
+    wide = rows.select("key", tile(F.col("all_tiles")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("few_tiles") - 1)).alias("j"), F.lit(False).alias("few"), "id", "component", "n", "bits")
+    few = rows.where("component <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("all_tiles") - 1)).alias("i"), tile(F.col("few_tiles")).alias("j"), F.lit(True).alias("few"), "id", "component", "n", "bits")
 
     def run(group: pa.Table) -> pa.Table:
         flag = group.column("few").to_numpy(zero_copy_only=False)
         ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
-        sig, n, bits = _arrays([group.column(k) for k in ("sig", "n", "bits")], len(ids))
+        n, bits = _arrays([group.column(k) for k in ("n", "bits")], len(ids))
         others = np.flatnonzero(~flag)
         u, v = [], []
         for k in np.flatnonzero(flag):
             apart = others[comp[others] != comp[k]]
-            near = apart[possible(sig[apart], n[apart], bits[apart], sig[k], n[k], bits[k], percent)]
+            near = apart[possible(n[apart], bits[apart], n[k], bits[k], percent)]
             u += [np.maximum(ids[near], ids[k])]
             v += [np.minimum(ids[near], ids[k])]
         return pa.table({"u": np.concatenate(u or [np.zeros(0, np.int64)]), "v": np.concatenate(v or [np.zeros(0, np.int64)])})
@@ -229,19 +227,27 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the smallest
     id reachable, and that row is kept. A document without words, null ones too, has an empty set and is linked with
-    nothing. Rows repeated with one id share its component; a null id is linked with nothing, its component is null and
-    it is kept. Other columns are not read.
+    nothing. Rows that share an id and a text share their component; rows that share an id but not a text are linked
+    each by its own text. A null id is linked with nothing, its component is null and it is kept. Other columns are not
+    read.
     """
+    return _grouped(docs, id_col, text_col, shingle, percent).drop("tag")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """near_groups() with tag, a hash of the text, which tells rows with one id apart."""
     rows = written(sketches(docs, id_col=id_col, text_col=text_col, shingle=shingle), "near-sketches")
-    nodes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"))
-    nodes = written(nodes, "near-nodes")
+    nodes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.any_value("sig").alias("sig"))
+    # numbers of nodes: any will do, once they are written
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("id"), "digest", "first.doc_id", "first.tag", "sig"), "near-nodes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
     keys = nodes.select(band.alias("key"), "id")
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     members = written(keys.join(hubs, "key"), "near-buckets")
-    sets = written(_full_sets(docs, members.select("id").distinct(), id_col=id_col, text_col=text_col, shingle=shingle), "near-sets")
-    cards = written(nodes.join(sets.select("id", "n", "bits"), "id").select("id", "sig", "n", "bits"), "near-cards")
-    tried = written(_likely(members.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct(), cards, percent), "near-pairs")
+    among = nodes.select("id", "doc_id", "tag").join(members.select("id").distinct(), "id", "left_semi")
+    sets = written(_full_sets(docs, among, id_col=id_col, text_col=text_col, shingle=shingle), "near-sets")
+    cards = sets.select("id", "n", "bits")
+    tried = written(_likely(members.where("id <> hub").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct(), cards, percent), "near-pairs")
     found = written(components(written(_confirmed(tried, sets, percent), "near-links")), "near-components")
     for step in (*range(ROUNDS), None):
         labelled = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -252,10 +258,21 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         links = found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(_confirmed(pairs, sets, percent))
         found = written(components(links), "near-components")
         tried = tried.unionByName(pairs)
-    classes = nodes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(classes, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    placed = nodes.join(found, "id", "left").select("digest", "doc_id", F.coalesce("component", "id").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))  # a row for each different set at most
+    classes = placed.join(least, "component").select("digest", "class_id")
+    out = rows.select("doc_id", "tag", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
+    component = F.coalesce("class_id", "doc_id")
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "tag")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_groups() keeps, with all their columns; rows without an id all stay."""
+    groups = _grouped(docs, id_col, text_col, shingle, percent)
+    key, tag = fresh(docs.columns, "key", "tag")
+    gone = groups.where("not kept").select(F.col(id_col).alias(key), F.col("tag").alias(tag)).distinct()
+    same = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(tag)
+    return docs.join(gone, (F.col(id_col) == F.col(key)) & same, "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
