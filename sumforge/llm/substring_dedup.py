@@ -2,8 +2,8 @@
 
 Non-overlapping blocks of 25 words, counted from the start of a document, are indexed with the smallest id that has
 them. Every rolling window of 25 words is a probe. Any 50-word window holds a whole block of each document it occurs in,
-so hits lead to all windows that can be repeated; each is extended and compared over its 50 words, by 128 bits of hash,
-and runs of repeated windows are the maximal exact repeats.
+so hits lead to all windows that can be repeated; each is extended and compared over its 50 words, by 128 bits of hash
+and then word by word (hashes of words), and runs of repeated windows are the maximal exact repeats.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _parse(text: str | None) -> tuple[bytes, np.ndarray]:
+def word_symbols(text: str | None) -> tuple[bytes, np.ndarray]:
     words = _split(text)
     return b" ".join(words), np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
@@ -59,7 +59,7 @@ def repeated_windows(kind: Kind, contexts: list[np.ndarray], ids: np.ndarray, st
     exact = np.zeros(len(data), bool)
     if len(window):
         one, other = rolling_pair(data)
-        exact[window] = repeated(np.stack([one.of(window, L), other.of(window, L)], axis=1), doc[window], False)
+        exact[window] = repeated(np.stack([one.of(window, L), other.of(window, L)], axis=1), doc[window], False, data, window, L)
     return [exact[a : b - L + 1] for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
 
 
@@ -71,22 +71,23 @@ def _without(text: str | None, spans: list) -> bytes:
     return b" ".join([*kept, *words[at:]])
 
 
-KIND = Kind("substring", WINDOW, 8, "u8", _parse, repeated_windows, False)
+KIND = Kind("substring", WINDOW, BLOCK_WORDS, "u8", word_symbols, repeated_windows, False, 10)
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, n_spans, kept_sha256, spans) of every row; spans are runs of words.
 
     Words are runs of anything but ASCII white space, unchanged; a null text has none. A word goes if a 50-word window
-    that covers it also starts in a row with a smaller id; windows are judged on the input. Rows repeated with one id
-    are judged alike, and not against each other; a row without an id stays as it is. Other columns are not read.
+    that covers it also starts in a row with a smaller id; windows are judged on the input. Rows with one id are not
+    judged against each other, whether their texts are equal or not; a null id counts as the smallest. Other columns are
+    not read. The result also has tag, a hash of the text, which tells rows with one id apart.
     """
     return removed(docs, KIND, _without, id_col=id_col, text_col=text_col).withColumnsRenamed({"n": "n_words"})
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    return dedup(table(spark, sf_dir, "documents")).drop("spans", "n_spans")
+    return dedup(table(spark, sf_dir, "documents")).drop("spans", "n_spans", "tag")
 
 
 ORACLE_SQL = r"""
