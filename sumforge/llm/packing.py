@@ -1,16 +1,14 @@
-"""Lexical retrieval packing: BM25 over all documents fills each seed document's window with its unused neighbours.
+"""Lexical retrieval packing: a sharded BM25 index fills each seed document's window with its unused neighbours.
 
 Token ids serve as the terms of the index. Their document frequencies and the mean length are counted over all
 documents; the table of frequencies has one entry per vocabulary id, so it is small whatever the corpus.
 
-Packing goes by generations. In each, seeds for half of the windows that are still due are chosen by hash, and every
-seed is scored, by all of its terms, against every unused document of the corpus: the seeds are broadcast in batches of
-bounded size, and each task indexes the documents it reads, block by block, and keeps the best for each seed. A document
-goes to the seed that it suits best among those that ask for it; the seed takes what it gets by descending score until
-its window is full. What overhangs is cut there and seeds the next window; a window that is not full asks again in the
-next generation. When no more than shard_tokens are left, one task packs them seed by seed. So windows have no padding;
-the very rest is cut into powers of two, which are not padded either. Seeds of one generation are in use, so they are no
-candidates for each other. The search takes time with the product of seeds and documents.
+Documents are dealt into shards by content, so that neighbours meet: they are put in the order of their cluster and of
+weighted min-hashes of their terms, which Spark cuts into ranges of about shard_tokens. A cluster or a text of any number
+of copies is spread over as many shards as it takes. Each shard has an inverted index; its documents become seeds in
+turn, and a seed's window is filled with the unused documents that score highest for all of the seed's terms. What
+overhangs a window is cut there and seeds the next one. A shard's last, partial window is cut into powers of two, which
+are not padded; so there is no padding at all. The work follows the number of documents, whatever their total.
 """
 
 from __future__ import annotations
@@ -18,13 +16,13 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
-from functools import lru_cache, reduce
-from itertools import groupby
-from operator import itemgetter
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumforge.llm._shared import table, written
@@ -34,16 +32,12 @@ WINDOW = 2048
 #: Follows each document's ids.
 END_ID = 1
 K1, B = 1.2, 0.75
-#: Tokens of a shard, on average, and of what one task packs at the end.
+#: Tokens of a shard, on average.
 SHARD_TOKENS = 2_000_000
-#: Tokens of the seeds that are broadcast together.
-BATCH_TOKENS = 8_000_000
-#: Tokens and documents that are indexed together in the search over all documents, and seeds scored together.
-BLOCK_TOKENS, BLOCK_DOCS, CHUNK = 2_000_000, 4096, 128
-#: So many of the commonest terms are scored by a matrix product, the others by postings; the sum is the same.
-DENSE = 2048
-#: Impacts are multiples of 1/UNIT there, so sums are exact and do not depend on partitions.
-UNIT = 256
+#: So many of a shard's commonest terms are scored by a matrix product, the others by postings; the sum is the same.
+DENSE = 512
+#: Clusters, the documents they are learnt from at most, and dimensions of their vectors. Every document is then placed.
+CLUSTERS, SAMPLE, DIMENSIONS = 64, 8192, 64
 #: Texts with a longer run of characters between spaces go to the slower library.
 LONG_WORD = 1000
 
@@ -129,8 +123,13 @@ def _frequencies(tokens: DataFrame) -> np.ndarray:
     return out
 
 
+def impact(idf: np.ndarray, tf: np.ndarray, size: np.ndarray | int, mean: float) -> np.ndarray:
+    """BM25 of a term that occurs tf times in a document of size terms."""
+    return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))).astype(np.float32)
+
+
 class Index:
-    """An inverted BM25 index over the documents of a shard."""
+    """An inverted BM25 index over the documents of a shard: postings, and for the commonest terms a matrix of impacts."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         sizes = np.array([len(d) for d in docs], np.int64)
@@ -142,19 +141,32 @@ class Index:
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         tf = np.diff(np.r_[first, len(keys)])
         keys = keys[first]
-        terms, self.doc = np.divmod(keys, n)
-        self.impact = (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean))).astype(np.float32)
+        terms, doc = np.divmod(keys, n)
+        self.impact = impact(idf[terms], tf, sizes[doc], mean)
         self.start = np.searchsorted(terms, np.arange(len(idf) + 1))
-        self.doc = self.doc.astype(np.int32)
-        self.n, self.idf = n, idf
+        self.doc, self.n = doc.astype(np.int32), n
+        common = np.argsort(-np.diff(self.start), kind="stable")[:DENSE]
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        row = self.row[terms]
+        self.dense = np.zeros((len(common), n), np.float32)
+        self.dense[row[row >= 0], self.doc[row >= 0]] = self.impact[row >= 0]
+
+    def scores(self, text: np.ndarray) -> np.ndarray:
+        """Each document's score for all of the text's terms."""
+        terms = np.unique(text)
+        row = self.row[terms]
+        rare = terms[row < 0].astype(np.int64)
+        present = np.zeros(len(self.dense), np.float32)
+        present[row[row >= 0]] = 1
+        start, length = self.start[rare], self.start[rare + 1] - self.start[rare]
+        ends = np.cumsum(length)
+        at = np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        return present @ self.dense + np.bincount(self.doc[at], self.impact[at], self.n)
 
     def neighbours(self, text: np.ndarray, unused: np.ndarray, count: int) -> np.ndarray:
         """Unused documents by descending score for all of the text's terms, ties by position; then any others."""
-        terms = np.unique(text)
-        starts, ends = self.start[terms].tolist(), self.start[terms.astype(np.int64) + 1].tolist()
-        doc = np.concatenate([self.doc[a:b] for a, b in zip(starts, ends, strict=True)] or [np.zeros(0, np.int32)])
-        impact = np.concatenate([self.impact[a:b] for a, b in zip(starts, ends, strict=True)] or [np.zeros(0, np.float32)])
-        score = np.bincount(doc, impact, self.n)
+        score = self.scores(text)
         score[~unused] = -1
         count = min(count, int(unused.sum()))
         if count < len(score):
@@ -217,58 +229,78 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> list[list[tupl
     return done
 
 
-class Search:
-    """The best documents for each seed, over all blocks of documents that add() is given."""
-
-    def __init__(self, seeds: np.ndarray, texts: list[np.ndarray], idf: np.ndarray, common: np.ndarray, mean: float, count: int):
-        self.seeds, self.idf, self.mean, self.count, self.common = seeds, idf, mean, count, common
-        self.column = np.full(len(idf), -1, np.int64)
-        self.column[common] = np.arange(len(common))
-        keys = np.unique(np.repeat(np.arange(len(texts)), [len(t) for t in texts]) * len(idf) + np.concatenate(texts).astype(np.int64))
-        self.row, self.term = np.divmod(keys, len(idf))
-        self.score = np.full((len(texts), count), -1, np.float32)
-        self.key = np.zeros((len(texts), count), np.int64)
-        self.tie = np.zeros((len(texts), count), np.uint64)
-
-    def add(self, keys: np.ndarray, docs: list[np.ndarray]) -> None:
-        index, n = Index(docs, self.idf, self.mean), len(docs)
-        index.impact = np.rint(index.impact * UNIT)
-        dense = np.zeros((len(self.common), n), np.float32)
-        for k, t in enumerate(self.common.tolist()):
-            a, b = index.start[t], index.start[t + 1]
-            dense[k, index.doc[a:b]] = index.impact[a:b]
-        for first in range(0, len(self.seeds), CHUNK):
-            last = min(first + CHUNK, len(self.seeds))
-            a, b = np.searchsorted(self.row, [first, last])
-            row, term = self.row[a:b] - first, self.term[a:b]
-            column = self.column[term]
-            asked = np.zeros((last - first, len(self.common)), np.float32)
-            asked[row[column >= 0], column[column >= 0]] = 1
-            score = asked @ dense
-            row, term = row[column < 0], term[column < 0]
-            start, length = index.start[term], index.start[term + 1] - index.start[term]
-            at = np.repeat(start - np.r_[0, np.cumsum(length)[:-1]] if len(length) else start, length) + np.arange(length.sum())
-            score += np.bincount(np.repeat(row * n, length) + index.doc[at], index.impact[at], score.size).reshape(score.shape).astype(np.float32)
-            self._keep(first, last, keys, score)
-
-    def _keep(self, first: int, last: int, keys: np.ndarray, score: np.ndarray) -> None:
-        k, least = self.count, self.score[first:last, -1]
-        if score.shape[1] > k and (least < 0).any():
-            least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
-        row, doc = np.nonzero(score >= least[:, None])
-        if not len(row):
-            return
-        old, place = np.nonzero(self.score[first:last] >= 0)
-        found = keys[doc]
-        rows = np.concatenate([old, row])
-        scores = np.concatenate([self.score[first:last][old, place], score[row, doc]])
-        ties = np.concatenate([self.tie[first:last][old, place], mixed(found, self.seeds[first:last][row])])
-        docs = np.concatenate([self.key[first:last][old, place], found])
-        order = np.lexsort((docs, ties, -scores, rows))
-        rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
-        order, rank = order[rank < k], rank[rank < k]
-        at = rows[order] + first, rank
-        self.score[at], self.tie[at], self.key[at] = scores[order], ties[order], docs[order]
+class Router:
+    """Places documents on a line on which lexical neighbours are close: by cluster, then by weighted min-hashes.
+
+    A document's vector is a random projection of the BM25 impacts of its terms; its cluster is that of the nearest centre.
+    Two documents share a min-hash with a probability that is the weighted Jaccard similarity of their impacts.
+    """
+
+    def __init__(self, idf: np.ndarray, mean: float, centres: np.ndarray | None = None, middle: np.ndarray | None = None):
+        self.idf, self.mean, self.centres, self.middle = idf, mean, centres, middle
+        rng = np.random.default_rng(1)
+        self.signs = rng.choice(np.array([-1, 1], np.float32), (len(idf), DIMENSIONS))
+        self.spans = rng.exponential(size=(2, len(idf))).astype(np.float32)
+
+    def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        terms, tf = np.unique(ids, return_counts=True)
+        return terms, impact(self.idf[terms], tf, len(ids), self.mean)
+
+    def vector(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        v = weight @ self.signs[terms]
+        return v / max(1e-9, float(np.sqrt(v @ v)))
+
+    def place(self, ids: np.ndarray) -> tuple[int, int]:
+        terms, weight = self.weights(ids)
+        v = self.vector(terms, weight) - self.middle
+        one, other = (int(terms[(s[terms] / np.maximum(weight, 1e-9)).argmin()]) for s in self.spans)
+        return int((self.centres @ v).argmax()), one << 32 | other
+
+
+def centres_of(vectors: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarray:
+    """Centres of spherical k-means, in an order in which each is followed by the one most like it of those left."""
+    v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    centres = v[np.linspace(0, len(v) - 1, min(clusters, len(v))).astype(np.int64)].copy()
+    for _ in range(rounds):
+        nearest = (v @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, v)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), centres)
+    alike, order = centres @ centres.T, [0]
+    left = np.ones(len(centres), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, alike[order[-1]], -np.inf).argmax()))
+        left[order[-1]] = False
+    return centres[order].astype(np.float32)
+
+
+def routed(tokens: DataFrame, idf, mean: float) -> DataFrame:
+    """tokens with cluster and near, the place of each document; centres are learnt from SAMPLE documents at most."""
+    n = tokens.count()
+    chance = min(1.0, 2 * SAMPLE / max(1, n))
+    picked = tokens.where(F.pmod(F.xxhash64("doc_id", "n", F.lit(3)), F.lit(1 << 20)) < int(chance * (1 << 20)) + 1)
+
+    def vectors(batches):
+        router = Router(idf.value, mean)
+        for batch in batches:
+            found = [router.vector(*router.weights(t)).tolist() for t in unpacked(batch.column(0), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, pa.list_(pa.float32()))], ["h", "v"])
+
+    sample = picked.select("ids", "n", F.xxhash64("doc_id", "n").alias("h")).mapInArrow(vectors, "h long, v array<float>").orderBy("h").limit(SAMPLE).toArrow()
+    v = np.array(sample.column("v").to_pylist(), np.float32).reshape(-1, DIMENSIONS)
+    middle = v.mean(axis=0) if len(v) else np.zeros(DIMENSIONS, np.float32)
+    centres = centres_of(v - middle, CLUSTERS) if len(v) else np.zeros((1, DIMENSIONS), np.float32)
+    shared = tokens.sparkSession.sparkContext.broadcast((centres, middle))
+
+    def run(batches):
+        router = Router(idf.value, mean, *shared.value)
+        for batch in batches:
+            places = [router.place(t) for t in unpacked(batch.column("ids"), batch.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p[0] for p in places], pa.int32()), pa.array([p[1] for p in places], pa.int64())], [*batch.schema.names, "cluster", "near"])
+
+    return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, ids binary, n long, cluster int, near long")
 
 
 def removed(*tables: DataFrame) -> None:
@@ -279,159 +311,57 @@ def removed(*tables: DataFrame) -> None:
             path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, False)
 
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two keys, which breaks ties in another order for each seed; below 2^63."""
-    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ x >> np.uint64(32)) >> np.uint64(1)
-
-
 def unpacked(ids: pa.ChunkedArray | pa.Array, sizes: list[int]) -> list[np.ndarray]:
     return [np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(ids.to_pylist(), sizes, strict=True)]
 
 
-def nearest(seeds: DataFrame, unused: DataFrame, idf, common: np.ndarray, mean: float, count: int, batches: int) -> DataFrame:
-    """(win, key, score, tie): for each seed the count best of all unused documents."""
-    spark, out = seeds.sparkSession, None
-    for batch in range(batches):
-        rows = seeds.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == batch).select("key", "ids", "n").toArrow().sort_by("key")  # BATCH_TOKENS or about
-        texts = [t[len(t) - len(t) % WINDOW :] for t in unpacked(rows.column("ids"), rows.column("n").to_pylist())]
-        some = [k for k, t in enumerate(texts) if len(t)]
-        if not some:
-            continue
-        shared = spark.sparkContext.broadcast((rows.column("key").to_numpy()[some], [texts[k] for k in some]))
-
-        def run(parts, shared=shared):
-            search, keys, docs, held = Search(*shared.value, idf.value, common, mean, count), [], [], 0
-            for part in parts:
-                for key, doc in zip(part.column(0).to_pylist(), unpacked(part.column(1), part.column(2).to_pylist()), strict=True):
-                    keys.append(key)
-                    docs.append(doc)
-                    held += len(doc)
-                    if len(docs) == BLOCK_DOCS or held >= BLOCK_TOKENS:
-                        search.add(np.array(keys), docs)
-                        keys, docs, held = [], [], 0
-            if docs:
-                search.add(np.array(keys), docs)
-            row, place = np.nonzero(search.score >= 0)
-            for a in range(0, len(row), 100_000):
-                at = row[a : a + 100_000], place[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(search.seeds[at[0]]), pa.array(search.key[at]), pa.array(search.score[at].astype(np.float64)), pa.array(search.tie[at].astype(np.int64))], ["win", "key", "score", "tie"])
-
-        found = unused.select("key", "ids", "n").mapInArrow(run, "win long, key long, score double, tie long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "win long, key long, score double, tie long")
-    best = Window.partitionBy("win").orderBy(F.desc("score"), "tie", "key")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= count).drop("rank")
-
-
-#: Segments that lie in no sequence yet (crc null; win: the seed of their open window, place: there), and pieces.
-STATE = "key long, doc_id {}, start long, doc_tokens long, ids binary, n long, win long, place long, crc long, sequence_id long, offset long"
-NAMES = [x.split(" ")[0] for x in STATE.split(", ")]
-
-
-def piece(ids: np.ndarray, start: int, number: int, offset: int) -> dict:
-    return {"start": start, "n": len(ids), "crc": zlib.crc32(ids.astype("<u4").tobytes()), "sequence_id": number, "offset": offset}
-
-
-def laid(members: list[dict]) -> list[dict]:
-    """Pieces of the windows that are now full, and segments: an open window's, or those that go back. The seed is first."""
-    out: list[dict] = []
-    window: list[tuple[dict, int, int]] = []
-    room, closed = WINDOW, False
-    for m in members:
-        if closed:
-            out.append(m | {"win": None, "place": None})
-            continue
-        at = 0
-        while at < m["n"]:
-            length = min(room, m["n"] - at)
-            window.append((m, at, length))
-            at, room = at + length, room - length
-            if not room:
-                closed = m is not members[0] or at == m["n"]
-                head, skip, _ = window[0]
-                number, offset = head["key"] << 20 | (head["start"] + skip) // WINDOW, 0
-                for w, a, n in window:
-                    out.append(w | {"win": None, "place": None, "ids": None} | piece(w["text"][a : a + n], w["start"] + a, number, offset))
-                    offset += n
-                window, room = [], WINDOW
-    for place, (m, at, n) in enumerate(window):
-        out.append(m | {"start": m["start"] + at, "ids": m["text"][at:].tobytes(), "n": n, "win": window[0][0]["key"], "place": place})
-    return out
-
-
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Every id of every document, END_ID included, lies in exactly one piece; a sequence has 2048 ids, or a smaller power
-    of two at the very end. A null or empty text is END_ID alone. Rows with the same id are documents of their own.
-    Seeds search all documents, whatever shard_tokens is; it bounds what one task holds. sequence_id is unique, not
-    gapless. Other columns are not read.
+    Every id of every document, END_ID included, lies in exactly one piece; a sequence has 2048 ids, or, at the end of a
+    shard, a smaller power of two. A null or empty text is END_ID alone. Rows with the same id are documents of their
+    own. shard_tokens: of a shard, on average. sequence_id is unique, not gapless. Other columns are not read.
     """
     tokens = written(token_ids(docs, id_col=id_col, text_col=text_col, vocabulary=vocabulary), "packing-ids")
     n_docs, total = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = _frequencies(tokens)
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    common = np.argsort(-df, kind="stable")[:DENSE]
     mean = total / max(1, n_docs)
-    shards = max(1, -(-total // shard_tokens))
-    count = int(max(16, 4 * WINDOW // max(1, mean)))
-    schema = STATE.format(tokens.schema["doc_id"].dataType.simpleString())
-    shared = tokens.sparkSession.sparkContext.broadcast(idf.astype(np.float32))  # one entry per vocabulary id
-
-    def numbered(key: tuple[pa.Scalar, ...], shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        none = pa.nulls(len(shard), pa.int64())
-        keys = pa.array((key[0].as_py() << 24) + np.arange(len(shard)), pa.int64())
-        return pa.table([keys, shard.column("doc_id"), pa.array(np.zeros(len(shard), np.int64)), shard.column("n"), shard.column("ids"), shard.column("n"), none, none, none, none, none], NAMES)
-
-    def windows(bucket: pa.Table) -> pa.Table:
-        rows = bucket.to_pylist()
-        for r, text in zip(rows, unpacked(bucket.column("ids"), bucket.column("n").to_pylist()), strict=True):
-            r["text"] = text
-        rows.sort(key=lambda r: (r["win"], r["place"] is None, r["place"] or 0, -(r["score"] or 0), r["tie"] or 0, r["key"]))
-        out = [x for _, group in groupby(rows, key=itemgetter("win")) for x in laid(list(group))]
-        kinds = {**{name: pa.int64() for name in NAMES}, "doc_id": bucket.schema.field("doc_id").type, "ids": pa.binary()}
-        return pa.table({name: pa.array([x.get(name) for x in out], kinds[name]) for name in NAMES})
-
-    def rest(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending")])
-        starts, texts = table.column("start").to_pylist(), unpacked(table.column("ids"), table.column("n").to_pylist())
-        pieces = [(d, piece(texts[d][s : s + n], starts[d] + s, (shards << 44) + k, before)) for k, sequence in enumerate(fill(texts, shared.value, mean)) for (d, s, n), before in zip(sequence, np.cumsum([0] + [p[2] for p in sequence]).tolist(), strict=False)]
-        taken = table.take(pa.array([d for d, _ in pieces], pa.int64()))
-        none = pa.nulls(len(pieces), pa.int64())
-        made = {name: pa.array([p[name] for _, p in pieces], pa.int64()) for name in ("start", "n", "crc", "sequence_id", "offset")}
-        return pa.table([made.get(name, none if name in ("win", "place") else pa.nulls(len(pieces), pa.binary()) if name == "ids" else taken.column(name)) for name in NAMES], NAMES)
-
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
-    last = state = written(dealt.groupBy("shard").applyInArrow(numbered, schema), "packing-state")
+    # one entry per vocabulary id
+    idf = tokens.sparkSession.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32))
+    places = written(routed(tokens, idf, mean), "packing-places")
     removed(tokens)
-    done: list[DataFrame] = []
-    generation = 0
-    while True:
-        left, loose, opened = state.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("win").isNull()), F.count_if(F.col("place") == 0)).first()
-        if left <= shard_tokens or not loose:
-            break
-        generation += 1
-        share = max(1, -(-left // (2 * WINDOW)) - opened) / loose
-        chosen = F.col("win").isNull() & (F.pmod(F.xxhash64("key", F.lit(generation)), F.lit(1 << 30)) < int(min(1, share) * (1 << 30)))
-        now = state.withColumn("place", F.when(chosen, 0).otherwise(F.col("place"))).withColumn("win", F.when(chosen, F.col("key")).otherwise(F.col("win")))
-        seeds = now.where("place = 0")
-        buckets = max(1, -(-left // shard_tokens))
-        found = nearest(seeds, now.where("win is null"), shared, common, mean, count, max(1, -(-left // (2 * BATCH_TOKENS))))
-        suits = Window.partitionBy("key").orderBy(F.desc("score"), "tie", "win")
-        given = written(found.withColumn("rank", F.row_number().over(suits)).where("rank = 1").select("key", F.col("win").alias("to"), "score", "tie"), "packing-given")  # read twice below
-        joined = now.join(given, "key", "left").withColumn("win", F.coalesce("win", "to")).drop("to")
-        asked = joined.where("win is not null").withColumn("bucket", F.pmod(F.xxhash64("win"), F.lit(buckets)))
-        after = written(asked.groupBy("bucket").applyInArrow(windows, schema).unionByName(joined.where("win is null").select(NAMES)), "packing-state")
-        done.append(written(after.where("crc is not null").drop("ids"), "packing-pieces"))
-        removed(last, given)
-        last, state = after, after.where("crc is null")
-    done.append(state.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda table: rest(table.drop_columns("all")), schema).drop("ids"))
-    out = reduce(DataFrame.unionByName, done)
-    return out.select(F.col("doc_id").alias(id_col), "start", F.col("n").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    # many equal documents have one place: the salt lets them fall in several shards
+    dealt = places.withColumn("salt", F.xxhash64("doc_id", "n")).repartitionByRange(max(1, -(-total // shard_tokens)), "cluster", "near", "salt")
+
+    def run(batches):
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        partition = TaskContext.get().partitionId()
+        rows = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in ("cluster", "near", "salt", "doc_id", "ids")])
+        sizes = rows.column("n").to_numpy()
+        before = np.cumsum(sizes) - sizes
+        # ranges are cut by a sample of rows, so some are larger than others: cut once more where they are
+        shard = before * max(1, -(-int(sizes.sum()) * 2 // (3 * shard_tokens))) // int(sizes.sum())
+        sequence = partition << 32
+        for a, b in pairwise([*np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist(), len(rows)]):
+            part = rows.slice(a, b - a)
+            texts = unpacked(part.column("ids"), part.column("n").to_pylist())
+            doc, start, length, crc, number, offset = ([] for _ in range(6))
+            for pieces in fill(texts, idf.value, mean):
+                at = 0
+                for d, s, n in pieces:
+                    for column, value in zip((doc, start, length, crc, number, offset), (d, s, n, zlib.crc32(texts[d][s : s + n].astype("<u4").tobytes()), sequence, at), strict=True):
+                        column.append(value)
+                    at += n
+                sequence += 1
+            taken = part.select(["doc_id", "n"]).take(pa.array(doc, pa.int64())).combine_chunks()
+            ids, all_tokens = (taken.column(c).chunk(0) for c in ("doc_id", "n"))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (start, length, crc)), all_tokens, *(pa.array(c, pa.int64()) for c in (number, offset))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    packed = dealt.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return packed.withColumnRenamed("doc_id", id_col)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
