@@ -3,36 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sumforge.llm import exact_dedup, minhash, packing, quality, suffix_dedup
 from sumforge.llm._shared import table, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier takes for good; without labels, all."""
+    """Documents that the quality classifier takes for good; without labels, all. A null text is judged as an empty one."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of the documents that are equal without white space."""
+    """One of the documents that are equal without white space; null counts as empty, rows without an id come last."""
     return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near-duplicates, by five-word shingles and a similarity of 0.8 or more."""
-    groups = minhash.near_groups(docs, shingle=5, percent=80)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One of each group of near-duplicates, by five-word shingles and a similarity of 0.8 or more.
+
+    Documents without words and rows without an id stay.
+    """
+    return minhash.keep_one(docs, shingle=5, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of any 400-byte string that occurs elsewhere too."""
-    return suffix_dedup.cut_texts(docs, chars_col="n_chars")
+    """Texts without the words of any run of 50 words that occurs elsewhere too; null texts stay null."""
+    return suffix_dedup.cut_texts(docs, chars_col="n_chars", words=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens; an empty or null text is an end mark alone."""
     return packing.pack(docs)
 
 
