@@ -55,3 +55,24 @@ def test_neighbours_meet_from_all_shards(documents):
         windows.setdefault(r.sequence_id, []).append(r.doc_id % 12)
     alike = sum(max(map(w.count, w)) for w in windows.values()) / sum(map(len, windows.values()))
     assert alike > 0.7
+
+
+def test_scores_are_those_of_plain_bm25():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 90, int(n)).astype("<u2") for n in rng.integers(1, 200, 50)]
+    idf = rng.random(90).astype(np.float32)
+    mean = float(np.mean([len(d) for d in docs]))
+    from sumforge.llm import packing
+
+    for dense in (0, 7, 90):
+        packing.DENSE, before = dense, packing.DENSE
+        index = packing.Index(docs, idf, mean)
+        packing.DENSE = before
+        for query in docs[:10]:
+            want = [sum(idf[t] * (tf := int((d == t).sum())) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(query.tolist()) if (d == t).any()) for d in docs]
+            assert np.allclose(index.scores(query), want, rtol=1e-4)
+
+
+def test_copies_spread_over_shards(documents):
+    rows = pack(documents(["the very same text " * 40] * 300 + [f"another {k}" for k in range(50)]), shard_tokens=2_000).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) > 5 and sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())

@@ -49,3 +49,27 @@ def test_risk_uses_no_negatives():
     good, bad = rng.normal(2, 1, (6000, 2)), rng.normal(-2, 1, (1000, 2))
     model = quality.fit(good[:3000], np.concatenate([good[3000:], bad]), 0.75)
     assert (model.score(good[3000:]) > 0.5).mean() > 0.95 and (model.score(bad) < 0.5).mean() > 0.9
+
+
+def test_minimum_of_the_risk_against_plain_descent():
+    """On one statistic with few values the weights can be found by plain gradient descent over the score of each value."""
+    rng = np.random.default_rng(1)
+    values = np.arange(4.0)
+    positive = rng.choice(values, 4000, p=[0.1, 0.2, 0.3, 0.4])[:, None]
+    bad = rng.choice(values, 1500, p=[0.6, 0.3, 0.05, 0.05])[:, None]
+    unlabelled = np.concatenate([rng.choice(values, 3500, p=[0.1, 0.2, 0.3, 0.4])[:, None], bad])
+    prior = 0.7
+    model = quality.fit(positive, unlabelled, prior, steps=3000, ridge=0.0)
+    p, u = (np.array([(x == v).mean() for v in values]) for x in (positive, unlabelled))
+    raw = np.zeros(4)
+
+    def risk(raw):
+        minus = u @ np.logaddexp(0, raw) - prior * p @ np.logaddexp(0, raw)
+        return prior * p @ np.logaddexp(0, -raw) + max(0.0, minus)
+
+    for _ in range(20_000):
+        s = 1 / (1 + np.exp(-raw))
+        minus = u @ np.logaddexp(0, raw) - prior * p @ np.logaddexp(0, raw)
+        raw -= 0.5 * (prior * p * (s - 1) + (u * s - prior * p * s if minus >= 0 else 0))
+    found = model.raw(values[:, None])
+    assert risk(found) < risk(raw) + 2e-3

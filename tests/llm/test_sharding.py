@@ -46,3 +46,15 @@ def test_dot_product_rule():
     residual = np.array([[0.5, 0.1], [0.2, 0.9]])
     assert sharding.place(np.array([[1.0, 0.0], [0.0, 1.0]]) * 0.1, residual).tolist() == [0, 1]
     assert np.allclose(residual, [[0.4, 0.1], [0.2, 0.8]])
+
+
+def test_placing_against_plain_python():
+    rng = np.random.default_rng(2)
+    demand, residual = rng.random((60, 3)) / 100, np.full((5, 3), 0.2)
+    want, left = [], residual.copy().tolist()
+    for item in demand.tolist():
+        products = [sum(w * d * r for w, d, r in zip(sharding.WEIGHTS, item, row, strict=True)) for row in left]
+        at = products.index(max(products))
+        want.append(at)
+        left[at] = [r - d for r, d in zip(left[at], item, strict=True)]
+    assert sharding.place(demand, residual, sharding.WEIGHTS).tolist() == want and np.allclose(residual, left)
