@@ -69,10 +69,15 @@ class Ids:
             ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items()}
             self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def of(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.specials) or (len(text) > LONG_WORD and (" " * LONG_WORD in text or max(map(len, text.split(" "))) > LONG_WORD)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(array("I", self.fast.encode_ordinary(text)), np.uint32)
+    def slow(self, text: str) -> bool:
+        """Whether the library itself is asked. A run of LONG_WORD characters without a space fills one of the parts looked at."""
+        if self.fast is None or any(s in text for s in self.specials):
+            return True
+        half = LONG_WORD // 2
+        return len(text) > LONG_WORD and (" " * LONG_WORD in text or any(text.find(" ", a, a + half) < 0 for a in range(0, len(text) - half + 1, half)))
+
+    def of(self, text: str) -> array:
+        return array("H" if self.size <= 1 << 16 else "I", self.tokenizer.encode(text, add_special_tokens=False).ids if self.slow(text) else self.fast.encode_ordinary(text))
 
 
 @lru_cache(maxsize=2)
@@ -92,11 +97,14 @@ def token_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         tokens = ids_of(vocabulary or default_vocabulary())
-        kind = "<u2" if tokens.size <= 1 << 16 else "<u4"
-        end = np.array([END_ID], kind).tobytes()
         for batch in batches:
-            out = [tokens.of(t).astype(kind).tobytes() + end for t in batch.column(1).to_pylist()]
-            n = pa.array([len(x) // int(kind[-1]) for x in out], pa.int64())
+            out, n = [], []
+            for text in batch.column(1).to_pylist():
+                ids = tokens.of(text)
+                ids.append(END_ID)
+                out.append(ids.tobytes())
+                n.append(len(ids))
+            n = pa.array(n, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), n], ["doc_id", "ids", "n"])
 
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids binary, n long")
@@ -229,6 +237,14 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> list[list[tupl
     return done
 
 
+@lru_cache(maxsize=1)
+def projection(terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """A random sign for each term and dimension; two exponential variates for each term."""
+    rng = np.random.default_rng(1)
+    signs = rng.integers(0, 2, (terms, DIMENSIONS), np.int8).astype(np.float32) * 2 - 1
+    return signs, rng.exponential(size=(2, terms)).astype(np.float32)
+
+
 class Router:
     """Places documents on a line on which lexical neighbours are close: by cluster, then by weighted min-hashes.
 
@@ -238,9 +254,7 @@ class Router:
 
     def __init__(self, idf: np.ndarray, mean: float, centres: np.ndarray | None = None, middle: np.ndarray | None = None):
         self.idf, self.mean, self.centres, self.middle = idf, mean, centres, middle
-        rng = np.random.default_rng(1)
-        self.signs = rng.choice(np.array([-1, 1], np.float32), (len(idf), DIMENSIONS))
-        self.spans = rng.exponential(size=(2, len(idf))).astype(np.float32)
+        self.signs, self.spans = projection(len(idf))
 
     def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         terms, tf = np.unique(ids, return_counts=True)
@@ -276,9 +290,8 @@ def centres_of(vectors: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarr
     return centres[order].astype(np.float32)
 
 
-def routed(tokens: DataFrame, idf, mean: float) -> DataFrame:
-    """tokens with cluster and near, the place of each document; centres are learnt from SAMPLE documents at most."""
-    n = tokens.count()
+def routed(tokens: DataFrame, n: int, idf, mean: float) -> DataFrame:
+    """tokens, n of them, with cluster and near, the place of each document; centres are learnt from SAMPLE at most."""
     chance = min(1.0, 2 * SAMPLE / max(1, n))
     picked = tokens.where(F.pmod(F.xxhash64("doc_id", "n", F.lit(3)), F.lit(1 << 20)) < int(chance * (1 << 20)) + 1)
 
@@ -328,7 +341,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     mean = total / max(1, n_docs)
     # one entry per vocabulary id
     idf = tokens.sparkSession.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32))
-    places = written(routed(tokens, idf, mean), "packing-places")
+    places = written(routed(tokens, n_docs, idf, mean), "packing-places")
     removed(tokens)
     kind = tokens.schema["doc_id"].dataType.simpleString()
     # many equal documents have one place: the salt lets them fall in several shards
