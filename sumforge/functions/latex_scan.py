@@ -9,13 +9,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from sumforge.functions import latex_reader as R
+
 # Relations that separate the links of a chain, longest first.
 RELATIONS = sorted(
     ["\\coloneqq", "\\coloneq", "\\eqqcolon", "\\eqcolon", "\\triangleq", "\\equiv", "\\defeq", "\\doteq", "\\approx", "\\leq", "\\le", "\\geq", "\\ge", "\\neq", "\\ne", "\\ll", "\\gg", "\\prec", "\\succ", "\\preceq", "\\succeq", "\\subset", "\\supset", "\\subseteq", "\\supseteq", "≈", "=", "<", ">", "≤", "≥", "≠", "≪", "≫"],
     key=len, reverse=True,
 )
 _ENVIRONMENT = re.compile(r"\\begin\{(align|equation|gather|multline|eqnarray)(\*?)\}(.*?)\\end\{\1\2\}", re.S)
-_CONDITION = re.compile(r"\\text\s*\{\s*(?:for|when|if|where|provided|given|with)\s*\}")
 _TRIG = "sinh|cosh|tanh|sin|cos|tan|sec|csc|cot"
 
 
@@ -46,20 +47,15 @@ def chain(s: str) -> list[str]:
     return [*out, s[at:]]
 
 
+_SPACING = ("\\,", "\\;", "\\!", "\\:")
+
+
 def clean(s: str) -> str:
     """One expression: sizes, tags and spacing commands off, bounds, logarithms, powers and arguments in standard form."""
-    s = re.sub(r"\\tag\{[^}]*\}|\\(?:left|right|limits|displaystyle|,|;|!|:)(?![a-zA-Z])|&", "", s)
-    s = re.sub(r"\\(?:dfrac|tfrac)(?![a-zA-Z])", r"\\frac", s)
-    s = re.sub(r"\\int\s+(?=[_^])", r"\\int", s)
-    braced, bare = r"\{((?:[^{}]|\{[^{}]*\})*)\}", r"([^{}^_\s\\]+)"
-    for pattern, to in [(rf"\\int_{bare}", r"\\int_{\1}"), (rf"\\int_{braced}\^{bare}", r"\\int_{\1}^{\2}"), (rf"\\int\^{bare}(?=_)", r"\\int^{\1}"), (rf"\\int\^{braced}_{bare}", r"\\int^{\1}_{\2}"), (rf"\\int\^{braced}_{braced}", r"\\int_{\2}^{\1}")]:
-        s = re.sub(pattern, to, s)
-    s = re.sub(r"\\ln(?![a-zA-Z])", r"\\log", s)
-    s = re.sub(rf"\\({_TRIG}|log)\^(\{{[^}}]+\}}|\d+)\s*([a-zA-Z])\b", r"\\\1(\3)^{\2}", s)
-    s = re.sub(rf"\\({_TRIG}|log)\^(\{{[^}}]+\}}|\d+)(\([^\\)]*\))", r"\\\1\3^{\2}", s)
-    s = re.sub(rf"\\({_TRIG}|log)(?![a-zA-Z])\s*([a-zA-Z])\b", r"\\\1(\2)", s)
+    s = "".join(t for t in R.tokens(R.tags(R.limits_removed(R.sizes_unwrapped(R.differentials(s))))) if t not in _SPACING and t != "&")
+    s = R.special_functions(R.integral_bounds(R.fractions(s)))
     s = re.sub(r"\s+", " ", s).strip().rstrip(".,;").strip()
-    return re.sub(r"([)}])\s+", r"\1", s)
+    return re.sub(r"([)}]) ", r"\1", s)
 
 
 def normalize(raw: str | None) -> list[dict]:
@@ -95,8 +91,7 @@ def normalize(raw: str | None) -> list[dict]:
     parts = equations if len(rows) > 1 and len(equations) > 1 else [" ".join(rows)]
     out = []
     for k, part in enumerate(parts):
-        m = _CONDITION.search(part)
-        main, condition = (part[: m.start()], part[m.start() :].strip()) if m else (part, None)
+        main, condition = R.main_and_condition(part)
         links = [clean(x) for x in chain(main)]
         leading, rest = links[0], [x for x in links[1:] if x and x != links[0]]
         out.append({"part": k, "accepted": bool(leading), "leading": leading or None, "equivalents": rest if leading else [], "conditions": condition, "reason": None if leading else "empty_after_processing"})

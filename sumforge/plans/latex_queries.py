@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from sumforge.functions import expressions as E
 from sumforge.functions import latex as L
+from sumforge.functions import latex_reader as R
 from sumforge.functions import latex_scan
+from sumforge.functions.latex_reader import column
 from sumforge.sources.tables import sql_text, table
 
+# Inputs of the golden tables and what must come of them.
 GOLDEN = {
     "bounds_canonicalize": (L.canonical_bounds, {
         r"\int_0^1": r"\int_{0}^{1}", r"\int_{-1}^1": r"\int_{-1}^{1}", r"\int_0^{\frac{\pi}{2}}": r"\int_{0}^{\frac{\pi}{2}}", r"\int^1_0": r"\int_{0}^{1}",
@@ -26,10 +29,24 @@ GOLDEN = {
     "function_arguments": (L.function_arguments, {r"\sin x": r"\sin(x)", r"\cos 2x": r"\cos(2x)", r"\sinh x": r"\sinh(x)", r"\sin(x)": r"\sin(x)", r"\tan xy": r"\tan xy"}),
     "differentials": (L.differentials, {r"\mathrm{d}x": "dx", r"\text{dx}": "dx", r"f(x)\,dx": "f(x)dx", r"\dx": "dx", r"\textrm{ d } t": "dt"}),
     "sanitize_invisible": (L.sanitized, {"a\u200bb": "ab", "x\u00a0y": "x y", "\ufeffz": "z"}),
+    "unwrap_sizes": (column(R.sizes_unwrapped), {r"\left(x\right)": "(x)", r"\left.\frac{1}{x}\right|": r"\frac{1}{x}|", r"\bigl( x \bigr)": "( x )", r"\Big{(}x\Big{)}": "(x)", r"\left\{x\right\}": r"\{x\}", r"\leftarrow": r"\leftarrow"}),
+    "strip_colours": (column(R.colours_stripped), {r"\color{red}{x}": "{x}", r"\color{blue} x+1": " x+1", r"\textcolor{red}{y^2}": "y^2", r"\color x": "x", "x": "x"}),
+    "unbraced_fractions": (column(R.fractions), {r"\frac12": r"\frac{1}{2}", r"\dfrac{a}{b}": r"\frac{a}{b}", r"\frac\pi2": r"\frac{\pi}{2}", r"\frac{1}x": r"\frac{1}{x}", r"\tfrac 1 2": r"\frac{1}{2}", r"\frac{\frac12}{3}": r"\frac{\frac{1}{2}}{3}", r"\frac{1}": r"\frac{1}"}),
+    "unbraced_scripts": (column(R.scripts), {r"x^\frac{1}{2}": r"x^{\frac{1}{2}}", r"x_\alpha": r"x_{\alpha}", r"e^\sqrt{x}": r"e^{\sqrt{x}}", r"2^\sqrt 3": r"2^{\sqrt{3}}", r"x^{\pi}": r"x^{\pi}", "x^2": "x^2"}),
+    "over_to_frac": (column(R.over_to_frac), {r"{a \over b}": r"\frac{a}{b}", r"{1+x \over {y}}": r"\frac{1+x}{{y}}", r"x {a} y": r"x {a} y", r"{\overline{x}}": r"{\overline{x}}"}),
+    "remaining_artifacts": (column(R.artifacts), {r"\big x": " x", r"\phantom{abc}y": "y", r"\mathrm{d}": "d", r"\text{ erf }(x)": r"\operatorname{erf}(x)", r"a\cdot b": r"a \cdot  b", r"\bigtriangleup": r"\bigtriangleup"}),
+    "text_inside": (column(R.text_inside), {r"\text{  for   all }x": r"\text{ for all }x", r"\text {a  b}": r"\text{a b}", r"\textbf{a  b}": r"\textbf{a  b}"}),
+    "special_functions": (column(R.special_functions), {r"\sin^2 x + \ln x": r"\sin(x)^{2} + \log(x)", r"\tan^{-1}(x)": r"\arctan(x)", r"\cosh 2x": r"\cosh(2x)"}),
+    "clean_side": (column(R.clean_side), {"x + 1 .": "x + 1", r"&= { x } ,": "={x}", " f ( x ) ;": "f(x)", r"a\,": r"a\,", "": ""}),
+    "strip_environments": (column(R.stripped), {r"\color{red}\left( \frac12 \right)": r"( \frac{1}{2} )", r"\int\limits^1_0 \ln x \,dx \tag{3}": r"\int_{0}^{1} \log(x) dx"}),
+    "main_part": (column(lambda x: R.main_and_condition(x)[0]), {r"x = 1 \text{ for } y > 0": "x = 1", r"f(x) \quad a > 0": "f(x)", "g(x) = x^2 (x > 0)": "g(x) = x^2", "I(a) = a + 1, a > 2": "I(a) = a + 1", "x + 1": "x + 1"}),
+    "condition_part": (column(lambda x: R.main_and_condition(x)[1]), {r"x = 1 \text{ for } y > 0": r"\text{ for } y > 0", r"f(x) \quad a > 0": r"\quad a > 0", "g(x) = x^2 (x > 0)": "(x > 0)", "I(a) = a + 1, a > 2": "a > 2", "x + 1": None}),
     "family_classify": (L.family, {"sin(x)": "sin", "asin(x)": "asin,sin", "polylog(2, x)": "log,polylog", "x + 1": "elementary", "x**2/exp(x)": "div,exp,pow", "Abs(cosh(x))": "abs,cosh", "zeta(3)*ln(x)": "log,zeta"}),
 }
 
 FLAGS = {
+    "predicates_matrix": (L.matrix, {r"\begin{pmatrix} 1 \end{pmatrix}": True, r"\begin{matrix}": True, r"\begin{align}": False}),
+    "predicates_implication": (L.implication, {r"a \Rightarrow b": True, r"a \iff b": True, "a = b": False}),
     "predicates_piecewise": (L.piecewise, {r"\begin{cases} 1 \\ 2 \end{cases}": True, r"\left\{ a \\ b": True, "x^2": False, r"\begin{array} \text{if } x": True}),
     "predicates_multi": (L.multiple_statements, {"x and y": True, r"a \text{or} b": True, "where x = 1": True, "sand": False}),
     "predicates_inequality": (L.inequality, {r"a \le b": True, r"\left( x": False, "a < b": True, "a = b": False, "x ≠ y": True}),
