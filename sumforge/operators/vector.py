@@ -65,7 +65,8 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, *, exclude_self: bool =
             score[qi[:, None] == ci[None, :]] = -np.inf
         out = []
         for row, at in zip(score, qi, strict=True):
-            best = np.lexsort((ci, -row))[:k]
+            near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))  # all that tie with the last
+            best = near[np.lexsort((ci[near], -row[near]))[:k]]
             best = best[np.isfinite(row[best])]
             out.append(pa.table({"query_id": np.full(len(best), at), "vec_id": ci[best], "score": row[best]}))
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -85,7 +86,7 @@ def per_query(ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20)) -> DataFr
     h = F.col("hit").cast("int")
     rows = ranked.withColumn("h", h).withColumn("seen", F.sum("h").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     gain = lambda r: 1.0 / F.log2(r + F.lit(1.0))
-    agg = rows.groupBy("query_id").agg(
+    agg = rows.groupBy("query_id", *(c for c in ("family",) if c in ranked.columns)).agg(
         *(F.max(F.when(F.col("rank") <= k, F.col("h")).otherwise(0)).cast("double").alias(f"hit_{k}") for k in ks),
         *(F.sum(F.when(F.col("rank") <= k, F.col("h")).otherwise(0)).alias(f"matches_{k}") for k in ks),
         F.coalesce(1.0 / F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0.0)).alias("reciprocal"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sumforge.functions import expressions as E
 from sumforge.operators import dataset as D
-from sumforge.operators import egraph, text_features
+from sumforge.operators import egraph, ranges, text_features
 from sumforge.sources.tables import sql_text, table
 from sumforge.streaming import limits
 
@@ -161,8 +161,7 @@ def evenly_spaced_sample(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id")
     n = rows.count()
     places = spark.range(25).select(F.floor(F.col("id") * (n - 1) / 24).alias("at")).distinct()
-    numbered = rows.withColumn("at", F.row_number().over(Window.orderBy("vec_id")) - 1)  # ids only
-    return numbered.join(F.broadcast(places), "at").select(F.col("at").cast("long").alias("at"), "vec_id")
+    return ranges.numbered(rows, "vec_id").join(F.broadcast(places), "at").select(F.col("at").cast("long").alias("at"), "vec_id")
 
 
 def learning_rate_schedule(spark, d):
@@ -183,8 +182,8 @@ def training_summary(spark, d):
 def metrics_history(spark, d):
     """Each epoch's mean and the mean of all epochs so far."""
     per = table(spark, d, "events").groupBy((F.floor(F.col("event_id") / 500)).alias("epoch")).agg(F.avg("value").alias("mean"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    w = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)  # one row for each epoch
-    return per.select("epoch", F.round("mean", 6).alias("mean"), F.round("norm", 4).alias("norm"), F.round(F.avg("mean").over(w), 6).alias("mean_so_far"))
+    per = ranges.numbered(ranges.running(per, "epoch", "mean", of=F.sum, merge=lambda a, b: a + b), "epoch")
+    return per.select("epoch", F.round("mean", 6).alias("mean"), F.round("norm", 4).alias("norm"), F.round(F.col("so_far") / (F.col("at") + 1), 6).alias("mean_so_far"))
 
 
 def parameter_histogram(spark, d):

@@ -26,7 +26,7 @@ def checksum_dedup_keep_first(spark, d):
 
 
 def group_by_hash(spark, d):
-    return S.groups(_instances(spark, d).withColumn("variant", F.substring("variant", 1, 24)))  # as the SQL has it; the operator keeps whole variants
+    return S.groups(_instances(spark, d))
 
 
 def count_groups(spark, d):
@@ -164,7 +164,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _I = "i AS (SELECT doc_id AS instance_id, substr(sha256(text), 1, 12) AS hash, source AS family, CASE WHEN lang = 'en' THEN 'definite' ELSE 'indefinite' END AS kind, doc_id % 97 AS question_id, text AS variant FROM documents), x AS (SELECT DISTINCT doc_id AS instance_id FROM labels WHERE toxic = 1)"
-_G = "g AS (SELECT hash, arg_min(family, instance_id) AS family, count(*) FILTER (kind = 'definite') AS definite, count(*) FILTER (kind <> 'definite') AS indefinite, count(DISTINCT CASE WHEN question_id <> 0 THEN question_id END) AS questions, min(instance_id) AS first_id, array_to_string(list_slice(list_sort(list_distinct(list(substr(variant, 1, 24)))), 1, 10), '|') AS variants FROM i GROUP BY hash)"
+_G = "g AS (SELECT hash, arg_min(family, instance_id) AS family, count(*) FILTER (kind = 'definite') AS definite, count(*) FILTER (kind <> 'definite') AS indefinite, count(DISTINCT CASE WHEN question_id <> 0 THEN question_id END) AS questions, min(instance_id) AS first_id, array_to_string(list_slice(list_sort(list_distinct(list(variant))), 1, 10), '|') AS variants FROM i GROUP BY hash)"
 
 ORACLE_SQL = {
     "checksum_dedup_keep_first": "SELECT 'sha256:' || sha256(text) AS checksum, min(doc_id) AS doc_id FROM documents GROUP BY ALL",

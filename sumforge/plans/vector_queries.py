@@ -56,8 +56,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    ranked = _ranked(spark, d)
-    return V.per_query(ranked).join(ranked.select("query_id", "family").distinct(), "query_id")
+    return V.per_query(_ranked(spark, d))
 
 
 def retrieval_recall_at_k(spark: SparkSession, d: str) -> DataFrame:

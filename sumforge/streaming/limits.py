@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sumforge.operators import ranges
+
 
 def rolling_count(events: DataFrame, *, seconds: int) -> DataFrame:
     """events(user_id, ts, event_id) with the number of the user's events in the window that ends with each, ends included."""
@@ -63,16 +65,35 @@ def keep_first_stream(rows: DataFrame, key: str) -> DataFrame:
     return rows.dropDuplicates([key])
 
 
-def ema(series: DataFrame, *, alpha: float = 0.9) -> DataFrame:
-    """series(name, step, value) with last * alpha + (1 - alpha) * value, from the first value on; ordered within a name."""
-    ordered = series.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("step", "value"))).alias("s"))
-    start = F.struct(F.get("s", F.lit(0))["value"].alias("last"), F.array().cast("array<struct<step:bigint,ema:double>>").alias("out"))
+def ema(series: DataFrame, *, alpha: float = 0.9, width: int = ranges.WIDTH) -> DataFrame:
+    """series(name, step, value) with last * alpha + (1 - alpha) * value, from the first value on; ordered within a name.
+
+    Each range of width steps is smoothed from zero on; what the ranges before hand on decays by alpha with each row. So
+    a task holds one range, and of a whole series one row for each range.
+    """
+    rows = ranges.ranged(series, "step", width=width).select("name", "__range", "step", F.col("value").cast("double").alias("value"))
+
+    def smooth(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("step", ignore_index=True)
+        last, out = 0.0, []
+        for value in group["value"]:
+            last = last * alpha + (1 - alpha) * value
+            out.append(last)
+        return group.assign(ema=out, n=range(1, len(group) + 1))
 
-    def push(acc, x):
-        last = acc["last"] * alpha + (1 - alpha) * x["value"]
-        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(F.struct(x["step"].alias("step"), last.alias("ema")))).alias("out"))
+    def handed(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("__range", ignore_index=True)
+        carry, out = float(group["first"].iloc[0]), []
+        for end, n in zip(group["end"], group["n"], strict=True):
+            out.append(carry)
+            carry = carry * alpha**n + end
+        return group.assign(carry=out)[["name", "__range", "carry"]]
 
-    return ordered.select("name", F.explode(F.aggregate("s", start, push, lambda acc: acc["out"])).alias("e")).select("name", "e.step", "e.ema")
+    name = f"name {series.schema['name'].dataType.simpleString()}"
+    local = rows.groupBy("name", "__range").applyInPandas(smooth, f"{name}, __range long, step long, value double, ema double, n long")
+    ends = local.groupBy("name", "__range").agg(F.min_by("value", "n").alias("first"), F.max_by("ema", "n").alias("end"), F.max("n").alias("n"))
+    carries = ends.groupBy("name").applyInPandas(handed, f"{name}, __range long, carry double")
+    return local.join(carries, ["name", "__range"]).select("name", "step", (F.col("ema") + F.col("carry") * F.pow(F.lit(alpha), "n")).alias("ema"))
 
 
 def moving_average(series: DataFrame, width: int) -> DataFrame:
@@ -82,8 +103,8 @@ def moving_average(series: DataFrame, width: int) -> DataFrame:
 
 
 def running_best(series: DataFrame) -> DataFrame:
-    w = Window.partitionBy("name").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return series.withColumn("best", F.min("value").over(w)).withColumn("is_best", F.col("value") == F.col("best"))
+    found = ranges.running(series, "step", "value", of=F.min, merge=F.least, by=("name",), name="best")
+    return found.withColumn("is_best", F.col("value") == F.col("best")).select(*series.columns, "best", "is_best")
 
 
 def evaluation_schedule(steps: DataFrame, tiers: dict[str, int], warm_up: int) -> DataFrame:
