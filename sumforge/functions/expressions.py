@@ -13,6 +13,7 @@ from fractions import Fraction
 from functools import cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -469,3 +470,78 @@ def sexp_of_prefix(prefixes: pd.Series) -> pd.Series:
             return None
 
     return prefixes.map(one)
+
+
+def encoded(tokens: Column, max_length: int = 128) -> Column:
+    """Ids of an array of tokens with SOE and EOE, cut so that EOE stays, then padded; a null where a token is unknown."""
+    ids = F.create_map(*(F.lit(x) for k, t in enumerate(TOKENS) for x in (t, k)))
+    body = F.concat(F.array(F.lit(1)), F.transform(F.slice(tokens, 1, max_length - 2), lambda t: F.element_at(ids, t)), F.array(F.lit(2)))
+    return F.concat(body, F.array_repeat(F.lit(0), max_length - F.size(body)))
+
+
+def decoded(ids: Column) -> Column:
+    """Tokens of ids up to EOE, padding and SOE left out, joined by spaces; an unknown id shows its number."""
+    names = F.create_map(*(F.lit(x) for k, t in enumerate(TOKENS) for x in (k, t)))
+    end = F.array_position(ids, 2)
+    kept = F.filter(F.when(end > 0, F.slice(ids, 1, (end - 1).cast("int"))).otherwise(ids), lambda i: ~i.isin(0, 1))
+    return F.array_join(F.transform(kept, lambda i: F.coalesce(F.try_element_at(names, i), F.concat(F.lit("<UNKNOWN_"), i.cast("string"), F.lit(">")))), " ")
+
+
+def padding_mask(ids: Column) -> Column:
+    return F.transform(ids, lambda i: i == 0)
+
+
+def known_tokens(prefix: Column) -> Column:
+    """Whether every token of a prefix string is in the vocabulary, apart from the three special ones."""
+    return F.forall(F.split(F.trim(prefix), " +"), lambda t: t.isin(TOKENS[3:]))
+
+
+def prefix_to_text(prefix: str) -> str:
+    """Prefix tokens as a canonical infix expression."""
+    items = prefix.split()
+
+    def read(k: int) -> tuple[str, int]:
+        if k >= len(items):
+            raise Rejected("prefix ends early")
+        t = items[k]
+        if t in ("INT+", "INT-"):
+            end = k + 1
+            while end < len(items) and items[end].isdigit():
+                end += 1
+            if end == k + 1:
+                raise Rejected("sign without digits")
+            return f"({'-' if t == 'INT-' else ''}{''.join(items[k + 1 : end])})", end
+        if t not in ARITY:
+            return {"e": "E"}.get(t, t), k + 1
+        parts, k = [], k + 1
+        for _ in range(ARITY[t]):
+            part, k = read(k)
+            parts.append(part)
+        if t in _SIGNS:
+            return f"({parts[0]}{_SIGNS[t]}{parts[1]})", k
+        if t == "rac":
+            return f"({parts[0]}**(1/{parts[1]}))", k
+        if t == "inv":
+            return f"(1/{parts[0]})", k
+        if t[:3] == "pow" and t[3:].isdigit():
+            return f"({parts[0]}**{t[3:]})", k
+        return f"{t}({','.join(parts)})", k
+
+    text, end = read(0)
+    if end < len(items):
+        raise Rejected("tokens left over")
+    return show(parse(text, 100_000))
+
+
+_SIGNS = {"add": "+", "sub": "-", "mul": "*", "div": "/", "pow": "**"}
+
+
+@F.pandas_udf(T.StringType())
+def infix_of_prefix(prefixes: pd.Series) -> pd.Series:
+    def one(p):
+        try:
+            return prefix_to_text(p) if p and all(t in TOKENS for t in p.split()) else None
+        except (Rejected, RecursionError):
+            return None
+
+    return prefixes.map(one)

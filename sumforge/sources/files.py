@@ -31,7 +31,7 @@ def clusters(spark: SparkSession, path: str) -> DataFrame:
 def tuples(spark: SparkSession, path: str) -> DataFrame:
     """(query, positive, negatives) of TSV lines with at least three columns."""
     cols = F.split("value", "\t")
-    return spark.read.text(path).where(F.size(cols) >= 3).select(cols[0].alias("query"), cols[1].alias("positive"), F.slice(cols, 3, 1_000_000).alias("negatives"))
+    return spark.read.text(path).where(F.size(cols) >= 3).select(cols[0].alias("query"), cols[1].alias("positive"), F.slice(cols, 3, 2**31 - 1).alias("negatives"))
 
 
 def write_tuples(rows: DataFrame, path: str) -> None:
@@ -50,3 +50,82 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").load(path)
     text = F.is_valid_utf8(F.col("content").cast("string")) & ~F.contains(F.col("content").cast("string"), F.lit("\0"))
     return raw.select("path", F.sha2("content", 256).alias("sha256"), F.when(text, F.col("content").cast("string")).otherwise(F.base64("content")).alias("body"))
+
+
+def write_json_lines(rows: DataFrame, path: str, *, append: bool = False) -> None:
+    """Rows as JSON lines; what is there is replaced, or kept if append."""
+    rows.write.mode("append" if append else "overwrite").json(path)
+
+
+def stage_output(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All JSON lines in a stage's folder, those of folders within it too."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+
+
+def write_clusters(rows: DataFrame, path: str) -> None:
+    """rows(seed_hash, seed, equivalents): a folder for each first digit of the hash, a line of JSON for each cluster."""
+    rows.withColumn("part", F.substring("seed_hash", 1, 1)).write.partitionBy("part").mode("overwrite").json(path)
+
+
+def write_frozen_seeds(rows: DataFrame, path: str) -> None:
+    """rows(seed, origin) as text with a header for each origin, the synthetic ones first; sorted by Spark, in one file for each."""
+    order = F.when(F.col("origin") == "synthetic", 0).otherwise(1)
+    heads = rows.select("origin").distinct().select(F.col("origin"), F.concat(F.lit("# "), "origin").alias("value"), F.lit(0).alias("line"), F.lit("").alias("seed"))
+    lines = heads.unionByName(rows.select("origin", F.col("seed").alias("value"), F.lit(1).alias("line"), "seed"))
+    lines.withColumn("place", order).repartition("place").sortWithinPartitions("place", "line", "seed").select("place", "value").write.partitionBy("place").mode("overwrite").text(path)
+
+
+class Store:
+    """The store as Parquet tables in a folder. A rebuild replaces groups, instances and metadata and never the curation log."""
+
+    LOG = "id long, action string, target_type string, target_id string, reason string, context string, created_at timestamp"
+    TABLES = ("integrand_groups", "integral_instances", "mse_metadata")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def create(self) -> None:
+        """An empty curation log, where there is none."""
+        self.spark.createDataFrame([], self.LOG).write.mode("ignore").parquet(f"{self.path}/curation_log")
+
+    def drop(self) -> None:
+        for name in (*self.TABLES, "curation_log"):
+            _deleted(self.spark, f"{self.path}/{name}")
+
+    def rebuild(self, tables: dict[str, DataFrame]) -> None:
+        self.create()
+        for name in self.TABLES:
+            tables[name].write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def log(self, rows: DataFrame) -> None:
+        rows.select(*(c.split()[0] for c in self.LOG.split(", "))).write.mode("append").parquet(f"{self.path}/curation_log")
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+
+class IndexCache:
+    """Embedded corpora kept by name: vectors as Parquet, beside one row of what they were made with."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def save(self, name: str, vectors: DataFrame, model: str) -> None:
+        vectors.write.mode("overwrite").parquet(f"{self.path}/{name}/vectors")
+        about = self.spark.read.parquet(f"{self.path}/{name}/vectors").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dimensions"))
+        about.select(F.lit(name).alias("name"), F.lit(model).alias("model"), "n", "dimensions").write.mode("overwrite").parquet(f"{self.path}/{name}/about")
+
+    def load(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}/vectors")
+
+    def names(self) -> DataFrame:
+        """(name, model, n, dimensions) of all that is kept."""
+        return self.spark.read.parquet(f"{self.path}/*/about")
+
+    def delete(self, name: str) -> bool:
+        return _deleted(self.spark, f"{self.path}/{name}")
+
+
+def _deleted(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
