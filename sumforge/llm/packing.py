@@ -4,7 +4,8 @@ Token ids serve as the terms of the index. Their document frequencies and the me
 documents; the table of frequencies has one entry per vocabulary id, so it is small whatever the corpus.
 
 Documents are dealt into shards by content, so that neighbours meet: they are put in the order of their cluster and of
-weighted min-hashes of their terms, which Spark cuts into ranges of about shard_tokens. A cluster or a text of any number
+weighted min-hashes of their terms, which Spark cuts into ranges of about shard_tokens. A document longer than a window
+fills whole windows by itself, where it lies; only what it has behind them is dealt, so rows are of bounded size. A cluster or a text of any number
 of copies is spread over as many shards as it takes. Each shard has an inverted index; its documents become seeds in
 turn, and a seed's window is filled with the unused documents that score highest for all of the seed's terms. What
 overhangs a window is cut there and seeds the next one. A shard's last, partial window is cut into powers of two, which
@@ -13,6 +14,7 @@ are not padded; so there is no padding at all. The work follows the number of do
 
 from __future__ import annotations
 
+import ctypes
 import json
 import zlib
 from array import array
@@ -38,6 +40,8 @@ SHARD_TOKENS = 2_000_000
 DENSE = 512
 #: Clusters, the documents they are learnt from at most, and dimensions of their vectors. Every document is then placed.
 CLUSTERS, SAMPLE, DIMENSIONS = 64, 8192, 64
+#: Rows whose ids are held together.
+BATCH_ROWS = 1000
 #: Texts with a longer run of characters between spaces go to the slower library.
 LONG_WORD = 1000
 
@@ -97,15 +101,15 @@ def token_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         tokens = ids_of(vocabulary or default_vocabulary())
-        for batch in batches:
-            out, n = [], []
-            for text in batch.column(1).to_pylist():
-                ids = tokens.of(text)
-                ids.append(END_ID)
-                out.append(ids.tobytes())
-                n.append(len(ids))
-            n = pa.array(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), n], ["doc_id", "ids", "n"])
+        for whole in batches:
+            for a in range(0, len(whole), BATCH_ROWS):  # one text at a time is a Python string
+                batch, out, n = whole.slice(a, BATCH_ROWS), [], []
+                for text in batch.column(1):
+                    ids = tokens.of(text.as_py())
+                    ids.append(END_ID)
+                    out.append(ids.tobytes())
+                    n.append(len(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "ids", "n"])
 
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids binary, n long")
 
@@ -291,7 +295,11 @@ def centres_of(vectors: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarr
 
 
 def routed(tokens: DataFrame, n: int, idf, mean: float) -> DataFrame:
-    """tokens, n of them, with cluster and near, the place of each document; centres are learnt from SAMPLE at most."""
+    """What tokens, n of them, have behind their whole windows: (doc_id, ids, whole, n, start, doc_tokens, cluster, near).
+
+    whole has the CRC of each whole window, which needs nothing else to be a sequence.
+    cluster and near are the place on the line; centres are learnt from SAMPLE documents at most.
+    """
     chance = min(1.0, 2 * SAMPLE / max(1, n))
     picked = tokens.where(F.pmod(F.xxhash64("doc_id", "n", F.lit(3)), F.lit(1 << 20)) < int(chance * (1 << 20)) + 1)
 
@@ -310,22 +318,36 @@ def routed(tokens: DataFrame, n: int, idf, mean: float) -> DataFrame:
     def run(batches):
         router = Router(idf.value, mean, *shared.value)
         for batch in batches:
-            places = [router.place(t) for t in unpacked(batch.column("ids"), batch.column("n").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p[0] for p in places], pa.int32()), pa.array([p[1] for p in places], pa.int64())], [*batch.schema.names, "cluster", "near"])
+            out: list[tuple] = []
+            sizes = batch.column("n").to_pylist()
+            for text, n in zip(unpacked(batch.column("ids"), sizes), sizes, strict=True):
+                start = n - n % WINDOW
+                whole = [crc(text[a : a + WINDOW]) for a in range(0, start, WINDOW)]
+                out.append((text[start:].tobytes(), whole, n - start, start, n, *router.place(text[start:] if start < n else text[-WINDOW:])))
+            ids, whole, *numbers = zip(*out, strict=True) if out else [()] * 7
+            names = ["doc_id", "ids", "whole", "n", "start", "doc_tokens", "cluster", "near"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(whole, pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in numbers)], names)
+
+    return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, ids binary, whole array<long>, n long, start long, doc_tokens long, cluster long, near long")
+
+
+def crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
 
-    return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, ids binary, n long, cluster int, near long")
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def removed(*tables: DataFrame) -> None:
-    """Deletes written tables that are not read again."""
-    for t in tables:
-        for name in t.inputFiles():
-            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, False)
+def released() -> None:
+    """Gives what a shard's index took back to the system, for a worker goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def unpacked(ids: pa.ChunkedArray | pa.Array, sizes: list[int]) -> list[np.ndarray]:
-    return [np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(ids.to_pylist(), sizes, strict=True)]
+    return [np.frombuffer(x, f"<u{len(x) // n}" if n else "<u2") for x, n in zip(ids.to_pylist(), sizes, strict=True)]
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -342,10 +364,10 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     # one entry per vocabulary id
     idf = tokens.sparkSession.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32))
     places = written(routed(tokens, n_docs, idf, mean), "packing-places")
-    removed(tokens)
+    rest = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kind = tokens.schema["doc_id"].dataType.simpleString()
     # many equal documents have one place: the salt lets them fall in several shards
-    dealt = places.withColumn("salt", F.xxhash64("doc_id", "n")).repartitionByRange(max(1, -(-total // shard_tokens)), "cluster", "near", "salt")
+    dealt = places.withColumn("salt", F.xxhash64("doc_id", "doc_tokens")).repartitionByRange(max(1, -(-rest // shard_tokens)), "cluster", "near", "salt")
 
     def run(batches):
         held = [b for b in batches if len(b)]
@@ -356,22 +378,27 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
         sizes = rows.column("n").to_numpy()
         before = np.cumsum(sizes) - sizes
         # ranges are cut by a sample of rows, so some are larger than others: cut once more where they are
-        shard = before * max(1, -(-int(sizes.sum()) * 2 // (3 * shard_tokens))) // int(sizes.sum())
+        held_tokens = max(1, int(sizes.sum()))
+        shard = before * max(1, -(-held_tokens * 2 // (3 * shard_tokens))) // held_tokens
         sequence = partition << 32
         for a, b in pairwise([*np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist(), len(rows)]):
             part = rows.slice(a, b - a)
-            texts = unpacked(part.column("ids"), part.column("n").to_pylist())
-            doc, start, length, crc, number, offset = ([] for _ in range(6))
-            for pieces in fill(texts, idf.value, mean):
+            texts, first = unpacked(part.column("ids"), part.column("n").to_pylist()), part.column("start").to_pylist()
+            doc, start, length, crcs, number, offset = ([] for _ in range(6))
+            some = [d for d, t in enumerate(texts) if len(t)]
+            sequences = [[(some[d], first[some[d]] + s, n, crc(texts[some[d]][s : s + n])) for d, s, n in pieces] for pieces in fill([texts[d] for d in some], idf.value, mean)]
+            sequences += [[(d, k * WINDOW, WINDOW, c)] for d, whole in enumerate(part.column("whole").to_pylist()) for k, c in enumerate(whole)]
+            for pieces in sequences:
                 at = 0
-                for d, s, n in pieces:
-                    for column, value in zip((doc, start, length, crc, number, offset), (d, s, n, zlib.crc32(texts[d][s : s + n].astype("<u4").tobytes()), sequence, at), strict=True):
+                for d, s, n, c in pieces:
+                    for column, value in zip((doc, start, length, crcs, number, offset), (d, s, n, c, sequence, at), strict=True):
                         column.append(value)
                     at += n
                 sequence += 1
-            taken = part.select(["doc_id", "n"]).take(pa.array(doc, pa.int64())).combine_chunks()
-            ids, all_tokens = (taken.column(c).chunk(0) for c in ("doc_id", "n"))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (start, length, crc)), all_tokens, *(pa.array(c, pa.int64()) for c in (number, offset))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            taken = part.select(["doc_id", "doc_tokens"]).take(pa.array(doc, pa.int64())).combine_chunks()
+            ids, all_tokens = (taken.column(c).chunk(0) for c in ("doc_id", "doc_tokens"))
+            released()
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (start, length, crcs)), all_tokens, *(pa.array(c, pa.int64()) for c in (number, offset))], PIECE)
 
     packed = dealt.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return packed.withColumnRenamed("doc_id", id_col)
