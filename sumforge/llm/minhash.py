@@ -44,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_words = Memo(xxhash.xxh3_64_intdigest, 500_000)
+_words = Memo(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -99,7 +99,7 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> Da
             texts, at = batch.column(2), 0
             while at < len(texts):
                 sets, total, start = [], 0, at
-                while at < len(texts) and total < 300_000:
+                while at < len(texts) and total < 150_000:
                     sets.append(shingle_set(texts[at].as_py(), shingle))
                     total += len(sets[-1])
                     at += 1
