@@ -50,12 +50,9 @@ def vocabulary(spark, d):
 
 
 def tokenizer_encode(spark, d):
-    """Tokens by native map lookups; unknown ones are null."""
-    ids = F.create_map(*(F.lit(x) for k, t in enumerate(E.TOKENS) for x in (t, k)))
+    """128 ids by native map lookups."""
     rows = _forms(spark, FORMS).select("input", E.describe("input")["prefix"].alias("prefix")).where("prefix is not null")
-    tokens = F.transform(F.split("prefix", " "), lambda t: F.element_at(ids, t))
-    out = F.concat(F.array(F.lit(1)), F.slice(tokens, 1, 14), F.array(F.lit(2)))
-    return rows.select("input", F.array_join(F.concat(out, F.array_repeat(F.lit(0), 16 - F.size(out))), " ").alias("ids"))
+    return rows.select("input", F.array_join(E.encoded(F.split("prefix", " ")), " ").alias("ids"))
 
 
 def token_limit_filter(spark, d):
@@ -97,21 +94,21 @@ def _members(spark, d):
 
 
 def ordered_pairs_sampled(spark, d):
-    return D.ordered_pairs(_members(spark, d), k=3, threshold=20)
+    return D.ordered_pairs(_members(spark, d))
 
 
 def negatives(spark, d):
     m = _members(spark, d)
-    return D.negatives(D.ordered_pairs(m, k=3, threshold=20), m, k=2).select("query_id", "positive_id", F.array_join("negatives", ",").alias("negatives"))
+    return D.negatives(D.ordered_pairs(m), m).select("query_id", "positive_id", F.array_join("negatives", ",").alias("negatives"))
 
 
 def permutation_dedup(spark, d):
-    words = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\. ")).alias("text")).select(F.explode(F.transform(F.when(F.size(F.split("text", " ")) > 1, F.sequence(F.lit(1), F.size(F.split("text", " ")) - 1)), lambda i: F.array_join(F.slice(F.split("text", " "), i, 2), " "))).alias("pair"))
+    words = table(spark, d, "documents").select(F.explode(F.split("text", r"\. ")).alias("text")).select(F.explode(F.transform(F.when(F.size(F.split("text", " ")) > 1, F.sequence(F.lit(1), F.size(F.split("text", " ")) - 1)), lambda i: F.array_join(F.slice(F.split("text", " "), i, 2), " "))).alias("pair"))
     return D.permutation_dedup(words, "pair")
 
 
 def tfidf_char_ngrams(spark, d):
-    return text_features.tfidf(table(spark, d, "benchmark"), "item_id", "text", features=64)
+    return text_features.tfidf(table(spark, d, "benchmark"), "item_id", "text")
 
 
 def rolling_rate(spark, d):
@@ -207,17 +204,19 @@ def _table(rows, names: str) -> str:
 
 _PAIRS = """n AS (SELECT label AS cluster, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY md5(label || '|' || vec_id), vec_id) - 1 AS at, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
 p AS (SELECT a.cluster, a.id AS query_id, b.id AS positive_id FROM n a JOIN n b ON a.cluster = b.cluster AND a.id <> b.id
-  AND ((b.at - a.at) % a.n + a.n) % a.n <= CASE WHEN a.n < 20 THEN a.n - 1 ELSE least(3, a.n - 1) END)"""
+  AND ((b.at - a.at) % a.n + a.n) % a.n <= CASE WHEN a.n < 200 THEN a.n - 1 ELSE least(70, a.n - 1) END)"""
 _NEG = f"""{_PAIRS}, m AS (SELECT label AS cluster, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS at FROM embeddings),
 c AS (SELECT cluster, count(*) AS size, row_number() OVER (ORDER BY cluster) - 1 AS c, count(*) OVER () AS total FROM m GROUP BY cluster),
 s AS (SELECT p.*, c.c, c.total, j, ('0x' || substr(md5('c|42|' || query_id || '|' || positive_id || '|' || j), 1, 8))::BIGINT % (c.total - 1) AS d, ('0x' || substr(md5('m|42|' || query_id || '|' || positive_id || '|' || j), 1, 8))::BIGINT AS pick
-  FROM p JOIN c USING (cluster), range(2) r(j) WHERE c.total > 1),
+  FROM p JOIN c USING (cluster), range(3) r(j) WHERE c.total > 1),
 f AS (SELECT s.query_id, s.positive_id, s.j, m.id FROM s JOIN c o ON o.c = s.d + (s.d >= s.c)::INT JOIN m ON m.cluster = o.cluster AND m.at = s.pick % o.size)
 SELECT query_id, positive_id, string_agg(id::VARCHAR, ',' ORDER BY j) AS negatives FROM f GROUP BY ALL"""
 
 ORACLE_SQL = {
     "canonicalize": _table([(k, *v) for k, v in FORMS.items()], "input, canonical, prefix, sexp"),
     "prefix_to_sexp": _table(SEXPS.items(), "input, output"), "query_normalize": _table(QUERY_FORMS.items(), "input, output"), "symbol_validation": _table(VALID.items(), "input, output"),
+    "vocabulary": "SELECT id::INT AS id, token FROM (VALUES " + ", ".join(f"({k}, {sql_text(t)})" for k, t in enumerate(E.TOKENS)) + ") t(id, token)",
+    "tokenizer_encode": _table([(k, " ".join(map(str, E.encode(prefix.split())))) for k, (_, prefix, _) in FORMS.items() if prefix], "input, ids"),
     "numeric_tokens": _table([("mul -42 x", "mul INT- 4 2 x"), ("add 123 5", "add INT+ 1 2 3 5"), ("0", "0")], "input, output"),
     "token_limit_filter": "SELECT doc_id, len(string_split(text, ' '))::INT AS n FROM documents WHERE len(string_split(text, ' ')) <= 60",
     "egraph_equiv": _table([("sin(x)**2 + cos(x)**2", "1", True), ("x*(x+1)", "x**2 + x", True), ("sin(x)", "cos(x)", False), ("exp(x)*exp(x)", "exp(2*x)", True)], "a, b, same"),
@@ -225,9 +224,9 @@ ORACLE_SQL = {
     "seed_split": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1 AS rk, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN rk < floor(n * 0.8) THEN 'train' WHEN rk < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r",
     "ordered_pairs_sampled": f"WITH {_PAIRS} SELECT * FROM p",
     "negatives": f"WITH {_NEG}",
-    "permutation_dedup": "WITH s AS (SELECT unnest(string_split(text, '. ')) AS text FROM benchmark), w AS (SELECT string_split(text, ' ') AS l FROM s), p AS (SELECT unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS pair FROM w) SELECT array_to_string(list_sort(string_split(pair, ' ')), ' ') AS tokens, min(pair) AS pair, count(*) AS n FROM p GROUP BY 1",
+    "permutation_dedup": "WITH s AS (SELECT unnest(string_split(text, '. ')) AS text FROM documents), w AS (SELECT string_split(text, ' ') AS l FROM s), p AS (SELECT unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS pair FROM w) SELECT array_to_string(list_sort(string_split(pair, ' ')), ' ') AS tokens, min(pair) AS pair, count(*) AS n FROM p GROUP BY 1",
     "tfidf_char_ngrams": """WITH g AS (SELECT item_id AS id, unnest(list_concat(list_transform(range(1, length(text) + 1), lambda i: substring(text, i, 1)), list_transform(range(1, length(text)), lambda i: substring(text, i, 2)), list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3)))) AS term FROM benchmark),
-t AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL), k AS (SELECT term, sum(tf) AS total, count(*) AS df FROM t GROUP BY term ORDER BY total DESC, term LIMIT 64),
+t AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL), k AS (SELECT term, sum(tf) AS total, count(*) AS df FROM t GROUP BY term ORDER BY total DESC, term LIMIT 384),
 w AS (SELECT id, term, tf * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM t JOIN k USING (term))
 SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""",
     "rolling_rate": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS hits FROM events",
