@@ -97,14 +97,13 @@ def _tuples(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d).select("vec_id", "label", V.doubles(F.col("embedding")).alias("e"))
     nxt = Window.partitionBy("label").orderBy("vec_id")
     rows = v.withColumn("p", F.lead("e").over(nxt)).where("p is not null")
-    first = v.groupBy("label").agg(F.min_by("e", "vec_id").alias("e"))
-    families = first.agg(F.sort_array(F.collect_list(F.struct("label", "e"))).alias("f"))  # one vector for each label
-    rows = rows.crossJoin(F.broadcast(families))
-    other = F.filter("f", lambda x: x["label"] != F.col("label"))
+    first = v.groupBy("label").agg(F.min_by("e", "vec_id").alias("first"))
+    at = first.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("at"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))  # labels only
+    first = first.join(at, "label")
     # the labels after the own one, around the end
-    after = F.filter(other, lambda x: x["label"] > F.col("label"))
-    before = F.filter(other, lambda x: x["label"] < F.col("label"))
-    return rows.withColumn("negatives", F.transform(F.slice(F.concat(after, before), 1, 2), lambda x: x["e"]))
+    step = lambda k: first.select(F.pmod(F.col("at") - k, F.col("n")).alias("at"), F.when(F.col("n") > k, F.col("first")).alias(f"n{k}"))
+    rows = rows.join(at, "label").join(step(1), "at").join(step(2), "at")
+    return rows.withColumn("negatives", F.array_compact(F.array("n1", "n2")))
 
 
 def infonce_loss(spark: SparkSession, d: str) -> DataFrame:
