@@ -85,6 +85,26 @@ def ocr_records(pages: DataFrame) -> DataFrame:
     return rows.select("page", F.coalesce("integral.label", F.concat_ws("-", F.col("page").cast("string"), (F.col("position") + 1).cast("string"))).alias("label"), "integral")
 
 
+def backfilled(rows: DataFrame, found: DataFrame, key: str, column: str) -> DataFrame:
+    """rows with column taken from found(key, column) where it is null, and whether it was; of several values the least."""
+    one = found.groupBy(F.col(key).alias("__key")).agg(F.min(column).alias("__value"))
+    joined = rows.join(one, F.col(key) == F.col("__key"), "left")
+    fills = F.col(column).isNull() & F.col("__value").isNotNull()
+    return joined.withColumns({"filled": fills, column: F.coalesce(F.col(column), F.col("__value"))}).drop("__key", "__value")
+
+
+def unread(pages: DataFrame, done: DataFrame, content: str) -> DataFrame:
+    """pages, with the SHA-256 of their content, whose content is not among done(sha256)."""
+    return pages.withColumn("sha256", F.sha2(F.col(content), 256)).join(done.select("sha256").distinct(), "sha256", "left_anti")
+
+
+def guarded(rows: DataFrame, query: str, k: str, group: str, *, longest: int = 200, most: int = 20) -> DataFrame:
+    """rows with refused, what is wrong with a request, null where nothing is: its query, the number asked for, its group's hash."""
+    text = F.trim(F.coalesce(F.col(query), F.lit("")))
+    why = F.when(text == "", "empty query").when(F.length(text) > longest, "long query").when(~F.coalesce(F.col(k).between(1, most), F.lit(False)), "k")
+    return rows.withColumn("refused", why.when(~F.coalesce(F.col(group).rlike("^[a-f0-9]{12}$"), F.lit(False)), "hash"))
+
+
 def blob_paths(rows: DataFrame) -> DataFrame:
     """(id, blob_paths) of raw formulas that have any."""
     return rows.where(F.coalesce(F.size("blob_paths"), F.lit(0)) > 0).select("id", "blob_paths")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sumforge.operators import vector as V
+from sumforge.operators.store import seeded_sample
 from sumforge.sources.tables import table
 
 K = 20
@@ -76,6 +77,16 @@ def retrieval_ndcg10(spark: SparkSession, d: str) -> DataFrame:
     return _metrics(spark, d).agg(F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"))
 
 
+def tier1_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and reciprocal rank of 1,000 sampled queries against all rows."""
+    v = _vectors(spark, d)
+    asked = seeded_sample(v.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", 1000, 42)
+    label = v.select("vec_id", "label")
+    found = V.topk(asked, v, K).join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("family")), "query_id")
+    per = V.per_query(found.withColumn("hit", F.col("label") == F.col("family")))
+    return per.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("hit_10"), 6).alias("recall_10"), F.round(F.avg("reciprocal"), 6).alias("mrr"))
+
+
 def family_purity(spark: SparkSession, d: str) -> DataFrame:
     return _metrics(spark, d).agg(*(F.round(F.avg(F.col(f"matches_{k}") / k), 6).alias(f"purity_{k}") for k in (1, 5, 10)))
 
@@ -141,7 +152,7 @@ def analogy_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     vector_topk_cosine, vector_topk_postfilter, vector_topk_prefilter, batch_topk, retrieval_recall_at_k, retrieval_mrr, retrieval_map, retrieval_ndcg10,
-    family_purity, per_family_metrics, top_families, family_separation, infonce_loss, embedding_quality, analogy_topk, analogy_accuracy,
+    family_purity, tier1_evaluation, per_family_metrics, top_families, family_separation, infonce_loss, embedding_quality, analogy_topk, analogy_accuracy,
 )}
 
 _V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -191,6 +202,7 @@ ORACLE_SQL = {
 SELECT round(avg(c) FILTER (same), 6) AS intra_mean, round(avg(c) FILTER (NOT same), 6) AS inter_mean, round(avg(c) FILTER (same) - avg(c) FILTER (NOT same), 6) AS margin FROM p""",
     "infonce_loss": f"WITH {_TUPLES} SELECT round(avg(ln(exp(pos / 0.07) + negs) - pos / 0.07), 6) AS loss, count(*) AS n FROM c",
     "embedding_quality": f"WITH {_TUPLES} SELECT round(avg(pos), 6) AS pos_mean, round(avg(neg), 6) AS neg_mean, round(avg(pos) - avg(neg), 6) AS margin FROM c",
+    "tier1_evaluation": "WITH " + _PER.replace("a.vec_id % 100 = 0", "a.vec_id IN (SELECT vec_id FROM v ORDER BY md5('42|' || vec_id), vec_id LIMIT 1000)") + " SELECT count(*) AS queries, round(avg(hit_10), 6) AS recall_10, round(avg(reciprocal), 6) AS mrr FROM m",
     "analogy_topk": f"WITH {_ANALOGY} SELECT query_id, vec_id, score, rank::INT AS rank FROM r WHERE rank <= 10",
     "analogy_accuracy": f"""WITH {_ANALOGY}, e AS (SELECT query_id, family, {', '.join(f'max(CASE WHEN vec_id = d_id AND rank <= {k} THEN 1.0 ELSE 0.0 END)::DOUBLE AS h{k}' for k in (1, 5, 10))} FROM r WHERE rank <= 10 GROUP BY ALL)
 SELECT family, count(*) AS n, {', '.join(f'round(avg(h{k}), 6) AS accuracy_{k}' for k in (1, 5, 10))} FROM e GROUP BY family""",

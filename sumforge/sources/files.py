@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sumforge.operators.stages import backfilled
+
 RAW_FORMULA = "id string, raw_latex string, source string, source_url string, latex_origin string, context_snippet string, license map<string,string>, scrape_timestamp timestamp, blob_paths map<string,string>, provenance struct<extractor:string,item_id:bigint,origin:string,math_type:string,pattern_index:int>, checksum string, created_at timestamp"
 NORMALIZED_FORMULA = "id string, raw_latex string, source_id string, accepted boolean, leading_expression string, equivalent_forms array<string>, parametric_conditions string, rejection_reason string, checksum string, created_at timestamp"
 
@@ -126,6 +130,31 @@ class IndexCache:
         return _deleted(self.spark, f"{self.path}/{name}")
 
 
+def configurations(path: str) -> dict[str, dict]:
+    """The YAML files of a folder by their names, read on the driver: a few small files that people write."""
+    import yaml
+
+    found = {}
+    for file in sorted(Path(path).glob("*.y*ml")):
+        read = yaml.safe_load(file.read_text(encoding="utf-8"))
+        if read is not None and not isinstance(read, dict):
+            raise ValueError(f"{file}: not a mapping")
+        found[file.stem] = read or {}
+    return found
+
+
+def write_backfilled(rows: DataFrame, found: DataFrame, key: str, column: str, path: str, *, dry_run: bool = False) -> int:
+    """Writes rows to a new path with column filled from found(key, column); how many rows that fills.
+
+    What was there stays as it is, so the input is the backup.
+    """
+    filled = backfilled(rows, found, key, column)
+    if dry_run:
+        return filled.where("filled").count()
+    filled.write.mode("errorifexists").json(path)
+    return rows.sparkSession.read.schema(filled.schema).json(path).where("filled").count()
+
+
 def _deleted(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
