@@ -94,7 +94,9 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         return pd.DataFrame({"digest": pdf["digest"], "shard": at})
 
     light = light.select("digest", "bytes", "words", "rows", block.alias("block")).groupBy("block").applyInPandas(pack, "digest string, shard int")
-    out = rows.join(light, "digest").select("doc_id", "size", "text_crc32", "shard")
+    # the rows of large groups, which the broadcast list names, stay where they are
+    others = rows.join(known, "digest", "left_anti") if len(heavy) else rows
+    out = others.join(light, "digest").select("doc_id", "size", "text_crc32", "shard")
     if len(heavy):
         cut = rows.join(known, "digest").withColumn("part", salt)
         cut = cut.join(F.broadcast(placed_heavy.drop("parts")), ["digest", "part"]).select("doc_id", "size", "text_crc32", "shard")
