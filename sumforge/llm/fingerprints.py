@@ -65,9 +65,19 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(one, other)) / union)
 
 
-def containment(part: Column, whole: Column) -> Column:
-    """Estimated share of the part's shingles that the whole has; 1 for an empty part."""
-    return F.when(F.size(part) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(part, whole)) / F.size(part))
+def containment(part: Column, whole: Column, *, scale: int = SCALE) -> Column:
+    """Estimated share of the part's shingles that the whole has, from the hashes below the threshold; 1 for an empty part.
+
+    A part that has none there is judged by its smallest hash: 1 where the whole kept that too, 0 where every hash of the
+    whole is larger, and null where the whole may have had it without keeping it.
+    """
+
+    def of_part(p: Column) -> Column:
+        below, least = F.filter(p, lambda h: h < _threshold(scale)), F.get(p, F.lit(0))
+        judged = F.when(F.array_contains(whole, least), F.lit(1.0)).when((F.size(whole) == 0) | (F.array_min(whole) > least), F.lit(0.0))
+        return F.when(F.size(p) == 0, F.lit(1.0)).when(F.size(below) > 0, F.size(F.array_intersect(below, whole)) / F.size(below)).otherwise(judged)
+
+    return _let(part, of_part)
 
 
 def as_string(one: Column) -> Column:

@@ -52,3 +52,27 @@ def test_ranges_of_ids(spark):
     got = {r.doc_id: r.next_text for r in fp.with_next(rows, ["text"], per_bucket=2).collect()}
     order = sorted(ids)
     assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+
+
+def test_containment_of_short_texts(spark):
+    edge = -(2**63) + 2**64 // fp.SCALE
+    low, high, higher = edge - 5, edge + 5, edge + 9
+    cases = [([], [low], 1.0), ([low], [low, low - 1], 1.0), ([low], [high], 0.0), ([low - 1, low], [low], 0.5), ([high], [high], 1.0), ([high], [], 0.0), ([high], [higher], 0.0), ([higher], [high], None), ([high], [low], None)]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a array<bigint>, b array<bigint>")
+    got = {r.k: r.c for r in rows.select("k", fp.containment(F.col("a"), F.col("b")).alias("c")).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(cases)}
+
+
+def test_sketch_and_likeness_against_a_plain_version(spark):
+    texts = ["a b c d e f g", " ".join(f"w{k % 90}" for k in range(400)), " ".join(f"w{k}" for k in range(300)), "one", ""]
+    shingles = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    hashes = {}
+    for r in shingles.collect():
+        words = r.t.split()
+        runs = [words[i : i + fp.SHINGLE] for i in range(max(1, len(words) - fp.SHINGLE + 1))] if words else []
+        of = spark.createDataFrame([(x,) for x in runs] or [([],)], "w array<string>").select(F.transform("w", lambda w: F.xxhash64(w)).alias("w"))
+        of = of.select(F.xxhash64(*(F.get("w", F.lit(j)) for j in range(fp.SHINGLE))).alias("h")).collect() if runs else []
+        every = {x.h for x in of}
+        hashes[r.k] = sorted(h for h in every if h < -(2**63) + 2**64 // fp.SCALE) or sorted(every)[:1]
+    got = {r.k: r.s for r in shingles.select("k", fp.sketch(F.col("t")).alias("s")).collect()}
+    assert got == hashes
