@@ -13,7 +13,7 @@ from sumforge.operators import egraph, ranges, text_features
 from sumforge.sources.tables import sql_text, table
 from sumforge.streaming import limits
 
-# Golden: expression -> canonical, prefix, s-expression.
+# Expression -> canonical, prefix, s-expression; prefix -> s-expression; queries -> normal form; expression -> why it is refused.
 FORMS = {
     "x+1": ("x + 1", "add 1 x", "(+ 1 x)"), "x*a": ("a*x", "mul a x", "(* a x)"), "x**2": ("x**2", "pow x 2", "(pow x 2)"), "polylog(2,x)": ("Li(2, x)", "Li 2 x", "(Li 2 x)"),
     "zeta(3)": ("zeta(3)", "zeta 3", "(zeta 3)"), "x**2+sin(x)": ("x**2 + sin(x)", "add pow x 2 sin x", "(+ (pow x 2) (sin x))"), "sin(a*x)": ("sin(a*x)", "sin mul a x", "(sin (* a x))"),
@@ -59,12 +59,18 @@ def token_limit_filter(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.split("text", " ")).alias("n")).where("n <= 60")
 
 
+def number_tokens(text):
+    """array<string>: the words of a text, whole numbers of several digits or below zero as INT+ or INT- and digits."""
+    digits = lambda t: F.filter(F.split(F.regexp_replace(t, "^-", ""), ""), lambda c: c != "")
+    negative = lambda t: F.concat(F.array(F.lit("INT-")), digits(t))
+    positive = lambda t: F.concat(F.array(F.lit("INT+")), digits(t))
+    return F.flatten(F.transform(F.split(text, " "), lambda t: F.when(t.rlike(r"\A-[0-9]+\z"), negative(t)).when(t.rlike(r"\A[0-9]{2,}\z"), positive(t)).otherwise(F.array(t))))
+
+
 def numeric_tokens(spark, d):
-    """Whole numbers of a prefix string as INT+ or INT- and digits."""
-    digits = lambda t: F.transform(F.filter(F.split(F.regexp_replace(t, "^-", ""), ""), lambda c: c != ""), lambda c: c)
-    rows = spark.createDataFrame([("mul -42 x",), ("add 123 5",), ("0",)], "input string")
-    parts = F.transform(F.split("input", " "), lambda t: F.when(t.rlike(r"^-\d+$"), F.concat(F.array(F.lit("INT-")), digits(t))).when(t.rlike(r"^\d\d+$"), F.concat(F.array(F.lit("INT+")), digits(t))).otherwise(F.array(t)))
-    return rows.select("input", F.array_join(F.flatten(parts), " ").alias("output"))
+    """How many numbers the words of a document have, and its tokens."""
+    rows = table(spark, d, "documents").select("doc_id", number_tokens(F.col("text")).alias("tokens"))
+    return rows.select("doc_id", F.size(F.filter("tokens", lambda t: t.isin("INT+", "INT-"))).alias("numbers"), F.md5(F.array_join("tokens", " ")).alias("output"))
 
 
 def equivalents_generate(spark, d):
@@ -77,9 +83,13 @@ def egraph_equiv(spark, d):
 
 
 def relational_ematch(spark, d):
-    """The pattern a*b + a*c over a relation of nodes: self joins, the equality of a as a join key."""
-    nodes = [(1, "mul", 10, 11), (2, "mul", 10, 12), (3, "add", 1, 2), (4, "mul", 13, 11), (5, "add", 1, 4), (6, "add", 2, 1)]
-    n = spark.createDataFrame(nodes, "id int, op string, l int, r int")
+    """The pattern a*b + a*c over a relation of nodes: self joins, the equality of a as a join key.
+
+    A line of an order is the product of its supplier and its part, and each but the first a sum with the line before.
+    """
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_linenumber", "l_suppkey", "l_partkey")
+    products = lines.select("id", F.lit("mul").alias("op"), F.col("l_suppkey").alias("l"), F.col("l_partkey").alias("r"))
+    n = products.unionByName(lines.where("l_linenumber > 1").select((-F.col("id")).alias("id"), F.lit("add").alias("op"), (F.col("id") - 1).alias("l"), F.col("id").alias("r")))
     m = n.where("op = 'mul'")
     left, right = m.select(F.col("id").alias("l"), F.col("l").alias("a"), F.col("r").alias("b")), m.select(F.col("id").alias("r"), F.col("l").alias("a"), F.col("r").alias("c"))
     return n.where("op = 'add'").select("id", "l", "r").join(left, "l").join(right, ["r", "a"]).select("id", "a", "b", "c")
@@ -217,10 +227,13 @@ ORACLE_SQL = {
     "prefix_to_sexp": _table(SEXPS.items(), "input, output"), "query_normalize": _table(QUERY_FORMS.items(), "input, output"), "symbol_validation": _table(VALID.items(), "input, output"),
     "vocabulary": "SELECT id::INT AS id, token FROM (VALUES " + ", ".join(f"({k}, {sql_text(t)})" for k, t in enumerate(E.TOKENS)) + ") t(id, token)",
     "tokenizer_encode": _table([(k, " ".join(map(str, E.encode(prefix.split())))) for k, (_, prefix, _) in FORMS.items() if prefix], "input, ids"),
-    "numeric_tokens": _table([("mul -42 x", "mul INT- 4 2 x"), ("add 123 5", "add INT+ 1 2 3 5"), ("0", "0")], "input, output"),
+    "numeric_tokens": """WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+o AS (SELECT doc_id, flatten(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '-[0-9]+') THEN list_prepend('INT-', string_split(substr(x, 2), '')) WHEN regexp_full_match(x, '[0-9][0-9]+') THEN list_prepend('INT+', string_split(x, '')) ELSE [x] END)) AS l FROM t)
+SELECT doc_id, len(list_filter(l, lambda x: x IN ('INT+', 'INT-')))::INT AS numbers, md5(array_to_string(l, ' ')) AS output FROM o""",
     "token_limit_filter": "SELECT doc_id, len(string_split(text, ' '))::INT AS n FROM documents WHERE len(string_split(text, ' ')) <= 60",
     "egraph_equiv": _table([("sin(x)**2 + cos(x)**2", "1", True), ("x*(x+1)", "x**2 + x", True), ("sin(x)", "cos(x)", False), ("exp(x)*exp(x)", "exp(2*x)", True)], "a, b, same"),
-    "relational_ematch": _table([(3, 10, 11, 12), (6, 10, 12, 11)], "id, a, b, c"),
+    "relational_ematch": """WITH m AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber AS k, l_suppkey AS l, l_partkey AS r FROM lineitem)
+SELECT -s.id AS id, x.l AS a, x.r AS b, y.r AS c FROM m s JOIN m x ON x.id = s.id - 1 JOIN m y ON y.id = s.id AND y.l = x.l WHERE s.k > 1""",
     "seed_split": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1 AS rk, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN rk < floor(n * 0.8) THEN 'train' WHEN rk < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r",
     "ordered_pairs_sampled": f"WITH {_PAIRS} SELECT * FROM p",
     "negatives": f"WITH {_NEG}",
