@@ -6,8 +6,15 @@ only one summary row for each range is.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from sumforge.operators.work import written
 
 WIDTH = 65_536
 
@@ -39,3 +46,99 @@ def running(rows: DataFrame, order: str, value: str, *, of, merge, by: tuple[str
     found = rows.withColumn("__here", of(value).over(upto)).join(whole, keys)
     total: Column = F.when(carry.isNull(), here).when(here.isNull(), carry).otherwise(merge(here, carry))
     return found.withColumn(name, total).drop("__here", "__carry", "__range")
+
+
+def _free(name: str, taken: set[str]) -> str:
+    while name.lower() in taken:
+        name += "_"
+    taken.add(name.lower())
+    return name
+
+
+def _wrapped(x: int) -> int:
+    return (x + 2**63) % 2**64 - 2**63
+
+
+def _changes(values: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before it, from the second on; nulls are equal."""
+    here, before = values.slice(1), values.slice(0, len(values) - 1)
+    differ = pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+    return differ | (here.is_null().to_numpy(zero_copy_only=False) != before.is_null().to_numpy(zero_copy_only=False))
+
+
+def scanned(rows: DataFrame, by: list[str], order: list[str], sums: list[str] = (), *, near: list[Column] | None = None, at: str = "at", partitions: int | None = None) -> DataFrame:
+    """rows with at, their number from 1 in ascending order within each value of by; the long columns sums become running ones.
+
+    The rows are dealt out by ranges of (by, order), with bounds that Spark samples, so it does not matter how the values
+    lie, and a value of by with a third of all rows is spread over a third of the tasks. Each range is scanned by itself and
+    written; of each range, one row (its first and last key and the totals of the last) comes to the driver, which adds up
+    what every range gets from those before. Sums wrap around at 64 bits. Nulls come first, in by and in order; rows that
+    are equal in all of them are numbered in any order. near: shorter columns that order the rows as order does, but for
+    ties, for the bounds (order by default): rows equal in these share a task.
+    """
+    n, taken = len(by), {c.lower() for c in rows.columns}
+    part, seq = (_free(c, taken) for c in ("__part", "__seq"))
+    dealt = [*by, *(near if near is not None else order)]
+    laid = rows.repartitionByRange(partitions, *dealt) if partitions else rows.repartitionByRange(*dealt)
+    laid = laid.sortWithinPartitions(*by, *order)
+    places = [rows.columns.index(c) for c in by], [rows.columns.index(c) for c in sums]
+    schema = StructType([*rows.schema.fields, StructField(part, IntegerType()), StructField(seq, LongType()), StructField(at, LongType())])
+
+    def local(batches):
+        here, done, last, before, totals = TaskContext.get().partitionId(), 0, None, 0, [0] * len(sums)
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            keys = [batch.column(k) for k in places[0]]
+            new = np.zeros(size, bool)
+            for k in keys:
+                new[1:] |= _changes(k)
+            new[0] = done == 0 or tuple(k[0].as_py() for k in keys) != last
+            index = np.arange(size)
+            start = np.maximum.accumulate(np.where(new, index, -1))
+            number = np.where(start < 0, before + index + 1, index - start + 1)
+            columns = list(batch.columns)
+            for j, k in enumerate(places[1]):
+                values = columns[k].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                upto = np.cumsum(values)
+                scan = upto - np.where(start > 0, upto[np.maximum(start - 1, 0)], 0) + np.where(start < 0, np.int64(totals[j]), 0)
+                totals[j] = scan[-1]
+                columns[k] = pa.array(scan)
+            last, before = tuple(k[-1].as_py() for k in keys), int(number[-1])
+            columns += [pa.array(np.full(size, here, np.int32)), pa.array(np.arange(done, done + size)), pa.array(number)]
+            done += size
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    found = written(laid.mapInArrow(local, schema), "ranges")
+    key = F.struct(*by) if n else F.lit(0)
+    ends = found.groupBy(part).agg(F.min_by(key, seq).alias("first"), F.max_by(F.struct(key.alias("key"), F.col(at).alias("at"), *(F.col(c).alias(f"s{j}") for j, c in enumerate(sums))), seq).alias("last"))
+    carries, open_key, so_far = {}, None, None
+    for row in ends.orderBy(part).collect():  # one for each range
+        first, last = tuple(row["first"]) if n else (), tuple(row["last"]["key"]) if n else ()
+        values = [row["last"]["at"], *(row["last"][f"s{j}"] for j in range(len(sums)))]
+        if so_far is not None and first == open_key:
+            carries[row[part]] = so_far
+            if last == first:
+                values = [values[0] + so_far[0], *(_wrapped(a + b) for a, b in zip(values[1:], so_far[1:], strict=True))]
+        open_key, so_far = last, values
+
+    width = len(rows.columns)
+
+    def carried(batches):
+        for batch in batches:
+            columns = list(batch.columns)[:width]
+            parts, sequence, number = (batch.column(width + k).to_numpy() for k in range(3))
+            number, scans = number.copy(), {k: columns[k].to_numpy().copy() for k in places[1]}
+            for p in np.unique(parts):
+                if carry := carries.get(int(p)):
+                    here = (parts == p) & (number == sequence + 1)  # rows of the key that the range begins with
+                    number[here] += carry[0]
+                    for k, more in zip(places[1], carry[1:], strict=True):
+                        scans[k][here] += np.int64(more)
+            for k, values in scans.items():
+                columns[k] = pa.array(values)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(number)], out.names)
+
+    out = StructType([*rows.schema.fields, StructField(at, LongType())])
+    return found.mapInArrow(carried, out)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sumforge.operators import ranges
@@ -22,3 +23,36 @@ def test_ranges_against_plain_series(spark):
         assert [r.so_far for r in least] == np.minimum.accumulate(values).tolist()
         at = ranges.numbered(series, "step", by=("name",), width=64).where(F.col("name") == name).orderBy("step").collect()
         assert [r["at"] for r in at] == list(range(700))
+
+
+@pytest.mark.parametrize("kind", ["sparse", "crowded", "nulls", "timestamps"])
+def test_scans_against_plain_running_sums(spark, kind):
+    rng = np.random.default_rng(1)
+    n = 3000
+    order = {"sparse": rng.integers(0, 2**60, n), "crowded": rng.integers(0, 5, n), "nulls": rng.integers(0, 100, n), "timestamps": rng.integers(0, 10**9, n)}[kind].tolist()
+    keys = [None if k == 0 else "hot" if k < 6 else f"k{k}" for k in rng.integers(0, 10, n).tolist()]
+    rows = [(k, None if kind == "nulls" and o < 30 else o, i, int(v)) for i, (k, o, v) in enumerate(zip(keys, order, rng.integers(-(2**62), 2**62, n), strict=True))]
+    df = spark.createDataFrame(rows, "key string, o long, id long, v long").repartition(5)
+    if kind == "timestamps":
+        df = df.withColumn("o", F.timestamp_seconds("o"))
+    found = ranges.scanned(df.withColumn("__part", F.lit("x")), ["key"], ["o", "id"], ["v"], near=[F.col("o"), F.col("id")], partitions=16)
+    assert found.columns == ["key", "o", "id", "v", "__part", "at"]
+    want, state = {}, {}
+    for k, _, i, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        at, total = state.get(k, (0, 0))
+        state[k] = want[i] = (at + 1, (total + v + 2**63) % 2**64 - 2**63)
+    assert {r.id: (r["at"], r.v) for r in found.collect()} == want
+
+
+def test_a_scan_of_one_key_is_spread(spark):
+    df = spark.range(20_000).select(F.lit("hot").alias("key"), F.pow("id", F.lit(3)).cast("long").alias("o"), F.lit(1).cast("long").alias("v"))
+    found = ranges.scanned(df, ["key"], ["o"], ["v"], partitions=10)
+    assert found.where("at <> v").count() == 0 and found.agg(F.max("at")).first()[0] == 20_000
+    sizes = [r["n"] for r in spark.read.parquet(found.inputFiles()[0].rsplit("/", 1)[0]).groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 10 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_scans_of_nothing_and_without_keys(spark):
+    assert ranges.scanned(spark.createDataFrame([], "o long"), [], ["o"]).collect() == []
+    found = ranges.scanned(spark.range(100).withColumnRenamed("id", "o"), [], ["o"], at="n", partitions=7).collect()
+    assert sorted((r.o, r.n) for r in found) == [(k, k + 1) for k in range(100)]
