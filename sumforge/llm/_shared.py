@@ -1,37 +1,12 @@
-"""What the operators share: the shared work folder, written stages and word-wise tokenisation."""
+"""What the operators share: tables, names and word-wise tokenisation."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a local session without it gets a folder of its own."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir")
-    if not base:
-        if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_dir()
-    return base.rstrip("/")
-
-
-@lru_cache(maxsize=1)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="sumforge-")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from sumforge.operators.work import written  # noqa: F401  for the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +25,6 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 class Memo(dict):
     """A bounded memo: computes what is missing; when full, what was not asked for since the last time goes."""
 
