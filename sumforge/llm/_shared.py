@@ -72,3 +72,10 @@ class WordWise:
             out.append(bare[first])
             out.extend(map(spaced, rest))
         return out
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII string expression."""
+    code = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, {code}), lambda a, b: {bits}), 4294967295)"

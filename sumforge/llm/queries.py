@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sumforge.llm import bpe_codec, exact_dedup, fingerprints, minhash, packing, quality, sharding, substring_dedup, suffix_dedup, token_counts
+from sumforge.llm import bpe_codec, conversation_repair, exact_dedup, fingerprints, minhash, packing, prefix_trie, quality, sharding, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8,
     "op9_quality": quality.op9,
     "op10_bpe_codec": bpe_codec.op10,
+    "op12_prefix_trie": prefix_trie.op12,
+    "op13_conversation_repair": conversation_repair.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op13_conversation_repair": conversation_repair.ORACLE_SQL,
 }
