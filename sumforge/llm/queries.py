@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sumforge.llm import bpe_codec, conversation_repair, exact_dedup, fingerprints, minhash, packing, prefix_trie, quality, sharding, substring_dedup, suffix_dedup, token_counts
+from sumforge.llm import bpe_codec, conversation_repair, exact_dedup, fingerprints, minhash, packing, prefix_trie, quality, sharding, site_templates, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8,
     "op9_quality": quality.op9,
     "op10_bpe_codec": bpe_codec.op10,
+    "op11_site_templates": site_templates.op11,
     "op12_prefix_trie": prefix_trie.op12,
     "op13_conversation_repair": conversation_repair.op13,
 }
