@@ -1,0 +1,49 @@
+"""Connected components of a distributed edge list (union-find by alternating stars)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sumforge.operators.work import written
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
+
+
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges, and whether every u has one v and no v is a u: then there is nothing to do."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out")))
+    ends = ends.groupBy("x").agg(F.sum("out").alias("outs"), F.min("out").alias("centre"))
+    n, bad = ends.agg(F.coalesce(F.sum("outs"), F.lit(0)), F.count_if(F.expr("outs > 1 OR outs = 1 AND centre = 0"))).first()
+    return n, bad == 0
+
+
+def centres(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(u, v) with v the smallest id that is reachable from u, for each u that is not the smallest itself; and their number.
+
+    Large-star and small-star steps in turn, until every node points to the smallest one. Each round is written to the
+    shared folder. Loops and repeated edges are harmless; an empty list gives no rows.
+    """
+    # v < u from here on
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
+    n, done = _state(now)
+    mark = None if done else _mark(now)
+    while not done:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        now = written(small, "edges")
+        before, mark = mark, _mark(now)
+        n, done = mark[0], mark == before
+    return now, n
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) for each node of edges(u, v): component is the smallest id that is reachable."""
+    found, _ = centres(edges)
+    return found.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(found.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

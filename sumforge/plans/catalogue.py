@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sumforge.plans import latex_queries, other_queries, stage_queries, store_queries, vector_queries
+from sumforge.plans import latex_queries, other_queries, saturation_queries, stage_queries, store_queries, vector_queries
 
-_PARTS = (vector_queries, store_queries, latex_queries, other_queries, stage_queries)
+_PARTS = (vector_queries, store_queries, latex_queries, other_queries, saturation_queries, stage_queries)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
