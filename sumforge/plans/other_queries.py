@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sumforge.functions import expressions as E
 from sumforge.operators import dataset as D
-from sumforge.operators import egraph, ranges, text_features
+from sumforge.operators import admission, egraph, ranges, text_features
 from sumforge.sources.tables import sql_text, table
 from sumforge.streaming import limits
 
@@ -129,6 +129,16 @@ def rate_limit_stateful(spark, d):
     return limits.rate_limited(table(spark, d, "events"), limit=3, seconds=6 * 3600)
 
 
+def rate_limit_deployed(spark, d):
+    """30 hits of a client, 300 of all, in 60 seconds; 4,096 clients known."""
+    return admission.admitted(table(spark, d, "events"))
+
+
+def rate_limit_overall(spark, d):
+    """Limits that these events do reach: 3 hits of a client, 60 of all in six hours; 50 clients known."""
+    return admission.admitted(table(spark, d, "events"), admission.Limits(6 * 3600, 3, 60, 50))
+
+
 def _series(spark, d):
     return table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("step"), "value")
 
@@ -201,12 +211,29 @@ def parameter_histogram(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     canonicalize, prefix_to_sexp, query_normalize, symbol_validation, vocabulary, tokenizer_encode, token_limit_filter, numeric_tokens, equivalents_generate, egraph_equiv,
-    relational_ematch, seed_split, ordered_pairs_sampled, negatives, permutation_dedup, tfidf_char_ngrams, rolling_rate, rate_limit_stateful, ema_smoothing,
+    relational_ematch, seed_split, ordered_pairs_sampled, negatives, permutation_dedup, tfidf_char_ngrams, rolling_rate, rate_limit_stateful, rate_limit_deployed, rate_limit_overall, ema_smoothing,
     moving_average_valid, running_best, eval_schedule, generator_benchmark, startup_profile, running_average, evenly_spaced_sample, learning_rate_schedule,
     training_summary, metrics_history, parameter_histogram,
 )}
 
 
+def _gate(micros: int, per_client: int, overall: int, clients: int) -> str:
+    """One hit at a time. log: admitted hits in the window; known: clients by last touch, the latest last; a forgotten client's hits stop counting for it."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT 0::BIGINT AS n, []::STRUCT(c BIGINT, t BIGINT, own BOOLEAN)[] AS log, []::BIGINT[] AS known, NULL::BIGINT AS event_id, NULL::BIGINT AS user_id, NULL::VARCHAR AS outcome
+  UNION ALL
+  SELECT n, CASE WHEN outcome = 'admitted' THEN list_append(kept, {{'c': user_id, 't': t, 'own': true}}) ELSE kept END, after, event_id, user_id, outcome
+  FROM (
+    SELECT *, CASE WHEN len(live) >= {overall} THEN 'busy' WHEN len(list_filter(kept, lambda x: x.own AND x.c = user_id)) >= {per_client} THEN 'client' ELSE 'admitted' END AS outcome
+    FROM (
+      SELECT *, list_transform(live, lambda x: {{'c': x.c, 't': x.t, 'own': x.own AND list_contains(after, x.c)}}) AS kept
+      FROM (
+        SELECT *, CASE WHEN len(live) >= {overall} THEN known WHEN list_contains(known, user_id) OR len(known) < {clients} THEN list_append(list_filter(known, lambda x: x <> user_id), user_id) ELSE list_append(known[2:], user_id) END AS after
+        FROM (SELECT e.n, e.event_id, e.user_id, e.t, s.known, list_filter(s.log, lambda x: e.t - x.t <= {micros}) AS live FROM s JOIN e ON e.n = s.n + 1)))))
+SELECT event_id, user_id, outcome FROM s WHERE n > 0"""
+
+
 def _table(rows, names: str) -> str:
     body = ", ".join("(" + ", ".join(str(x) if isinstance(x, (int, bool)) else sql_text(x) for x in r) + ")" for r in rows)
     return f"SELECT * FROM (VALUES {body}) t({names})"
@@ -242,6 +269,8 @@ SELECT -s.id AS id, x.l AS a, x.r AS b, y.r AS c FROM m s JOIN m x ON x.id = s.i
 t AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL), k AS (SELECT term, sum(tf) AS total, count(*) AS df FROM t GROUP BY term ORDER BY total DESC, term LIMIT 384),
 w AS (SELECT id, term, tf * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM t JOIN k USING (term))
 SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""",
+    "rate_limit_deployed": _gate(60_000_000, 30, 300, 4096),
+    "rate_limit_overall": _gate(6 * 3600 * 1_000_000, 3, 60, 50),
     "rolling_rate": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS hits FROM events",
     "ema_smoothing": """WITH s AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT name, round(sum(value * CASE WHEN i = 1 THEN pow(0.9, n - 1) ELSE 0.1 * pow(0.9, n - i) END), 5) AS ema, count(*) AS n FROM s GROUP BY name""",
