@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumforge.operators.stages import backfilled
+from sumforge.sources.snapshots import Snapshots
 
 RAW_FORMULA = "id string, raw_latex string, source string, source_url string, latex_origin string, context_snippet string, license map<string,string>, scrape_timestamp timestamp, blob_paths map<string,string>, provenance struct<extractor:string,item_id:bigint,origin:string,math_type:string,pattern_index:int>, checksum string, created_at timestamp"
 NORMALIZED_FORMULA = "id string, raw_latex string, source_id string, accepted boolean, leading_expression string, equivalent_forms array<string>, parametric_conditions string, rejection_reason string, checksum string, created_at timestamp"
@@ -80,32 +81,33 @@ def write_frozen_seeds(rows: DataFrame, path: str) -> None:
 
 
 class Store:
-    """The store as Parquet tables in a folder. A rebuild replaces groups, instances and metadata and never the curation log."""
+    """The store as versioned tables in a folder. A rebuild replaces groups, instances and metadata at once, and never the curation log."""
 
     LOG = "id long, action string, target_type string, target_id string, reason string, context string, created_at timestamp"
     TABLES = ("integrand_groups", "integral_instances", "mse_metadata")
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.kept = spark, path.rstrip("/"), Snapshots(spark, path)
 
     def create(self) -> None:
         """An empty curation log, where there is none."""
-        self.spark.createDataFrame([], self.LOG).write.mode("ignore").parquet(f"{self.path}/curation_log")
+        if "curation_log" not in self.kept.tables():
+            self.kept.replace({"curation_log": self.spark.createDataFrame([], self.LOG)})
 
     def drop(self) -> None:
-        for name in (*self.TABLES, "curation_log"):
-            _deleted(self.spark, f"{self.path}/{name}")
+        _deleted(self.spark, self.path)
 
-    def rebuild(self, tables: dict[str, DataFrame]) -> None:
+    def rebuild(self, tables: dict[str, DataFrame]) -> int:
+        """The new version. Until all three tables are written, readers have the old ones."""
         self.create()
-        for name in self.TABLES:
-            tables[name].write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.kept.replace({name: tables[name] for name in self.TABLES})
 
-    def log(self, rows: DataFrame) -> None:
-        rows.select(*(c.split()[0] for c in self.LOG.split(", "))).write.mode("append").parquet(f"{self.path}/curation_log")
+    def log(self, rows: DataFrame) -> int:
+        self.create()
+        return self.kept.append({"curation_log": rows.select(*(c.split()[0] for c in self.LOG.split(", ")))})
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        return self.kept.table(name, version)
 
 
 class IndexCache:
