@@ -27,29 +27,33 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="sumforge-")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as a table in the shared folder and read again: cuts the lineage, survives lost executors.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of this application.
 
-    The tables of an application are in one folder, which goes when the driver's Python ends; a driver that is killed
-    leaves it, under the application's id.
+    All of them are in one folder, which goes when the driver's Python ends; a driver that is killed leaves it, under the
+    application's id.
     """
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/sumforge-{spark.sparkContext.applicationId}"
-    _removed_at_exit(folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/sumforge-{spark.sparkContext.applicationId}"
+    _removed_at_exit(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @lru_cache(maxsize=None)
-def _removed_at_exit(folder: str) -> None:
-    atexit.register(remove, folder)
+def _removed_at_exit(path: str) -> None:
+    atexit.register(remove, path)
 
 
-def remove(folder: str) -> None:
+def remove(path: str) -> None:
     """Removes a folder through Spark's file system; without a running session there is nothing to do it with."""
     spark = SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

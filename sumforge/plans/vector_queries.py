@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sumforge.operators import vector as V
+from sumforge.operators.cells import CellIndex
 from sumforge.operators.store import seeded_sample
+from sumforge.operators.work import folder
 from sumforge.sources.tables import table
 
 K = 20
@@ -49,6 +51,15 @@ def batch_topk(spark: SparkSession, d: str) -> DataFrame:
     return V.topk(_queries(v), v, K).select("query_id", "vec_id", "score", "rank")
 
 
+def index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """batch_topk() by a stored index, to which every tenth vector comes later."""
+    v = _vectors(spark, d)
+    index = CellIndex(spark, folder(spark, "index"))
+    index.build(v.where("vec_id % 10 <> 3"))
+    index.add(v.where("vec_id % 10 = 3"))
+    return index.search(_queries(v), K).found.select("query_id", "vec_id", "score", "rank")
+
+
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     label = v.select("vec_id", "label")
@@ -151,7 +162,7 @@ def analogy_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk_cosine, vector_topk_postfilter, vector_topk_prefilter, batch_topk, retrieval_recall_at_k, retrieval_mrr, retrieval_map, retrieval_ndcg10,
+    vector_topk_cosine, vector_topk_postfilter, vector_topk_prefilter, batch_topk, index_topk, retrieval_recall_at_k, retrieval_mrr, retrieval_map, retrieval_ndcg10,
     family_purity, tier1_evaluation, per_family_metrics, top_families, family_separation, infonce_loss, embedding_quality, analogy_topk, analogy_accuracy,
 )}
 
@@ -191,6 +202,7 @@ ORACLE_SQL = {
     "vector_topk_postfilter": f"WITH {_ONE}, t AS ({_SCORED} ORDER BY score DESC, vec_id LIMIT 10) SELECT * FROM t WHERE vec_id NOT IN ({_REMOVED})",
     "vector_topk_prefilter": f"WITH {_ONE} {_SCORED} WHERE vec_id NOT IN ({_REMOVED}) ORDER BY score DESC, vec_id LIMIT 10",
     "batch_topk": f"WITH {_TOPK} SELECT query_id, vec_id, score, rank::INT AS rank FROM t",
+    "index_topk": f"WITH {_TOPK} SELECT query_id, vec_id, score, rank::INT AS rank FROM t",
     "retrieval_recall_at_k": f"WITH {_PER} SELECT {', '.join(f'round(avg(hit_{k}), 6) AS recall_{k}' for k in (1, 5, 10, 20))} FROM m",
     "retrieval_mrr": f"WITH {_PER} SELECT round(avg(reciprocal), 6) AS mrr FROM m",
     "retrieval_map": f"WITH {_PER} SELECT round(avg(ap), 6) AS map FROM m",
