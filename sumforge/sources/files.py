@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumforge.operators.stages import backfilled
+from sumforge.sources import keyed_files
 from sumforge.sources.snapshots import Snapshots
 
 RAW_FORMULA = "id string, raw_latex string, source string, source_url string, latex_origin string, context_snippet string, license map<string,string>, scrape_timestamp timestamp, blob_paths map<string,string>, provenance struct<extractor:string,item_id:bigint,origin:string,math_type:string,pattern_index:int>, checksum string, created_at timestamp"
@@ -26,11 +27,13 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, path: str) -> DataFrame:
-    """(seed_hash, seed, equivalents): one file each, named by hash, headed by '# SEED: ...'."""
+    """(seed_hash, seed, equivalents): one file each, named by hash, headed by '# SEED: ...'; as write_clusters() writes them, or loose in a folder."""
+    places = keyed_files.folders(path) or [path]
     lines = F.split("value", "\n")
-    body = F.filter(F.transform(lines, F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    body = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     seed = F.trim(F.regexp_extract("value", r"(?m)^# SEED:(.*)$", 1))
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("seed_hash"), seed.alias("seed"), body.alias("equivalents"))
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(places, wholetext=True)
+    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("seed_hash"), seed.alias("seed"), body.alias("equivalents"))
 
 
 def tuples(spark: SparkSession, path: str) -> DataFrame:
@@ -40,9 +43,11 @@ def tuples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tuples(rows: DataFrame, path: str) -> None:
-    """One folder of TSV for each split."""
+    """One folder of TSV for each split, and in _metadata a row for each: its tuples, queries and columns."""
     line = F.concat_ws("\t", "query", "positive", F.array_join("negatives", "\t"))
     rows.select("split", line.alias("value")).write.partitionBy("split").mode("overwrite").text(path)
+    about = rows.groupBy("split").agg(F.count(F.lit(1)).alias("tuples"), F.count_distinct("query").alias("queries"), F.max(F.size("negatives") + 2).alias("columns"))
+    about.write.mode("overwrite").json(f"{path}/_metadata")
 
 
 def write_routed(rows: DataFrame, path: str, by: str) -> None:
@@ -68,8 +73,27 @@ def stage_output(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_clusters(rows: DataFrame, path: str) -> None:
-    """rows(seed_hash, seed, equivalents): a folder for each first digit of the hash, a line of JSON for each cluster."""
-    rows.withColumn("part", F.substring("seed_hash", 1, 1)).write.partitionBy("part").mode("overwrite").json(path)
+    """rows(seed_hash, seed, equivalents) as clusters() reads them: a file for each, all or none."""
+    head = F.struct(F.lit(-1).alias("at"), F.concat(F.lit("# SEED: "), "seed").alias("line"))
+    body = F.transform("equivalents", lambda x, k: F.struct(k.alias("at"), x.alias("line")))
+    lines = rows.select("seed_hash", F.explode(F.concat(F.array(head), F.coalesce(body, F.array()))).alias("x"))
+    keyed_files.write(lines.select("seed_hash", "x.at", "x.line"), path, key="seed_hash", line="line", order=["at"])
+
+
+def write_blobs(rows: DataFrame, path: str, *, overwrite: bool = False) -> None:
+    """rows(key, content binary), a file for each key: the text where the bytes are UTF-8 without NUL, else base64 behind a mark; all or none."""
+    text = F.is_valid_utf8(F.col("content").cast("string")) & ~F.contains(F.col("content").cast("string"), F.lit("\0"))
+    body = F.when(text, F.concat(F.lit("text\n"), F.col("content").cast("string"))).otherwise(F.concat(F.lit("base64\n"), F.base64("content")))
+    keyed_files.write(rows.select("key", body.alias("body")), path, key="key", line="body", order=[], overwrite=overwrite)
+
+
+def read_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """(key, content) of what write_blobs() wrote."""
+    rows = keyed_files.read(spark, path)
+    rest = F.substring("value", F.locate("\n", F.col("value")) + 1, F.length("value"))
+    rest = F.substring(rest, F.lit(1), F.length(rest) - 1)  # without the line feed that ends the file
+    content = F.when(F.startswith("value", F.lit("text\n")), F.encode(rest, "UTF-8")).otherwise(F.unbase64(rest))
+    return rows.select(F.regexp_replace("key", r"\.txt$", "").alias("key"), content.alias("content"))
 
 
 def write_frozen_seeds(rows: DataFrame, path: str) -> None:

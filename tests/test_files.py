@@ -14,6 +14,7 @@ def test_json_lines_seeds_clusters_and_tuples(spark, tmp_path):
     t = spark.createDataFrame([("train", "q", "p", ["n", "m"])], "split string, query string, positive string, negatives array<string>")
     files.write_tuples(t, str(tmp_path / "t"))
     assert [tuple(r) for r in files.tuples(spark, str(tmp_path / "t/split=train")).collect()] == [("q", "p", ["n", "m"])]
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "t/_metadata")).select("split", "tuples", "queries", "columns").collect()] == [("train", 1, 1, 4)]
     files.write_routed(t, str(tmp_path / "routed"), "split")
     assert (tmp_path / "routed/split=train").exists()
     (tmp_path / "blob").mkdir()
@@ -29,7 +30,7 @@ def test_json_lines_clusters_and_seed_files(spark, tmp_path):
     files.write_json_lines(rows, str(tmp_path / "out/two"))
     assert files.stage_output(spark, str(tmp_path / "out"), "id string, raw_latex string").count() == 6
     files.write_clusters(spark.createDataFrame([("0a", "x", ["add x 0"])], "seed_hash string, seed string, equivalents array<string>"), str(tmp_path / "clusters"))
-    assert spark.read.json(str(tmp_path / "clusters")).first().equivalents == ["add x 0"]
+    assert files.clusters(spark, str(tmp_path / "clusters")).first().equivalents == ["add x 0"]
     files.write_frozen_seeds(spark.createDataFrame([("s2", "synthetic"), ("s1", "synthetic"), ("d", "database")], "seed string, origin string"), str(tmp_path / "seeds"))
     lines = [line for place in (0, 1) for f in sorted((tmp_path / f"seeds/place={place}").glob("*.txt")) for line in f.read_text().split()]
     assert [x for x in lines if x != "#"] == ["synthetic", "s1", "s2", "database", "d"]
