@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sumforge.operators.ranges import scanned
+
 
 def draw(*parts: Column) -> Column:
     """A number below 2^32 from the MD5 of the parts joined by bars."""
@@ -36,9 +38,11 @@ def ordered_pairs(members: DataFrame, *, k: int = 70, threshold: int = 200) -> D
 
     Members are numbered in hashed order; the j-th positive of a query is the one j places further on, around the end. So
     pairs are built by an equi-join on (cluster, number), k for each row at most threshold - 1, and no cluster is expanded.
+    Numbers come from ranges of (cluster, hash), so no task sees a whole cluster.
     """
-    w = Window.partitionBy("cluster").orderBy(F.md5(F.concat_ws("|", F.col("cluster").cast("string"), F.col("id").cast("string"))), "id")
-    rows = members.withColumn("at", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).where("n > 1")
+    hashed = members.select("cluster", "id", F.md5(F.concat_ws("|", F.col("cluster").cast("string"), F.col("id").cast("string"))).alias("h"))
+    rows = scanned(hashed, ["cluster"], ["h", "id"]).select("cluster", "id", (F.col("at") - 1).alias("at"))
+    rows = rows.join(rows.groupBy("cluster").agg(F.max("at").alias("last")), "cluster").select("cluster", "id", "at", (F.col("last") + 1).alias("n")).where("n > 1")
     steps = F.when(F.col("n") < threshold, F.col("n") - 1).otherwise(F.least(F.lit(k), F.col("n") - 1)).cast("int")
     asked = rows.select("cluster", F.col("id").alias("query_id"), "at", "n", F.explode(F.sequence(F.lit(1), steps)).alias("j"))
     asked = asked.withColumn("at", F.pmod(F.col("at") + F.col("j"), F.col("n")))
@@ -48,10 +52,10 @@ def ordered_pairs(members: DataFrame, *, k: int = 70, threshold: int = 200) -> D
 def negatives(pairs: DataFrame, members: DataFrame, *, k: int = 3, seed: int = 42) -> DataFrame:
     """pairs with negatives array: k members of other clusters, each by a cluster draw that skips the own one, then a member
     draw; with replacement. Rows stay only if there is another cluster."""
-    numbered = members.withColumn("at", F.row_number().over(Window.partitionBy("cluster").orderBy("id")) - 1)
-    clusters = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    clusters = clusters.withColumn("c", F.row_number().over(Window.orderBy("cluster")) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
-    own = pairs.join(clusters.select("cluster", "c", "total"), "cluster").where("total > 1")
+    numbered = scanned(members.select("cluster", "id"), ["cluster"], ["id"]).withColumn("at", F.col("at") - 1)
+    clusters = scanned(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), [], ["cluster"], at="c").withColumn("c", F.col("c") - 1)
+    total = F.broadcast(clusters.agg(F.count(F.lit(1)).alias("total")))  # one row
+    own = pairs.join(clusters.select("cluster", "c"), "cluster").crossJoin(total).where("total > 1")
     slots = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     key = [F.lit(str(seed)), F.col("query_id").cast("string"), F.col("positive_id").cast("string"), F.col("j").cast("string")]
     drawn = draw(F.lit("c"), *key) % (F.col("total") - 1)

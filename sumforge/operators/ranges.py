@@ -1,15 +1,18 @@
 """Ordered work over long series without one task for a whole series: ranges of the order, and what each hands on.
 
-A range is WIDTH consecutive values of an integer order. Within ranges, rows are looked at together; of a whole series
-only one summary row for each range is.
+A range holds about WIDTH rows: its bounds come from the values of the order themselves, so it does not matter how sparse
+or crowded they are. Within ranges, rows are looked at together; of a whole series only one summary row for each range is.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -19,33 +22,74 @@ from sumforge.operators.work import written
 WIDTH = 65_536
 
 
-def ranged(rows: DataFrame, order: str, *, width: int = WIDTH) -> DataFrame:
-    """rows with __range; null orders come first."""
-    return rows.withColumn("__range", F.coalesce(F.floor(F.col(order) / width), F.lit(-(2**62))))
+def ranged(rows: DataFrame, order: str, *, width: int = WIDTH) -> tuple[DataFrame, str]:
+    """rows with a column, whose name is returned too, that numbers ranges of ascending order; nulls are before all others.
+
+    Bounds are approximate quantiles of order (numbers, dates or times). Rows of equal order are in one range, so a value that
+    very many rows have makes a large one.
+    """
+    kind, name = dict(rows.dtypes)[order], _free("__range", {c.lower() for c in rows.columns})
+    value = F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(order) if kind == "date" else F.col(order)
+    value = value.cast("double")
+    n = rows.agg(F.count(order)).first()[0]
+    ranges = -(-n // width)
+    if ranges < 2:
+        return rows.withColumn(name, F.when(F.col(order).isNull(), -1).otherwise(0)), name
+    shares = [k / ranges for k in range(1, ranges)]
+    bounds = sorted({*rows.agg(F.percentile_approx(value, shares, max(10_000, 20 * ranges))).first()[0]})
+    found = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=f"{name}v", outputCol=name, handleInvalid="keep").transform(rows.withColumn(f"{name}v", value))
+    return found.drop(f"{name}v").withColumn(name, F.when(F.col(order).isNull(), -1).otherwise(F.col(name).cast("int"))), name
 
 
 def numbered(rows: DataFrame, order: str, *, by: tuple[str, ...] = (), name: str = "at", width: int = WIDTH) -> DataFrame:
     """rows with name, their number from 0 in ascending order, within each value of by."""
-    rows = ranged(rows, order, width=width)
-    keys = [*by, "__range"]
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__range")) - F.col("__n")
+    columns = rows.columns
+    rows, here = ranged(rows, order, width=width)
+    n, k, so_far = (_free(c, {c.lower() for c in rows.columns}) for c in ("__n", "__k", "__before"))
+    keys = [*by, here]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    before = F.sum(n).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(here)) - F.col(n)
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    found = rows.withColumn("__k", within).join(counts.withColumn("__before", before).drop("__n"), keys)
-    return found.withColumn(name, (F.col("__k") + F.col("__before") - 1).cast("long")).drop("__k", "__before", "__range")
+    found = _joined(rows.withColumn(k, within), counts.withColumn(so_far, before).drop(n), keys)
+    return found.select(*columns, (F.col(k) + F.col(so_far) - 1).cast("long").alias(name))
 
 
 def running(rows: DataFrame, order: str, value: str, *, of, merge, by: tuple[str, ...] = (), name: str = "so_far", width: int = WIDTH) -> DataFrame:
     """rows with name: the aggregate of (F.sum, F.min, F.max) of value over all rows up to each; merge joins two of its values."""
-    rows = ranged(rows, order, width=width)
-    keys = [*by, "__range"]
+    columns = rows.columns
+    rows, part = ranged(rows, order, width=width)
+    whole, local, before = (_free(c, {c.lower() for c in rows.columns}) for c in ("__whole", "__here", "__carry"))
+    keys = [*by, part]
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = rows.groupBy(*keys).agg(of(value).alias("__whole")).withColumn("__carry", of("__whole").over(earlier)).drop("__whole")
-    here, carry = F.col("__here"), F.col("__carry")
-    found = rows.withColumn("__here", of(value).over(upto)).join(whole, keys)
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys).agg(of(value).alias(whole)).withColumn(before, of(whole).over(earlier)).drop(whole)
+    here, carry = F.col(local), F.col(before)
+    found = _joined(rows.withColumn(local, of(value).over(upto)), totals, keys)
     total: Column = F.when(carry.isNull(), here).when(here.isNull(), carry).otherwise(merge(here, carry))
-    return found.withColumn(name, total).drop("__here", "__carry", "__range")
+    return found.select(*columns, total.alias(name))
+
+
+def with_halo(rows: DataFrame, order: str, halo: int, *, by: tuple[str, ...] = (), width: int = WIDTH) -> tuple[DataFrame, str, str]:
+    """rows in ranges of exactly width, each with the first halo rows of the next; names of the range and of the flag of a row's own one.
+
+    So a frame of up to halo rows after each row is whole within the range. Ranges are at least as long as the halo.
+    """
+    taken = {c.lower() for c in rows.columns}
+    at, part, own = (_free(c, taken) for c in ("__at", "__part", "__own"))
+    width = max(width, halo, 1)
+    found = numbered(rows, order, by=by, name=at, width=width)
+    mine = F.floor(F.col(at) / width)
+    lent = (F.col(at) % width < halo) & (mine > 0)
+    places = F.explode(F.when(lent, F.array(mine, mine - 1)).otherwise(F.array(mine)))
+    return found.withColumn(part, places).withColumn(own, F.col(part) == mine).drop(at), part, own
+
+
+def _joined(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what others has for their keys; null keys meet."""
+    names = [_free(f"__{k}", {c.lower() for c in (*rows.columns, *others.columns)}) for k in keys]
+    others = others.withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    return rows.join(others, on).drop(*names)
 
 
 def _free(name: str, taken: set[str]) -> str:

@@ -20,17 +20,34 @@ def record_id(prefix: str, *parts: Column) -> Column:
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    """The first row of each key in the given order, nulls first; other columns may have any names."""
+    name = "__n"
+    while name in rows.columns:
+        name += "_"
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) == 1).drop(name)
 
 
-def groups(instances: DataFrame, *, variants: int = 10) -> DataFrame:
-    """One row per hash, null and empty hashes left out: first canonical and family, counts by kind, distinct questions, first variants, whole."""
+def firsts(rows: DataFrame, keys: list[str], value: str, n: int, *, name: str) -> DataFrame:
+    """keys and name: the n least distinct values of each key, ascending; nulls are none.
+
+    Every task keeps its own n least of each key, and of these the n least are found again behind the shuffle, so a key
+    with any number of values costs as much as n of them.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    some = rows.where(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("__rank", rank).where(F.col("__rank") <= n)
+    return some.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias(name))
+
+
+def groups(instances: DataFrame, *, variants: int = 10, keys: list[str] | None = None) -> DataFrame:
+    """One row per hash (or other keys), null and empty hashes left out: first family, counts by kind, distinct questions, first variants, whole."""
+    keys = ["hash"] if keys is None else keys
     some = instances.where(F.coalesce(F.col("hash"), F.lit("")) != "")
-    return some.groupBy("hash").agg(
+    counts = some.groupBy(*keys).agg(
         F.min_by("family", "instance_id").alias("family"), F.count_if(F.col("kind") == "definite").alias("definite"), F.count_if(F.col("kind") != "definite").alias("indefinite"),
         F.count_distinct(F.when(F.col("question_id") != 0, F.col("question_id"))).alias("questions"), F.min("instance_id").alias("first_id"),
-        F.array_join(F.slice(F.sort_array(F.collect_set("variant")), 1, variants), "|").alias("variants"),
     )
+    found = counts.join(firsts(some, keys, "variant", variants, name="variants"), keys, "left")
+    return found.withColumn("variants", F.coalesce(F.array_join("variants", "|"), F.lit("")))
 
 
 def without_removed(instances: DataFrame, removed: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sumforge.operators import store as S
+from sumforge.operators.work import folder
+from sumforge.sources import keyed_files
 from sumforge.sources.tables import table
 
 
@@ -29,6 +31,21 @@ def group_by_hash(spark, d):
     return S.groups(_instances(spark, d))
 
 
+def group_by_source(spark, d):
+    """Groups that hold many texts: the first ten of each source and language by their text, and the first ten ids."""
+    rows = _instances(spark, d).withColumn("variant", F.md5("variant"))
+    keys = ["family", "kind"]
+    return S.firsts(rows, keys, "variant", 10, name="v").join(S.firsts(rows, keys, "instance_id", 10, name="i"), keys).select(*keys, F.array_join("v", "|").alias("variants"), F.array_join("i", "|").alias("ids"))
+
+
+def conversation_files(spark, d):
+    """A file for each conversation, as the sink's manifest has them."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(": ", "role", F.regexp_replace("text", r"\s+", " ")).alias("line"))
+    path = folder(spark, "files")
+    keyed_files.write(rows, path, key="conv_id", line="line", order=["turn"])
+    return keyed_files.manifest(spark, path).select(F.regexp_extract("file", r"^(\d+)\.txt$", 1).cast("long").alias("conv_id"), "lines", "bytes", "sha256")
+
+
 def count_groups(spark, d):
     return S.group_counts(_instances(spark, d), _removed(spark, d))
 
@@ -157,7 +174,7 @@ def equality_saturation_split_unprocessed(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    checksum_dedup_keep_first, group_by_hash, count_groups, count_instances, store_statistics, resume_anti_join, contributor_semi_join, group_instance_metadata_join,
+    checksum_dedup_keep_first, group_by_hash, group_by_source, conversation_files, count_groups, count_instances, store_statistics, resume_anti_join, contributor_semi_join, group_instance_metadata_join,
     author_lookup_join, curation_reasons, paginate_groups, paginate_active_groups, sample_groups_seeded, groups_by_family, point_lookup, rejection_histogram,
     acceptance_rate, stage_ids, safe_url, source_url, closed_forms, failure_upsert, answer_to_question, blob_path_update, text_or_base64_blob, url_cross_product,
     equality_saturation_split_unprocessed,
@@ -168,6 +185,14 @@ _G = "g AS (SELECT hash, arg_min(family, instance_id) AS family, count(*) FILTER
 
 ORACLE_SQL = {
     "checksum_dedup_keep_first": "SELECT 'sha256:' || sha256(text) AS checksum, min(doc_id) AS doc_id FROM documents GROUP BY ALL",
+    "group_by_source": """WITH v AS (SELECT DISTINCT source AS family, CASE WHEN lang = 'en' THEN 'definite' ELSE 'indefinite' END AS kind, md5(text) AS v FROM documents),
+i AS (SELECT source AS family, CASE WHEN lang = 'en' THEN 'definite' ELSE 'indefinite' END AS kind, doc_id AS i FROM documents),
+a AS (SELECT family, kind, string_agg(v, '|' ORDER BY v) AS variants FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY family, kind ORDER BY v) <= 10) GROUP BY ALL),
+b AS (SELECT family, kind, string_agg(i, '|' ORDER BY i) AS ids FROM (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY family, kind ORDER BY i) <= 10) GROUP BY ALL)
+SELECT family, kind, variants, ids FROM a JOIN b USING (family, kind)""",
+    "conversation_files": """WITH l AS (SELECT conv_id, turn, role || ': ' || regexp_replace(text, '\\s+', ' ', 'g') AS line FROM conversations),
+f AS (SELECT conv_id, count(*) AS lines, string_agg(line, chr(10) ORDER BY turn) || chr(10) AS body FROM l GROUP BY conv_id)
+SELECT conv_id, lines, strlen(body) AS bytes, sha256(body) AS sha256 FROM f""",
     "group_by_hash": f"WITH {_I}, {_G} SELECT * FROM g",
     "count_groups": f"WITH {_I}, f AS (SELECT hash, count(x.instance_id) AS gone, count(*) AS n FROM i LEFT JOIN x USING (instance_id) GROUP BY hash) SELECT count(*) AS n_all, count(*) FILTER (gone = 0) AS n_without_any, count(*) FILTER (gone < n) AS n_without_all FROM f",
     "count_instances": f"WITH {_I} SELECT count(*) AS n, count(*) FILTER (instance_id NOT IN (SELECT instance_id FROM x)) AS n_active FROM i",

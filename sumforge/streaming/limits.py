@@ -46,23 +46,49 @@ def rate_limited(events: DataFrame, *, limit: int, seconds: float) -> DataFrame:
     return rows.groupBy("user_id").applyInPandas(run, "event_id long, user_id long, admitted boolean")
 
 
-def rate_limited_stream(events: DataFrame, *, limit: int, seconds: float) -> DataFrame:
-    """rate_limited() for a stream; a user's admitted times are its state, at most limit of them."""
+def rate_limited_stream(events: DataFrame, *, limit: int, seconds: float, delay: str = "1 minute") -> DataFrame:
+    """rate_limited() for a stream; a user's admitted times are its state, at most limit of them.
+
+    A user's state goes when the watermark has passed the window after its last admitted hit, so only users of late have any. Rows behind the watermark
+    are late, and dropped; hits of a user are decided in the order of time within a micro-batch.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = SlidingLog(limit, seconds, list(state.get[0]) if state.exists else [])
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        admitted = [log.admit(t) for t in pdf["ts"]]
+        pdf = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        admitted = [log.admit(t) for t in pdf["at"]]
         state.update((list(log.times),))
+        last = max(log.times, default=0)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int((last + seconds) * 1000) + 1))
         yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": pdf["user_id"], "admitted": admitted})
 
-    rows = events.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", delay).select("event_id", "user_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return rows.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def keep_first_stream(rows: DataFrame, key: str) -> DataFrame:
-    """Keep-first dedup across micro-batches."""
-    return rows.dropDuplicates([key])
+def keep_first_stream(rows: DataFrame, key: str, *, time: str | None = None, within: str = "1 hour") -> DataFrame:
+    """Keep-first dedup across micro-batches.
+
+    With a time column, keys are remembered for the given span behind the watermark: a key that comes again within it is dropped, one that comes later
+    is new again, and the state stays as large as the keys of that span. Rows later than the watermark are dropped. Without one, every key is kept for ever.
+    """
+    if time is None:
+        return rows.dropDuplicates([key])
+    return rows.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
+
+
+def without_curated(rows: DataFrame, log: DataFrame, key: str, *, time: str, log_time: str, within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """A stream of rows without those that a stream log(key, log_time, action) removes within a span after them; both sides' state is bounded by it.
+
+    A row comes out once it is certain: when the watermark has passed the span in which it could still be removed. Null keys are never removed.
+    """
+    left = rows.withWatermark(time, delay)
+    right = log.where("action = 'remove'").select(F.col(key).alias("__key"), F.col(log_time).alias("__at")).withWatermark("__at", delay)
+    near = (F.col(key) == F.col("__key")) & (F.col("__at") >= F.col(time)) & (F.col("__at") <= F.col(time) + F.expr(f"INTERVAL {within}"))
+    return left.join(right, near, "leftOuter").where("__key IS NULL").drop("__key", "__at")
 
 
 def ema(series: DataFrame, *, alpha: float = 0.9, width: int = ranges.WIDTH) -> DataFrame:
@@ -71,7 +97,8 @@ def ema(series: DataFrame, *, alpha: float = 0.9, width: int = ranges.WIDTH) ->
     Each range of width steps is smoothed from zero on; what the ranges before hand on decays by alpha with each row. So
     a task holds one range, and of a whole series one row for each range.
     """
-    rows = ranges.ranged(series, "step", width=width).select("name", "__range", "step", F.col("value").cast("double").alias("value"))
+    rows, here = ranges.ranged(series.select("name", "step", F.col("value").cast("double").alias("value")), "step", width=width)
+    rows = rows.withColumnRenamed(here, "__range")
 
     def smooth(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("step", ignore_index=True)
@@ -89,17 +116,19 @@ def ema(series: DataFrame, *, alpha: float = 0.9, width: int = ranges.WIDTH) ->
             carry = carry * alpha**n + end
         return group.assign(carry=out)[["name", "__range", "carry"]]
 
-    name = f"name {series.schema['name'].dataType.simpleString()}"
-    local = rows.groupBy("name", "__range").applyInPandas(smooth, f"{name}, __range long, step long, value double, ema double, n long")
+    name, kind = f"name {series.schema['name'].dataType.simpleString()}", series.schema["step"].dataType.simpleString()
+    local = rows.groupBy("name", "__range").applyInPandas(smooth, f"{name}, __range int, step {kind}, value double, ema double, n long")
     ends = local.groupBy("name", "__range").agg(F.min_by("value", "n").alias("first"), F.max_by("ema", "n").alias("end"), F.max("n").alias("n"))
-    carries = ends.groupBy("name").applyInPandas(handed, f"{name}, __range long, carry double")
+    carries = ends.groupBy("name").applyInPandas(handed, f"{name}, __range int, carry double")
     return local.join(carries, ["name", "__range"]).select("name", "step", (F.col("ema") + F.col("carry") * F.pow(F.lit(alpha), "n")).alias("ema"))
 
 
-def moving_average(series: DataFrame, width: int) -> DataFrame:
-    """The means of all full windows, each at its first step."""
-    w = Window.partitionBy("name").orderBy("step").rowsBetween(0, width - 1)
-    return series.withColumn("mean", F.avg("value").over(w)).withColumn("n", F.count("value").over(w)).where(F.col("n") == width).select("name", "step", "mean")
+def moving_average(series: DataFrame, width: int, *, rows: int = ranges.WIDTH) -> DataFrame:
+    """The means of all full windows of width rows, each at its first step. A task holds a range of rows and the next width - 1."""
+    found, part, own = ranges.with_halo(series.select("name", "step", "value"), "step", width - 1, by=("name",), width=rows)
+    w = Window.partitionBy("name", part).orderBy("step").rowsBetween(0, width - 1)
+    found = found.withColumn("mean", F.avg("value").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+    return found.where((F.col("n") == width) & F.col(own)).select("name", "step", "mean")
 
 
 def running_best(series: DataFrame) -> DataFrame:

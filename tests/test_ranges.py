@@ -56,3 +56,34 @@ def test_scans_of_nothing_and_without_keys(spark):
     assert ranges.scanned(spark.createDataFrame([], "o long"), [], ["o"]).collect() == []
     found = ranges.scanned(spark.range(100).withColumnRenamed("id", "o"), [], ["o"], at="n", partitions=7).collect()
     assert sorted((r.o, r.n) for r in found) == [(k, k + 1) for k in range(100)]
+
+
+@pytest.mark.parametrize("kind", ["sparse", "crowded", "nulls", "timestamps"])
+def test_ranges_of_any_order_are_even(spark, kind):
+    rng = np.random.default_rng(2)
+    n = 20_000
+    order = {"sparse": rng.integers(0, 2**50, n), "crowded": rng.integers(10**6, 10**6 + 3000, n), "nulls": np.arange(n), "timestamps": 1_600_000_000 + rng.permutation(n) ** 2}[kind].tolist()
+    df = spark.createDataFrame([(k, None if kind == "nulls" and k < 500 else o) for k, o in enumerate(order)], "id long, o long")
+    if kind == "timestamps":
+        df = df.withColumn("o", F.timestamp_seconds("o"))
+    found, name = ranges.ranged(df.withColumn("__range", F.lit(0)), "o", width=1000)
+    sizes = [r["count"] for r in found.where("o IS NOT NULL").groupBy(name).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert found.where("o IS NULL").select(name).distinct().count() == (kind == "nulls")
+    got = {r.id: r["at"] for r in ranges.numbered(df, "o", width=1000).collect()}
+    values = {r.id: r.o for r in df.collect()}
+    places = sorted(got, key=got.get)
+    assert sorted(got.values()) == list(range(n))
+    assert all(values[a] is None or values[a] <= values[b] for a, b in zip(places, places[1:], strict=False))
+
+
+def test_moving_average_across_ranges(spark):
+    rng = np.random.default_rng(3)
+    steps = sorted(rng.choice(10**9, 400, replace=False).tolist())
+    values = rng.random(400).tolist()
+    series = spark.createDataFrame([(n, s, v) for n in "ab" for s, v in zip(steps, values, strict=True)], "name string, step long, value double")
+    for rows in (50, 3, 10_000):
+        got = limits.moving_average(series, 7, rows=rows).where("name = 'b'").orderBy("step").collect()
+        assert [r.step for r in got] == steps[:394]
+        assert np.allclose([r["mean"] for r in got], [np.mean(values[k : k + 7]) for k in range(394)])
+    assert limits.moving_average(series.limit(0), 7).count() == 0
