@@ -89,17 +89,23 @@ def one_dimensional(s: Column) -> Column:
 
 
 def piecewise(s: Column) -> Column:
-    word = r"\\text\s*\{\s*(if\s|for\s|when\s|otherwise)"
-    return s.contains(r"\begin{cases}") | (s.contains("matrix") & s.contains(r"\left\{")) | (s.contains(r"\begin{array}") & s.rlike("(?i)" + word)) | (s.contains(r"\left\{") & s.rlike(r"\\\\|<|>|\\le|\\ge"))
+    """Cases, matrices behind a brace, arrays with conditions in words (at the start of a text, or in any text behind & or a new row), rows behind a brace."""
+    # Words of conditions.
+    word = r"\\text\s*\{\s*(?:if\s|for\s|when\s|otherwise)|(?:&\s*|\\\\.*)\\text\s*\{.*(?:if|for|when|otherwise)"
+    return s.contains(r"\begin{cases}") | (s.contains("matrix") & s.contains(r"\left\{")) | (s.contains(r"\begin{array}") & s.rlike("(?i)(?:" + word + ")")) | (s.contains(r"\left\{") & s.rlike(r"\\\\|<|>|\\le|\\ge"))
 
 
 def multiple_statements(s: Column) -> Column:
     return s.rlike(r"(?i)\band\b|\\text\s*\{\s*or\s*\}|\bwhere\b.*=")
 
 
+#: Commands and signs of relations other than equality; of implications.
+INEQUALITIES, INEQUALITY_SIGNS = "leq|le|geq|ge|neq|ne|ll|gg|preceq|prec|succeq|succ|subseteq|subset|supseteq|supset", "<>≤≥≠≪≫"
+IMPLICATIONS, IMPLICATION_SIGNS = "Rightarrow|Leftarrow|Leftrightarrow|implies|iff|Longrightarrow|Longleftarrow|Longleftrightarrow", "⇒⇐⇔"
+
+
 def inequality(s: Column) -> Column:
-    names = "leq|le|geq|ge|neq|ne|ll|gg|preceq|prec|succeq|succ|subseteq|subset|supseteq|supset"
-    return s.rlike(rf"\\(?:{names})(?![a-zA-Z])|[<>≤≥≠≪≫]")
+    return s.rlike(rf"\\(?:{INEQUALITIES})(?![a-zA-Z])|[{INEQUALITY_SIGNS}]")
 
 
 def matrix(s: Column) -> Column:
@@ -107,7 +113,7 @@ def matrix(s: Column) -> Column:
 
 
 def implication(s: Column) -> Column:
-    return s.rlike(r"\\(?:Rightarrow|Leftrightarrow|implies|iff|Longrightarrow|Longleftrightarrow)(?![a-zA-Z])|⇒|⇔")
+    return s.rlike(rf"\\(?:{IMPLICATIONS})(?![a-zA-Z])|[{IMPLICATION_SIGNS}]")
 
 
 def single_letter_ij(s: Column) -> Column:

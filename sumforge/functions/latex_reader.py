@@ -459,10 +459,16 @@ def single_letter_ij(s: str) -> bool:
 
 
 def column(function: Callable, returns: DataType = StringType()) -> Callable[[Column | str], Column]:
-    """A pass as a column function over Arrow batches; null stays null."""
+    """A pass as a column function over Arrow batches; null stays null, and a text that is nested too deeply for the pass becomes null."""
+
+    def passed(s: str | None):
+        try:
+            return None if s is None else function(s)
+        except RecursionError:
+            return None
 
     @pandas_udf(returns)
     def batch(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: None if s is None else function(s))
+        return texts.map(passed)
 
     return batch

@@ -200,6 +200,8 @@ def integral(s: str) -> dict:
         return {"integrand": read(inner) if inner.strip() else "1", "variable": d.group(1), "lower": read(lower), "upper": read(upper), "kind": "definite" if lower or upper else "indefinite", "error": None}
     except (ValueError, IndexError) as e:
         return none | {"error": str(e)}
+    except RecursionError:
+        return none | {"error": "nested_too_deeply"}
 
 
 RECORD = "id string, part int, accepted boolean, leading string, equivalents array<string>, conditions string, reason string"

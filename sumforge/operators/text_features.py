@@ -2,28 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sumforge.sources.snapshots import Snapshots
+
 
 def char_ngrams(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(id, term, tf): how often each n-gram of characters occurs in each text, case kept."""
-    grams = F.concat(*(_grams(text_col, k) for k in sizes))
-    return docs.select(F.col(id_col).alias("id"), F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _each_ngram(docs, id_col, text_col, sizes).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _each_ngram(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    # characters first: to find the i-th one in a string takes time in proportion to i
+    rows = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text_col, F.lit("(?s)."), F.lit(0)).alias("chars"))
+    return rows.select("id", F.explode(F.concat(*(_grams(F.col("chars"), k) for k in sizes))).alias("term"))
+
+
+def _grams(chars: Column, k: int) -> Column:
+    n = F.size(chars)
+    starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat(*(F.get(chars, i + j) for j in range(k))))
+
+
+class Vectoriser:
+    """What TF-IDF learns from texts: how often each term occurs (total), in how many texts (df), and how many texts there are.
+
+    All terms are kept, not only those that are used, so that what was learnt from two corpora can be added up exactly.
+    """
+
+    def __init__(self, terms: DataFrame, texts: DataFrame):
+        self.terms, self.texts = terms, texts
+
+    @classmethod
+    def fit(cls, docs: DataFrame, id_col: str, text_col: str) -> Vectoriser:
+        """From docs, a text for each id; null texts count as texts without terms."""
+        terms = char_ngrams(docs, id_col, text_col).groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+        return cls(terms, docs.agg(F.count(F.lit(1)).alias("n_docs")))
+
+    def merged(self, other: Vectoriser) -> Vectoriser:
+        """As if learnt from the texts of both, which have to be different ones."""
+        terms = self.terms.unionByName(other.terms).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+        return Vectoriser(terms, self.texts.unionByName(other.texts).agg(F.sum("n_docs").alias("n_docs")))
+
+    def save(self, spark: SparkSession, path: str) -> int:
+        """The version it is kept as; until all is written the one before is the current one."""
+        return Snapshots(spark, path).replace({"terms": self.terms, "texts": self.texts})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> Vectoriser:
+        kept = Snapshots(spark, path)
+        return cls(kept.table("terms", version), kept.table("texts", version))
 
+    def vocabulary(self, features: int = 384) -> DataFrame:
+        """(term, idf): the most frequent terms, ties by term; smooth idf ln((1 + n) / (1 + df)) + 1."""
+        kept = self.terms.orderBy(F.desc("total"), "term").limit(features)
+        return kept.crossJoin(F.broadcast(self.texts)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
 
-def _grams(text_col: str, k: int):
-    n = F.length(text_col)
-    starts = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(F.col(text_col), i, F.lit(k)))
+    def weights(self, docs: DataFrame, id_col: str, text_col: str, *, features: int = 384) -> DataFrame:
+        """(id, term, weight): the terms of docs that are in the vocabulary, at unit length; texts without any have no rows."""
+        vocabulary = F.broadcast(self.vocabulary(features))  # as many rows as features
+        known = _each_ngram(docs, id_col, text_col).join(vocabulary, "term").groupBy("id", "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+        norms = known.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return known.join(norms, "id").select("id", "term", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))
 
 
 def tfidf(docs: DataFrame, id_col: str, text_col: str, *, features: int = 384) -> DataFrame:
-    """(id, term, weight): the most frequent terms over all texts, smooth idf ln((1 + n) / (1 + df)) + 1, unit length."""
-    terms = char_ngrams(docs, id_col, text_col)
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    kept = terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(features)  # as many rows as features
-    idf = kept.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = terms.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "id").select("id", "term", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))
+    """(id, term, weight): fitted to docs and applied to them."""
+    return Vectoriser.fit(docs, id_col, text_col).weights(docs, id_col, text_col, features=features)

@@ -1,4 +1,7 @@
-"""LaTeX queries: over documents, and over golden tables whose expected values are the SQL."""
+"""LaTeX queries: over documents, and over expressions that begin with a number from part, whose expected values are known.
+
+CHECKS holds the golden tables by themselves, for tests.
+"""
 
 from __future__ import annotations
 
@@ -46,8 +49,8 @@ GOLDEN = {
 
 FLAGS = {
     "predicates_matrix": (L.matrix, {r"\begin{pmatrix} 1 \end{pmatrix}": True, r"\begin{matrix}": True, r"\begin{align}": False}),
-    "predicates_implication": (L.implication, {r"a \Rightarrow b": True, r"a \iff b": True, "a = b": False}),
-    "predicates_piecewise": (L.piecewise, {r"\begin{cases} 1 \\ 2 \end{cases}": True, r"\left\{ a \\ b": True, "x^2": False, r"\begin{array} \text{if } x": True}),
+    "predicates_implication": (L.implication, {r"a \Rightarrow b": True, r"a \iff b": True, r"a \Leftarrow b": True, "a = b": False}),
+    "predicates_piecewise": (L.piecewise, {r"\begin{cases} 1 \\ 2 \end{cases}": True, r"\left\{ a \\ b": True, "x^2": False, r"\begin{array} \text{if } x": True, r"\begin{array}{l} 1 & \text{ only if } x": True, r"\begin{array} x": False}),
     "predicates_multi": (L.multiple_statements, {"x and y": True, r"a \text{or} b": True, "where x = 1": True, "sand": False}),
     "predicates_inequality": (L.inequality, {r"a \le b": True, r"\left( x": False, "a < b": True, "a = b": False, "x ≠ y": True}),
     "integral_prefilter": (L.has_integral, {r"\int x": True, r"\intx": False, r"\int_0^1": True, "int": False}),
@@ -69,22 +72,55 @@ INTEGRALS = {
 }
 
 
+def _numbered(spark, d, *cases):
+    """(k, input) of each part and each case; in a case, % stands for the number of the part."""
+    texts = F.explode(F.array(*map(F.lit, cases))).alias("case")
+    return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), texts).select("k", F.replace("case", F.lit("%"), "k").alias("input"))
+
+
+NUMBERED_CHAINS = {"a = b = %": ("a", "b | %", None), r"A \approx % ≈ C": ("A", "% | C", None), r"\int_0^1 x^2 dx = \frac{1}{%}": (r"\int_{0}^{1}x^2 dx", r"\frac{1}{%}", None)}
+NUMBERED_INTEGRALS = {
+    r"\int_0^{%} x^2 dx": ("x**2", "x", "0", "%", "definite", None), r"\int_{%}^{\infty} e^{-x^2} dx": ("exp(-x**2)", "x", "%", "oo", "definite", None),
+    "x^2 + %": (None, None, None, None, None, "not_integral_object"),
+}
+
+
+def _normalized(rows):
+    return latex_scan.normalized(rows.select(F.col("input").alias("id"), F.col("input").alias("latex"))).select(F.col("id").alias("input"), F.col("leading").alias("first_form"), F.array_join("equivalents", " | ").alias("equivalents"), "reason")
+
+
+def _integrals(rows):
+    found = latex_scan.integrals(rows.select(F.col("input").alias("id"), F.col("input").alias("latex"))).withColumn("canonical", E.describe("integrand")["canonical"])
+    return found.select(F.col("id").alias("input"), F.col("canonical").alias("integrand"), "variable", "lower", "upper", "kind", "error")
+
+
 def normalize_latex(spark, d):
-    rows = spark.createDataFrame([(k, k) for k in CHAINS], "id string, latex string")
-    return latex_scan.normalized(rows).select(F.col("id").alias("input"), F.col("leading").alias("first_form"), F.array_join("equivalents", " | ").alias("equivalents"), "reason")
+    return _normalized(_numbered(spark, d, *NUMBERED_CHAINS))
 
 
 def parse_integrals(spark, d):
-    """Integrals of a table, read and brought into canonical form."""
-    rows = spark.createDataFrame([(k, k) for k in INTEGRALS], "id string, latex string")
-    found = latex_scan.integrals(rows).withColumn("canonical", E.describe("integrand")["canonical"])
-    return found.select(F.col("id").alias("input"), F.col("canonical").alias("integrand"), "variable", "lower", "upper", "kind", "error")
+    """Integrals read and brought into canonical form."""
+    return _integrals(_numbered(spark, d, *NUMBERED_INTEGRALS))
+
+
+def single_letter_ij(spark, d):
+    return _numbered(spark, d, "I(%)", "x + %").select("input", L.single_letter_ij(F.col("input")).alias("output"))
+
+
+#: What does not depend on the number before an expression.
+_APART = {"family_classify", "condition_part", *FLAGS}
 
 
 def _golden(function, cases):
     def query(spark, d):
-        rows = spark.createDataFrame([(k,) for k in cases], "input string")
-        return rows.select("input", function(F.col("input")).alias("output"))
+        return _numbered(spark, d, *(f"% + {c}" for c in cases if c)).select("input", function(F.col("input")).alias("output"))
+
+    return query
+
+
+def _check(function, cases):
+    def query(spark, d):
+        return spark.createDataFrame([(k,) for k in cases], "input string").select("input", function(F.col("input")).alias("output"))
 
     return query
 
@@ -94,6 +130,11 @@ def _expected(cases) -> str:
     return f"SELECT * FROM (VALUES {rows}) t(input, output)"
 
 
+def _expected_numbered(name: str, cases) -> str:
+    output = "output" if name in _APART else "p_partkey || ' + ' || output"
+    return f"SELECT p_partkey || ' + ' || input AS input, {output} AS output FROM part, ({_expected({k: v for k, v in cases.items() if k})})"
+
+
 def extract_display_math(spark, d):
     found = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(L.display_math(F.col("text")))).alias("m"))
     return found.groupBy("doc_id", F.col("m.latex").alias("latex")).agg(F.min("m.pattern_index").alias("pattern_index"))
@@ -108,8 +149,11 @@ def differential_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(t, F.lit(r"\$\$"), F.lit(0))).alias("dollars"), L.inequality(t).alias("inequality"))
 
 
-QUERIES = {"extract_display_math": extract_display_math, "latex_reject_cascade": latex_reject_cascade, "differential_scan": differential_scan, "normalize_latex": normalize_latex, "parse_integrals": parse_integrals}
-QUERIES |= {name: _golden(*x) for name, x in (GOLDEN | FLAGS).items()}
+_TABLES = {name: x for name, x in (GOLDEN | FLAGS).items() if name != "single_letter_ij"}
+QUERIES = {f.__name__: f for f in (extract_display_math, latex_reject_cascade, differential_scan, normalize_latex, parse_integrals, single_letter_ij)}
+QUERIES |= {name: _golden(*x) for name, x in _TABLES.items()}
+CHECKS = {f"golden_{name}": _check(*x) for name, x in (GOLDEN | FLAGS).items()}
+CHECKS |= {"golden_normalize_latex": lambda spark, d: _normalized(spark.createDataFrame([(k,) for k in CHAINS], "input string")), "golden_parse_integrals": lambda spark, d: _integrals(spark.createDataFrame([(k,) for k in INTEGRALS], "input string"))}
 
 _W = r"[^\p{L}\p{N}_]"
 _SQL_RULES = [(p.replace("(?U)", ""), r) for p, r in L.REJECTIONS]
@@ -124,14 +168,20 @@ def _sql_rule(p: str) -> str:
     return hit
 
 
-ORACLE_SQL = {name: _expected(cases) for name, (_, cases) in (GOLDEN | FLAGS).items()}
-
-
 def _rows(cases, names: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(sql_text(x) for x in (k, *v)) + ")" for k, v in cases.items()) + f") t({names})"
 
 
-ORACLE_SQL |= {"normalize_latex": _rows(CHAINS, "input, first_form, equivalents, reason"), "parse_integrals": _rows(INTEGRALS, "input, integrand, variable, lower, upper, kind, error")}
+def _rows_numbered(cases, names: str) -> str:
+    columns = ", ".join(f"replace({n}, '%', p_partkey::VARCHAR) AS {n}" for n in names.split(", "))
+    return f"SELECT {columns} FROM part, ({_rows(cases, names)})"
+
+
+_CHAIN, _INTEGRAL = "input, first_form, equivalents, reason", "input, integrand, variable, lower, upper, kind, error"
+ORACLE_SQL = {name: _expected_numbered(name, cases) for name, (_, cases) in _TABLES.items()}
+ORACLE_SQL |= {f"golden_{name}": _expected(cases) for name, (_, cases) in (GOLDEN | FLAGS).items()}
+ORACLE_SQL |= {"golden_normalize_latex": _rows(CHAINS, _CHAIN), "golden_parse_integrals": _rows(INTEGRALS, _INTEGRAL), "normalize_latex": _rows_numbered(NUMBERED_CHAINS, _CHAIN), "parse_integrals": _rows_numbered(NUMBERED_INTEGRALS, _INTEGRAL)}
+ORACLE_SQL["single_letter_ij"] = "SELECT unnest(['I(' || p_partkey || ')', 'x + ' || p_partkey]) AS input, unnest([true, false]) AS output FROM part"
 ORACLE_SQL |= {
     "extract_display_math": r"""WITH m AS (
   SELECT doc_id, 0 AS k, unnest(regexp_extract_all(text, '(?s)\$\$(.+?)\$\$', 1)) AS l FROM documents UNION ALL
@@ -140,5 +190,5 @@ ORACLE_SQL |= {
   SELECT doc_id, 3, unnest(regexp_extract_all(text, '(?s)\\begin\{equation\*?\}(.+?)\\end\{equation\*?\}', 1)) FROM documents
 ) SELECT doc_id, trim(l) AS latex, min(k) AS pattern_index FROM m GROUP BY ALL""",
     "latex_reject_cascade": "SELECT doc_id, CASE " + " ".join(f"WHEN {_sql_rule(p)} THEN {sql_text('latex_rejected: ' + r)}" for p, r in _SQL_RULES) + " END AS reason FROM documents",
-    "differential_scan": r"SELECT doc_id, len(regexp_extract_all(text, '\$\$')) AS dollars, regexp_matches(text, '\\(leq|le|geq|ge|neq|ne|ll|gg|preceq|prec|succeq|succ|subseteq|subset|supseteq|supset)([^a-zA-Z]|$)|[<>≤≥≠≪≫]') AS inequality FROM documents",
+    "differential_scan": r"SELECT doc_id, len(regexp_extract_all(text, '\$\$')) AS dollars, regexp_matches(text, '\\(" + L.INEQUALITIES + ")([^a-zA-Z]|$)|[" + L.INEQUALITY_SIGNS + "]') AS inequality FROM documents",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sumforge.functions import expressions as E
 from sumforge.operators import dataset as D
 from sumforge.operators import admission, egraph, ranges, text_features
+from sumforge.operators.work import folder
 from sumforge.sources.tables import sql_text, table
 from sumforge.streaming import limits
 
@@ -29,14 +30,28 @@ def _forms(spark, cases):
     return spark.createDataFrame([(k,) for k in cases], "input string")
 
 
+def _described(rows):
+    return rows.select("input", E.describe("input").alias("d")).select("input", "d.canonical", "d.prefix", "d.sexp")
+
+
+def golden_forms(spark, d):
+    return _described(_forms(spark, FORMS))
+
+
 def canonicalize(spark, d):
-    return _forms(spark, FORMS).select("input", E.describe("input").alias("d")).select("input", "d.canonical", "d.prefix", "d.sexp")
+    """The sine of every part's number, from 2 on, times x."""
+    return _described(table(spark, d, "part").select(F.concat(F.lit("sin(x*"), F.col("p_partkey") + 2, F.lit(")")).alias("input")))
 
 
-def prefix_to_sexp(spark, d):
+def golden_sexps(spark, d):
     return _forms(spark, SEXPS).select("input", E.sexp_of_prefix("input").alias("output"))
 
 
+def prefix_to_sexp(spark, d):
+    digits = F.array_join(F.split((F.col("p_partkey") + 10).cast("string"), ""), " ")
+    return table(spark, d, "part").select(F.concat(F.lit("mul INT+ "), digits, F.lit(" x")).alias("input")).select("input", E.sexp_of_prefix("input").alias("output"))
+
+
 def query_normalize(spark, d):
     return _forms(spark, QUERY_FORMS).select("input", E.canonical_query("input").alias("output"))
 
@@ -121,6 +136,15 @@ def tfidf_char_ngrams(spark, d):
     return text_features.tfidf(table(spark, d, "benchmark"), "item_id", "text")
 
 
+def tfidf_unseen(spark, d):
+    """Learnt from benchmark, kept, loaded and applied to documents: how many terms each has, and the heaviest."""
+    place = folder(spark, "vectoriser")
+    text_features.Vectoriser.fit(table(spark, d, "benchmark"), "item_id", "text").save(spark, place)
+    weights = text_features.Vectoriser.load(spark, place).weights(table(spark, d, "documents"), "doc_id", "text")
+    best = F.max(F.struct("weight", "term"))
+    return weights.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_terms"), best.alias("best")).select("doc_id", "n_terms", "best.term", "best.weight")
+
+
 def rolling_rate(spark, d):
     return limits.rolling_count(table(spark, d, "events").select("user_id", "ts", "event_id"), seconds=6 * 3600).select("event_id", "hits")
 
@@ -156,7 +180,9 @@ def running_best(spark, d):
 
 
 def eval_schedule(spark, d):
-    return limits.evaluation_schedule(spark.range(0, 200_001, 2500).withColumnRenamed("id", "step"), {"quick": 5000, "full": 25000, "deep": 100000}, 10000)
+    """The steps are those of events, 500 apart."""
+    steps = table(spark, d, "events").select((F.col("event_id") * 500).alias("step"))
+    return limits.evaluation_schedule(steps, {"quick": 5000, "full": 25000, "deep": 100000}, 10000)
 
 
 def generator_benchmark(spark, d):
@@ -182,11 +208,11 @@ def evenly_spaced_sample(spark, d):
 
 
 def learning_rate_schedule(spark, d):
-    """Linear warm-up over 4 epochs, then a half cosine to zero at epoch 20."""
-    e = F.col("epoch")
+    """Linear warm-up over 4 epochs, then a half cosine to zero at epoch 20, and so again; each event is an epoch."""
+    e = F.col("event_id") % 21
     warm = (e + 1) / 4
     rate = F.when(e < 4, warm).otherwise(0.5 * (1 + F.cos(F.lit(math.pi) * (e - 4) / 16)))
-    return spark.range(21).withColumnRenamed("id", "epoch").select("epoch", F.round(1e-3 * rate, 9).alias("rate"))
+    return table(spark, d, "events").select("event_id", F.round(1e-3 * rate, 9).alias("rate"))
 
 
 def training_summary(spark, d):
@@ -210,11 +236,13 @@ def parameter_histogram(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    canonicalize, prefix_to_sexp, query_normalize, symbol_validation, vocabulary, tokenizer_encode, token_limit_filter, numeric_tokens, equivalents_generate, egraph_equiv,
-    relational_ematch, seed_split, ordered_pairs_sampled, negatives, permutation_dedup, tfidf_char_ngrams, rolling_rate, rate_limit_stateful, rate_limit_deployed, rate_limit_overall, ema_smoothing,
+    canonicalize, prefix_to_sexp, token_limit_filter, numeric_tokens,
+    relational_ematch, seed_split, ordered_pairs_sampled, negatives, permutation_dedup, tfidf_char_ngrams, tfidf_unseen, rolling_rate, rate_limit_stateful, rate_limit_deployed, rate_limit_overall, ema_smoothing,
     moving_average_valid, running_best, eval_schedule, generator_benchmark, startup_profile, running_average, evenly_spaced_sample, learning_rate_schedule,
-    training_summary, metrics_history, parameter_histogram,
+    training_summary, metrics_history,
 )}
+#: Over fixed cases only: for tests.
+CHECKS = {f.__name__: f for f in (golden_forms, golden_sexps, query_normalize, symbol_validation, vocabulary, tokenizer_encode, equivalents_generate, egraph_equiv, parameter_histogram)}
 
 
 def _gate(micros: int, per_client: int, overall: int, clients: int) -> str:
@@ -250,8 +278,11 @@ f AS (SELECT s.query_id, s.positive_id, s.j, m.id FROM s JOIN c o ON o.c = s.d +
 SELECT query_id, positive_id, string_agg(id::VARCHAR, ',' ORDER BY j) AS negatives FROM f GROUP BY ALL"""
 
 ORACLE_SQL = {
-    "canonicalize": _table([(k, *v) for k, v in FORMS.items()], "input, canonical, prefix, sexp"),
-    "prefix_to_sexp": _table(SEXPS.items(), "input, output"), "query_normalize": _table(QUERY_FORMS.items(), "input, output"), "symbol_validation": _table(VALID.items(), "input, output"),
+    "canonicalize": """SELECT 'sin(x*' || k || ')' AS input, 'sin(' || k || '*x)' AS canonical, 'sin mul ' || CASE WHEN k < 10 THEN k::VARCHAR ELSE 'INT+ ' || array_to_string(string_split(k::VARCHAR, ''), ' ') END || ' x' AS prefix,
+  '(sin (* ' || k || ' x))' AS sexp FROM (SELECT p_partkey + 2 AS k FROM part)""",
+    "prefix_to_sexp": "SELECT 'mul INT+ ' || array_to_string(string_split(k::VARCHAR, ''), ' ') || ' x' AS input, '(* ' || k || ' x)' AS output FROM (SELECT p_partkey + 10 AS k FROM part)",
+    "golden_forms": _table([(k, *v) for k, v in FORMS.items()], "input, canonical, prefix, sexp"),
+    "golden_sexps": _table(SEXPS.items(), "input, output"), "query_normalize": _table(QUERY_FORMS.items(), "input, output"), "symbol_validation": _table(VALID.items(), "input, output"),
     "vocabulary": "SELECT id::INT AS id, token FROM (VALUES " + ", ".join(f"({k}, {sql_text(t)})" for k, t in enumerate(E.TOKENS)) + ") t(id, token)",
     "tokenizer_encode": _table([(k, " ".join(map(str, E.encode(prefix.split())))) for k, (_, prefix, _) in FORMS.items() if prefix], "input, ids"),
     "numeric_tokens": """WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
@@ -269,6 +300,20 @@ SELECT -s.id AS id, x.l AS a, x.r AS b, y.r AS c FROM m s JOIN m x ON x.id = s.i
 t AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL), k AS (SELECT term, sum(tf) AS total, count(*) AS df FROM t GROUP BY term ORDER BY total DESC, term LIMIT 384),
 w AS (SELECT id, term, tf * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM t JOIN k USING (term))
 SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""",
+    "tfidf_unseen": """WITH g AS (SELECT item_id AS id, unnest(list_concat(list_transform(range(1, length(text) + 1), lambda i: substring(text, i, 1)), list_transform(range(1, length(text)), lambda i: substring(text, i, 2)), list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3)))) AS term FROM benchmark),
+k AS (SELECT term, count(*) AS total, count(DISTINCT id) AS df FROM g GROUP BY term ORDER BY total DESC, term LIMIT 384),
+v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1 AS idf FROM k),
+d AS (SELECT doc_id, unnest(list_concat(c, list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS term FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents)),
+w AS (SELECT doc_id, term, count(*) * any_value(idf) AS w FROM d JOIN v USING (term) GROUP BY ALL),
+u AS (SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w)
+SELECT doc_id, count(*) AS n_terms, arg_max(term, (weight, term)) AS term, max(weight) AS weight FROM u GROUP BY doc_id""",
+    "rate_limit_stateful": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, []::BIGINT[] AS log, NULL::BIGINT AS event_id, NULL::BOOLEAN AS admitted FROM e
+  UNION ALL
+  SELECT user_id, n, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, event_id, len(live) < 3
+  FROM (SELECT e.*, list_filter(s.log, lambda x: e.t - x <= 21600000000) AS live FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT event_id, user_id, admitted FROM s WHERE n > 0""",
     "rate_limit_deployed": _gate(60_000_000, 30, 300, 4096),
     "rate_limit_overall": _gate(6 * 3600 * 1_000_000, 3, 60, 50),
     "rolling_rate": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS hits FROM events",
@@ -276,11 +321,11 @@ SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight
 SELECT name, round(sum(value * CASE WHEN i = 1 THEN pow(0.9, n - 1) ELSE 0.1 * pow(0.9, n - i) END), 5) AS ema, count(*) AS n FROM s GROUP BY name""",
     "moving_average_valid": "WITH s AS (SELECT event_type AS name, event_id AS step, avg(value) OVER w AS m, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) SELECT name, step, round(m, 5) AS mean FROM s WHERE n = 5",
     "running_best": "SELECT event_type AS name, event_id AS step, min(value) OVER w AS best, value = min(value) OVER w AS is_best FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
-    "eval_schedule": "SELECT step, concat_ws(',', CASE WHEN step >= 10000 AND step % 5000 = 0 THEN 'quick' END, CASE WHEN step >= 10000 AND step % 25000 = 0 THEN 'full' END, CASE WHEN step >= 10000 AND step % 100000 = 0 THEN 'deep' END) AS tiers FROM range(0, 200001, 2500) r(step)",
+    "eval_schedule": "SELECT step, concat_ws(',', CASE WHEN step >= 10000 AND step % 5000 = 0 THEN 'quick' END, CASE WHEN step >= 10000 AND step % 25000 = 0 THEN 'full' END, CASE WHEN step >= 10000 AND step % 100000 = 0 THEN 'deep' END) AS tiers FROM (SELECT event_id * 500 AS step FROM events)",
     "generator_benchmark": "SELECT event_type, round(avg(value), 5) AS mean, round(quantile_cont(value, 0.5), 5) AS median, round(stddev_samp(value), 5) AS stdev, min(value) AS least, max(value) AS most FROM events GROUP BY ALL",
     "startup_profile": "WITH t AS (SELECT event_type, avg(value) AS m FROM events GROUP BY ALL) SELECT event_type, round(m, 5) AS mean, round(100 * m / sum(m) OVER (), 4) AS percent FROM t",
     "evenly_spaced_sample": "WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings) SELECT DISTINCT i AS at, vec_id FROM r, range(25) p(k) WHERE i = floor(k * (n - 1) / 24)",
-    "learning_rate_schedule": "SELECT epoch, round(0.001 * CASE WHEN epoch < 4 THEN (epoch + 1) / 4 ELSE 0.5 * (1 + cos(pi() * (epoch - 4) / 16)) END, 9) AS rate FROM range(21) r(epoch)",
+    "learning_rate_schedule": "SELECT event_id, round(0.001 * CASE WHEN epoch < 4 THEN (epoch + 1) / 4 ELSE 0.5 * (1 + cos(pi() * (epoch - 4) / 16)) END, 9) AS rate FROM (SELECT event_id, event_id % 21 AS epoch FROM events)",
     "training_summary": "WITH s AS (SELECT event_type AS name, min(value) AS best, arg_min(event_id, (value, event_id)) AS best_step, arg_min(value, event_id) AS f, arg_max(value, event_id) AS l FROM events GROUP BY ALL) SELECT name, best, best_step, round((f - best) / f, 6) AS improvement, round(l - best, 6) AS gap FROM s",
     "metrics_history": "WITH p AS (SELECT event_id // 500 AS epoch, avg(value) AS m, sqrt(sum(value * value)) AS n FROM events GROUP BY ALL) SELECT epoch, round(m, 6) AS mean, round(n, 4) AS norm, round(avg(m) OVER (ORDER BY epoch), 6) AS mean_so_far FROM p",
     "parameter_histogram": "SELECT * FROM (VALUES (0, 1), (1, 1), (2, 1), (3, 1)) t(params, n)",

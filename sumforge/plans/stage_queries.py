@@ -181,12 +181,14 @@ def tokenizer_round_trip(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     chain_positions, inequality_equivalents, filter_report, unevaluated_rejected, line_range, failed_seeds_left_out, search_statistics, analogy_validity, split_statistics,
-    seed_freeze, recent_log, more_results, family_fill, reverse_lookup, store_projections, api_extraction, ocr_extraction, blob_path_map, padding_mask, tokenizer_decode,
-    prefix_to_infix, tokenizer_round_trip, author_backfill, page_resume, query_guards,
+    seed_freeze, recent_log, more_results, family_fill, reverse_lookup, store_projections, api_extraction, ocr_extraction, blob_path_map, padding_mask,
+    tokenizer_round_trip, author_backfill, page_resume, query_guards,
 )}
+#: Over fixed cases only: for tests.
+CHECKS = {f.__name__: f for f in (tokenizer_decode, prefix_to_infix)}
 
 _I = "i AS (SELECT doc_id AS instance_id, substr(sha256(text), 1, 12) AS hash, source AS family, text, doc_id % 97 AS question_id FROM documents)"
-_INEQUALITY = r"regexp_matches(text, '\\(leq|le|geq|ge|neq|ne|ll|gg|preceq|prec|succeq|succ|subseteq|subset|supseteq|supset)([^a-zA-Z]|$)|[<>≤≥≠≪≫]')"
+_INEQUALITY = r"regexp_matches(text, '\\(" + L.INEQUALITIES + r")([^a-zA-Z]|$)|[<>≤≥≠≪≫]')"
 
 
 def _family_sql(c: str) -> str:

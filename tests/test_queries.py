@@ -13,11 +13,11 @@ def con():
     return connection(SF)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES | catalogue.CHECKS))
 def test_query(spark, con, name):
-    df = catalogue.QUERIES[name](spark, SF)
-    if name in catalogue.ORACLE_SQL:
-        assert differences(df, con, catalogue.ORACLE_SQL[name]) == []
+    df = (catalogue.QUERIES | catalogue.CHECKS)[name](spark, SF)
+    if name in catalogue.EXPECTED:
+        assert differences(df, con, catalogue.EXPECTED[name]) == []
     else:
         assert df.count() > 0
 
