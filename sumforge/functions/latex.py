@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from sumforge.functions import latex_reader
 
@@ -30,6 +29,8 @@ REJECTIONS = [
 ]
 # Fixed value: notations of polylogarithms.
 POLYLOG = r"\\operatorname\{Li\}_|\\text\{Li\}_|Li_\{?\d+\}?"
+# The patterns of display formulas, by pattern_index.
+DISPLAY = [r"(?s)\$\$(.+?)\$\$", r"(?s)\\\[(.+?)\\\]", r"(?s)\\begin\{align\*?\}(.+?)\\end\{align\*?\}", r"(?s)\\begin\{equation\*?\}(.+?)\\end\{equation\*?\}"]
 FUNCTIONS = ["sin", "cos", "tan", "sec", "csc", "cot", "sinh", "cosh", "tanh", "sech", "csch", "coth"]
 
 
@@ -117,7 +118,9 @@ def implication(s: Column) -> Column:
 
 
 def single_letter_ij(s: Column) -> Column:
-    return latex_reader.column(latex_reader.single_letter_ij, BooleanType())(s)
+    r"""Whether a text is only a name: I or J, plain or calligraphic, then any scripts (one character or a group) and arguments."""
+    group = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*+\}"
+    return s.rlike(rf"^\s*(?:\\mathcal\{{[IJ]\}}|[IJ])(?:\s*[_^]\s*(?:{group}|[^{{}}\s])|\s*\([^()]*\))*+\s*$")
 
 
 def reject_reason(s: Column) -> Column:
@@ -139,9 +142,8 @@ def family(s: Column) -> Column:
 
 def display_math(text: Column) -> Column:
     """array<struct<pattern_index, latex>>: display formulas of the four patterns in order, trimmed."""
-    patterns = [r"(?s)\$\$(.+?)\$\$", r"(?s)\\\[(.+?)\\\]", r"(?s)\\begin\{align\*?\}(.+?)\\end\{align\*?\}", r"(?s)\\begin\{equation\*?\}(.+?)\\end\{equation\*?\}"]
 
     def found(k: int, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda m: F.struct(F.lit(k).alias("pattern_index"), F.trim(m).alias("latex")))
 
-    return F.concat(*(found(k, p) for k, p in enumerate(patterns)))
+    return F.concat(*(found(k, p) for k, p in enumerate(DISPLAY)))

@@ -163,7 +163,7 @@ def _logarithm(w: Walk) -> bool:
     k = w.past_space(w.at + 1 if end is None else end)
     last = w.past(k, digit)
     if last == k and power is not None and power.isdigit() and len(power) > 1:
-        power, k, last = power[:-1], end - 1, end  # \log^32 is the cube of log 2
+        power, k, last = power[:-1], end - 1, end  # fixed behaviour, as in TeX, where a script without braces takes one digit: \log^32 is the cube of log 2
     if last == k and w.lone_letter(k):
         last = k + 1
     if last == k:
@@ -394,8 +394,14 @@ def stripped(s: str) -> str:
     return re.sub(r"\s+", " ", s).strip()
 
 
+# Words that begin a condition, the first of them wins; relations behind a quad, in brackets, behind a comma;
+# a main part before a comma has more characters than SHORT.
 _MARKERS = ("for", "when", "if", "where", "provided", "given", "with")
+_ASSIGNED = ("=", "<", ">", "≥", "≤", "\\in", "\\geq", "\\leq", "\\neq")
 _ORDER = re.compile(r"[<>≤≥≠]|\\(?:le|leq|ge|geq|ne|neq)(?![a-zA-Z])")
+_BRACKETED = re.compile(r"[<>≤≥]|\\text\s*\{|\\(?:forall|exists|in|notin|subset|supset|subseteq|supseteq|mathbb)(?![a-zA-Z])")
+_VALUE = re.compile(r"[A-Z]\s*=\s*\d")
+SHORT = 8
 
 
 def main_and_condition(s: str) -> tuple[str, str | None]:
@@ -420,44 +426,22 @@ def main_and_condition(s: str) -> tuple[str, str | None]:
     for k in quads:
         a = walk.past_space(k + 1)
         b = walk.past_space(a + 1)
-        if items[k] == "\\quad" and a > k + 1 and letter(walk.see(a)) and walk.see(b) in ("=", "<", ">", "≥", "≤", "\\in", "\\geq", "\\leq", "\\neq"):
+        if items[k] == "\\quad" and a > k + 1 and letter(walk.see(a)) and walk.see(b) in _ASSIGNED:
             return cut(k)
     if s.rstrip().endswith(")"):
         opened = s.rstrip()[:-1].rfind("(")
         inside = s[opened:]
-        if opened > 0 and ")" not in inside.rstrip()[:-1] and (re.search(r"[<>≤≥]|\\text\s*\{", inside) or re.search(r"\\(?:forall|exists|in|notin|subset|supset|subseteq|supseteq|mathbb)(?![a-zA-Z])", inside)):
+        if opened > 0 and ")" not in inside.rstrip()[:-1] and _BRACKETED.search(inside):
             return s[:opened].strip(), s[opened:].strip()
     for k in quads:
         if _ORDER.search(walk.text(k + 1, len(items))):
             return cut(k)
     first, comma, rest = s.partition(",")
-    if comma and "=" in first and len(first.strip()) > 8 and (_ORDER.search(rest) or re.search(r"[A-Z]\s*=\s*\d", rest)):
+    if comma and "=" in first and len(first.strip()) > SHORT and (_ORDER.search(rest) or _VALUE.search(rest)):
         return first.strip(), rest.strip()
     return s, None
 
 
-def single_letter_ij(s: str) -> bool:
-    r"""Whether a text is nothing but I or J, calligraphic or not, with scripts and arguments."""
-    s = s.strip()
-    base = next((b for b in ("\\mathcal{I}", "\\mathcal{J}", "I", "J") if s.startswith(b)), None)
-    if base is None:
-        return False
-    reach, k = {len(base)}, len(base)
-    upto = -1  # every place up to here can be the end of a script
-    while k < len(s):
-        if k in reach or k <= upto:
-            if s[k] in "_^":
-                close = s.find("}", k + 1)
-                if close < 0:
-                    return True
-                upto = max(upto, close)
-                reach.add(close + 1)
-            elif s[k] == "(" and (close := s.find(")", k)) > 0:
-                reach.add(close + 1)
-        k += 1
-    return len(s) in reach
-
-
 def column(function: Callable, returns: DataType = StringType()) -> Callable[[Column | str], Column]:
     """A pass as a column function over Arrow batches; null stays null, and a text that is nested too deeply for the pass becomes null."""
 

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sumforge.functions import expressions as E
+from sumforge.functions import latex
 from sumforge.operators import egraph as G
 
 
@@ -76,3 +78,9 @@ def test_numbers_become_digits(spark):
     rows = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
     got = {r.t: r.o for r in rows.select("t", F.array_join(number_tokens(F.col("t")), " ").alias("o")).collect()}
     assert got == {**cases, None: None}
+
+
+def test_single_letters(spark):
+    cases = {"I": True, " J ": True, r"\mathcal{I}_{a_{1}}^2(x)": True, "I_n (a)(b)": True, "I" + "_1" * 50_000: True, "I + 1": False, "Ix": False, "I_{a": False, "x_1": False, "": False}
+    rows = spark.createDataFrame(list(cases.items()), "s string, want boolean").select("want", latex.single_letter_ij(F.col("s")).alias("got")).collect()
+    assert all(r.want == r.got for r in rows)
