@@ -7,6 +7,8 @@ above the threshold keeps its smallest hash, so that only texts without words ha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from sumforge.llm._shared import table, written
 SCALE = 8
 SHINGLE = 5
 
+Get = Callable[[str], Column]
+
 
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once, where body uses it more than once or inside a lambda."""
@@ -91,30 +95,39 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return made.withColumn("fingerprint", as_string(F.col("sketch")))
 
 
-def with_next(rows: DataFrame, columns: list[str], *, id_col: str = "doc_id", per_bucket: int = 100_000) -> DataFrame:
-    """(id_col, columns, next_<columns>): each row and the one that follows in ascending id, the first's after the last.
+def with_next(rows: DataFrame, columns: list[str], *, id_col: str = "doc_id", per_bucket: int = 100_000, asks: dict[str, Column] | None = None, lends: Callable[[Get, Get], dict[str, Column]] | None = None) -> DataFrame:
+    """(id_col, columns, next_<name>): each row and what the one that follows in ascending id lends it, the first's after the last.
+
+    asks are expressions over a row that the next one is told; lends(own, asked) makes what the next one gives from its own
+    columns and from what it is asked, by default all its columns. So rows are dealt out once, and only what is lent
+    goes on to the row before.
 
     The order is found from ids and hashes of the columns alone: Spark deals them into ranges of about per_bucket rows by
-    a sample of them, so that neither null nor far ids crowd a range, and only the first of each range is looked at
-    together. Rows then meet their successor by its id and hash. Null ids come first; rows with one id are in the order
+    a sample of them, so that neither null nor far ids crowd a range, and only the last of each range is looked at
+    together. Rows then meet the one before by its id and hash. Null ids come first; rows with one id are in the order
     of their hashes; rows repeated with one id and equal columns take one place and have the same successor.
     """
-    whole = rows.select(F.col(id_col).alias("__id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__key"), F.xxhash64(F.col(id_col).isNull(), *columns).alias("__tag"), *(F.col(c).alias(f"__{k}") for k, c in enumerate(columns)))
-    places = written(whole.groupBy("__key", "__tag").agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("copies")), "next-places")
+    asks = asks or {}
+    lends = lends or (lambda own, asked: {c: own(c) for c in columns})
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__key"), F.xxhash64(F.col(id_col).isNull(), *columns).alias("__tag")]
+    small = rows.select(F.col(id_col).alias("__id"), *key, *(c.alias(f"__ask_{name}") for name, c in asks.items()))
+    found = small.groupBy("__key", "__tag").agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("copies"), *(F.first(f"__ask_{name}").alias(f"__ask_{name}") for name in asks))
+    places = written(found, "next-places")
     dealt = places.repartitionByRange(max(1, -(-places.count() // per_bucket)), "__key", "__tag")
     dealt = written(dealt.withColumn("part", F.spark_partition_id()), "next-ranges")
-    at = F.struct(F.col("__key").alias("key"), F.col("__tag").alias("tag"))
+    at = F.struct(F.col("__key").alias("key"), F.col("__tag").alias("tag"), *(F.col(f"__ask_{name}").alias(name) for name in asks))
     everywhere = Window.partitionBy(F.lit(0)).orderBy("part")
-    firsts = dealt.groupBy("part").agg(F.min(at).alias("first"))  # one row for per_bucket rows
-    after = firsts.select("part", F.coalesce(F.lead("first").over(everywhere), F.first("first").over(everywhere)).alias("after"))
-    places = dealt.withColumn("next", F.lead(at).over(Window.partitionBy("part").orderBy("__key", "__tag"))).join(after, "part")
-    places = places.select("__id", "__key", "__tag", "copies", F.coalesce("next", "after").alias("next"))
-    once = whole.drop("__id").dropDuplicates(["__key", "__tag"])  # dealt out once, for both sides of the join
-    names = [f"__{k}" for k in range(len(columns))]
-    ahead = once.select(F.col("__key").alias("__next_key"), F.col("__tag").alias("__next_tag"), *(F.col(c).alias(f"{c}_next") for c in names))
-    found = once.join(places, ["__key", "__tag"]).withColumns({"__next_key": F.col("next.key"), "__next_tag": F.col("next.tag")}).join(ahead, ["__next_key", "__next_tag"])
-    found = found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return found.select(F.col("__id").alias(id_col), *(F.col(c).alias(name) for c, name in zip(names, columns, strict=True)), *(F.col(f"{c}_next").alias(f"next_{name}") for c, name in zip(names, columns, strict=True)))
+    whole = everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lasts = dealt.groupBy("part").agg(F.max_by(at, F.struct("__key", "__tag")).alias("last"))  # one row for per_bucket rows
+    earlier = lasts.select("part", F.coalesce(F.lag("last").over(everywhere), F.last("last").over(whole)).alias("earlier"))
+    places = dealt.withColumn("before", F.lag(at).over(Window.partitionBy("part").orderBy("__key", "__tag"))).join(earlier, "part")
+    places = places.select("__id", "__key", "__tag", "copies", F.coalesce("before", "earlier").alias("before"))
+    once = rows.select(*key, *(F.col(c).alias(f"__{k}") for k, c in enumerate(columns))).dropDuplicates(["__key", "__tag"])
+    held = once.join(places, ["__key", "__tag"])
+    lent = lends(lambda c: F.col(f"__{columns.index(c)}"), lambda name: F.col(f"before.{name}"))
+    lent_rows = held.select(F.col("before.key").alias("__key"), F.col("before.tag").alias("__tag"), *(c.alias(f"__lent_{name}") for name, c in lent.items()))
+    met = held.join(lent_rows, ["__key", "__tag"]).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return met.select(F.col("__id").alias(id_col), *(F.col(f"__{k}").alias(c) for k, c in enumerate(columns)), *(F.col(f"__lent_{name}").alias(f"next_{name}") for name in lent))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +136,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     The edited text has the last half of the code points replaced by the first as many of the next document.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs, ["text"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_text")
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(sketch(F.col(c)).alias(f"s_{c}") for c in ("text", "edited", "next_text")))
-    own, new, after = F.col("s_text"), F.col("s_edited"), F.col("s_next_text")
+    rows = with_next(docs, ["text"], asks={"half": half}, lends=lambda own, asked: {"start": F.substring(own("text"), F.lit(1), asked("half")), "sketch": sketch(own("text"))})
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.col("next_start"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", F.col("next_sketch").alias("s_next"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(sketch(F.col(c)).alias(f"s_{c}") for c in ("text", "edited")), "s_next")
+    own, new, after = F.col("s_text"), F.col("s_edited"), F.col("s_next")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_string(own).alias("fingerprint"), as_string(new).alias("edited_fingerprint"),
         likeness(own, new).alias("near_edited"), likeness(own, after).alias("near_next"),
