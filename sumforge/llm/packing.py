@@ -4,7 +4,7 @@ Token ids serve as the terms of the index. Their document frequencies and the me
 documents; the table of frequencies has one entry per vocabulary id, so it is small whatever the corpus.
 
 Documents are dealt into shards by content, so that neighbours meet: they are put in the order of their cluster and of
-weighted min-hashes of their terms, which Spark cuts into ranges of about shard_tokens. A document longer than a window
+weighted min-hashes of their terms, which Spark cuts into ranges of about shard_tokens, fewer where documents are very short. A document longer than a window
 fills whole windows by itself, where it lies; only what it has behind them is dealt, so rows are of bounded size. A cluster or a text of any number
 of copies is spread over as many shards as it takes. Each shard has an inverted index; its documents become seeds in
 turn, and a seed's window is filled with the unused documents that score highest for all of the seed's terms. What
@@ -36,6 +36,8 @@ END_ID = 1
 K1, B = 1.2, 0.75
 #: Tokens of a shard, on average.
 SHARD_TOKENS = 2_000_000
+#: Documents of a shard at most, on average: its matrix has a column for each.
+SHARD_DOCS = 25_000
 #: So many of a shard's commonest terms are scored by a matrix product, the others by postings; the sum is the same.
 DENSE = 512
 #: Clusters, the documents they are learnt from at most, and dimensions of their vectors. Every document is then placed.
@@ -364,10 +366,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     # one entry per vocabulary id
     idf = tokens.sparkSession.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32))
     places = written(routed(tokens, n_docs, idf, mean), "packing-places")
-    rest = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    each = -(-shard_tokens // SHARD_DOCS)  # a document weighs as much as so many tokens, so that shards of short ones stay small
+    load = places.agg(F.coalesce(F.sum(F.col("n") + each), F.lit(0))).first()[0]
     kind = tokens.schema["doc_id"].dataType.simpleString()
     # many equal documents have one place: the salt lets them fall in several shards
-    dealt = places.withColumn("salt", F.xxhash64("doc_id", "doc_tokens")).repartitionByRange(max(1, -(-rest // shard_tokens)), "cluster", "near", "salt")
+    dealt = places.withColumn("salt", F.xxhash64("doc_id", "doc_tokens")).repartitionByRange(max(1, -(-load // shard_tokens)), "cluster", "near", "salt")
 
     def run(batches):
         held = [b for b in batches if len(b)]
@@ -376,10 +379,10 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
         partition = TaskContext.get().partitionId()
         rows = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in ("cluster", "near", "salt", "doc_id", "ids")])
         sizes = rows.column("n").to_numpy()
-        before = np.cumsum(sizes) - sizes
+        loads = sizes + each
+        before, held_load = np.cumsum(loads) - loads, int(loads.sum())
         # ranges are cut by a sample of rows, so some are larger than others: cut once more where they are
-        held_tokens = max(1, int(sizes.sum()))
-        shard = before * max(1, -(-held_tokens * 2 // (3 * shard_tokens))) // held_tokens
+        shard = before * -(-held_load * 2 // (3 * shard_tokens)) // held_load
         sequence = partition << 32
         for a, b in pairwise([*np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist(), len(rows)]):
             part = rows.slice(a, b - a)

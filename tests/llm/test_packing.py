@@ -76,3 +76,15 @@ def test_scores_are_those_of_plain_bm25():
 def test_copies_spread_over_shards(documents):
     rows = pack(documents(["the very same text " * 40] * 300 + [f"another {k}" for k in range(50)]), shard_tokens=2_000).collect()
     assert len({r.sequence_id >> 32 for r in rows}) > 5 and sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+
+
+def test_shards_of_short_documents_are_small(documents, monkeypatch):
+    from sumforge.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD_DOCS", 50)
+    rows = pack(documents([f"t{k}" for k in range(300)]), shard_tokens=2_000).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
+    assert len(held) >= 5 and max(map(len, held.values())) <= 100
+    assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
