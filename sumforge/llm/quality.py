@@ -19,9 +19,15 @@ from pyspark.sql import functions as F
 
 from sumforge.llm._shared import table
 
-#: A bounded number of rows to fit with, of each kind; the rows with the lowest hashes of their ids.
+#: A bounded number of labelled rows to fit with; the rows with the lowest hashes of their ids.
 SAMPLE = 20_000
+#: A bounded number of rows over which the risk of unlabelled text is averaged, picked likewise from all documents.
+UNLABELLED = 20_000
 BINS = 20
+#: Where bins end, as shares of all documents: equal bins, and narrow ones in the tails, where rare bad text lies.
+CUTS = tuple(sorted([k / BINS for k in range(1, BINS)] + [0.005, 0.015, 0.03, 0.97, 0.985, 0.995]))
+#: Bits of a statistic that are dropped before its values are counted: 11 of a float's mantissa stay, 1 part in 2,048.
+DROPPED = 12
 #: Of good text, where no label says bad.
 PRIOR = 0.8
 HELD_OUT = (4, 2)
@@ -80,12 +86,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.05, ridge: float | None = None) -> Model:
-    """Minimises the non-negative unbiased risk with the logistic loss; statistics by rows."""
-    both = np.concatenate([positive, unlabelled])
-    edges = np.stack([np.quantile(both[:, k], np.linspace(0, 1, BINS + 1)[1:-1]) for k in range(both.shape[1])])
-    # the tails, where rare bad text lies, get bins of their own
-    edges = np.sort(np.concatenate([edges, np.quantile(both, [0.005, 0.015, 0.03, 0.97, 0.985, 0.995], axis=0).T], axis=1), axis=1)
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, edges: np.ndarray | None = None, steps: int = 400, rate: float = 0.05, ridge: float | None = None) -> Model:
+    """Minimises the non-negative unbiased risk with the logistic loss; statistics by rows.
+
+    edges are the inner ends of the bins, a row for each statistic; without them they come from the rows given.
+    """
+    if edges is None:
+        edges = np.quantile(np.concatenate([positive, unlabelled]), CUTS, axis=0).T
     ridge = max(2e-4, 0.2 / len(positive)) if ridge is None else ridge
     model = Model(edges, np.zeros(edges.shape[0] * (edges.shape[1] + 1)), 0.0)
     bp, bu = model.bins(positive), model.bins(unlabelled)
@@ -111,13 +118,46 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT[0] == HELD_OUT[1], F.lit(False))
 
 
+def value_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(statistic, value, n): how many of all rows have each value of each statistic, values cut to 1 part in 2,048.
+
+    Counted within each task before the shuffle. There are as many rows as different values: of shares and logarithms at
+    most some ten thousand for each statistic, however many documents there are. A null text is an empty one.
+    """
+
+    def count(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            x = np.abs(np.array([statistics(t or "") for t in batch.column(0).to_pylist()], np.float32)).reshape(-1, len(FEATURES))  # no -0.0
+            cells = (x.view(np.uint32) >> DROPPED).astype(np.int64) + (np.arange(len(FEATURES), dtype=np.int64) << 32)
+            seen.update(dict(zip(*(a.tolist() for a in np.unique(cells, return_counts=True)), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["cell", "n"])
+
+    cells = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return cells.select(F.shiftright("cell", 32).cast("int").alias("statistic"), F.col("cell").bitwiseAND(0xFFFFFFFF).alias("value"), "n")
+
+
+def bin_edges(counts: DataFrame) -> np.ndarray | None:
+    """The value below which each share of CUTS lies, for each statistic of value_counts; None where there are no rows."""
+    rows = counts.toArrow().sort_by([("statistic", "ascending"), ("value", "ascending")])  # statistics are not negative, so their bits are in order
+    at, n = rows.column("statistic").to_numpy(), rows.column("n").to_numpy()
+    value = (rows.column("value").to_numpy().astype(np.uint32) << DROPPED).view(np.float32).astype(float)
+    if not len(at):
+        return None
+    found = []
+    for k in range(len(FEATURES)):
+        so_far = np.cumsum(n[at == k])
+        found.append(value[at == k][np.searchsorted(so_far, np.multiply(CUTS, so_far[-1]))])
+    return np.array(found)
+
+
 def _sample_ids(rows: DataFrame, limit: int) -> DataFrame:
     """The limit ids with the lowest hashes: the same rows whatever the partitions."""
     return rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, prior: float | None = None) -> Model | None:
-    """A model fitted to at most 2 * sample rows, fewer where there are fewer; None without a trusted positive.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model | None:
+    """A model fitted to at most sample labelled rows and unlabelled others; None without a trusted positive or any document.
 
     Only labels of ids that are not held out are learnt from, and of an id labelled twice the higher one. The prior, if
     not given, is estimated as the share of good rows among those (PRIOR where none is bad); the unlabelled rows are
@@ -126,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     ids = docs.select(F.col(id_col).alias("doc_id"))
     known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = known.unionByName(_sample_ids(ids, sample).withColumn("y", F.lit(-1)))
-    # at most 2 * sample rows of 12 bytes
+    picked = known.unionByName(_sample_ids(ids, unlabelled).withColumn("y", F.lit(-1)))
+    # at most sample + unlabelled rows of 12 bytes
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")  # one text for an id, however often it is repeated
 
@@ -144,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return None
     if prior is None:
         prior = float(good[labelled].mean()) if (~good[labelled]).any() else PRIOR
-    return fit(x[good], x[y == -1], min(0.99, max(0.01, prior)))
+    return fit(x[good], x[y == -1], min(0.99, max(0.01, prior)), edges=bin_edges(value_counts(docs, text_col)))
 
 
 def _scores(model: Model | None, texts: list[str | None]) -> np.ndarray:

@@ -34,6 +34,27 @@ def test_held_out_accuracy_and_no_use_of_held_out_labels(spark, documents, tmp_p
     assert np.mean([rows[k].predicted == g for k, g in enumerate(good) if out[k]]) > 0.97
 
 
+def test_bins_end_where_all_documents_say(spark, documents):
+    texts, _ = corpus()
+    docs = documents(texts + HARD + [None, "word " * 200_000, "x" * 1_000_000]).repartition(7)
+    edges = quality.bin_edges(quality.value_counts(docs))
+    every = np.array([quality.statistics(r.text or "") for r in docs.collect()])
+    plain = np.quantile(every, quality.CUTS, axis=0, method="inverted_cdf").T
+    assert edges.shape == plain.shape
+    assert (edges <= plain * (1 + 1e-6)).all() and (edges >= plain * (1 - 1 / 2048) - 1e-6).all()
+    assert quality.bin_edges(quality.value_counts(documents([]))) is None
+    assert (quality.bin_edges(quality.value_counts(docs.repartition(2))) == edges).all()
+
+
+def test_unlabelled_rows_are_bounded_by_their_own_parameter(spark, documents):
+    texts, good = corpus()
+    docs = documents(texts)
+    labels = spark.createDataFrame([(k, g) for k, g in enumerate(good) if k % 5], "doc_id long, quality int")
+    for bound in (150, 20_000):
+        rows = quality.score(docs, quality.train(docs, labels, unlabelled=bound)).collect()
+        assert np.mean([r.predicted == good[r.doc_id] for r in rows]) > 0.95
+
+
 @pytest.mark.parametrize("texts", [[], HARD])
 def test_without_labels_all_stay(spark, documents, texts):
     docs = documents(texts)
