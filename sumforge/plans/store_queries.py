@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sumforge.operators import provenance, run_statistics
 from sumforge.operators import store as S
 from sumforge.operators.work import folder
 from sumforge.sources import keyed_files
@@ -82,6 +83,38 @@ def author_lookup_join(spark, d):
     return docs.join(c, "conv_id", "left").select("doc_id", F.when(F.col("turns") > 0, F.col("answered_by")).otherwise(F.col("asked_by")).alias("author"))
 
 
+def checksum_normalised(spark, d):
+    """The first document of each content, white space and compatible characters taken as equal."""
+    rows = table(spark, d, "documents").select("doc_id", provenance.checksum(F.col("text")).alias("checksum"))
+    return rows.where("checksum is not null").groupBy("checksum").agg(F.min("doc_id").alias("doc_id"))
+
+
+def blob_authors(spark, d):
+    """Authors of turns from blobs of at most 50 turns; every third turn is asked for as an answer, those of odd number are answers."""
+    t = table(spark, d, "conversations").where("conv_id is not null and turn is not null")
+    item, part = F.col("conv_id") * 1000 + F.col("turn"), F.floor(F.col("turn") / 50)
+    turns = t.select("conv_id", "turn", "role", item.alias("item"), F.format_string("blob_%d_%d.txt", "conv_id", part).alias("blob"))
+    odd, owner = F.col("turn") % 2 == 1, F.struct(F.concat_ws("-", "role", "conv_id").alias("display_name"), F.concat(F.lit("https://example.org/u/"), "conv_id").alias("link"))
+    items = F.struct(F.when(~odd, F.col("item")).alias("question_id"), F.when(odd, F.col("item")).alias("answer_id"), owner.alias("owner"))
+    blobs = turns.groupBy("blob").agg(F.to_json(F.struct(F.sort_array(F.collect_list(items)).alias("items"))).alias("body"))
+    origin = F.when(F.col("turn") % 3 == 0, "answer_body").otherwise("question_body")
+    records = turns.select("conv_id", "turn", "blob", F.col("item").alias("item_id"), origin.alias("origin")).distinct()
+    return provenance.authors(records, provenance.blob_items(blobs)).select("conv_id", "turn", "origin", "author", "author_link")
+
+
+def run_summaries(spark, d):
+    """Each 500 events are a run whose statistics were kept as a JSON array."""
+    e = table(spark, d, "events").where("event_id is not null")
+    loss = F.abs("value") + 1
+    per = F.struct(
+        (F.col("event_id") % 500).cast("int").alias("epoch"), loss.alias("train_loss"), (loss + F.col("event_id") % 7).alias("val_loss"),
+        (F.lit(0.001) / (1 + F.col("event_id") % 500)).alias("learning_rate"), F.col("ts").cast("string").alias("timestamp"),
+    )
+    stats = e.groupBy(F.floor(F.col("event_id") / 500).alias("run")).agg(F.to_json(F.sort_array(F.collect_list(per))).alias("body"))
+    found = run_statistics.summary(run_statistics.epochs(stats))
+    return found.select("run", "n_epochs", "best_epoch", *(F.round(c, 6).alias(c) for c in found.columns if c not in ("run", "n_epochs", "best_epoch")))
+
+
 def curation_reasons(spark, d):
     log = table(spark, d, "events").select(F.col("user_id").alias("target_id"), F.col("event_type").alias("reason"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"))
     return S.oldest_reason(log)
@@ -175,7 +208,7 @@ def equality_saturation_split_unprocessed(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     checksum_dedup_keep_first, group_by_hash, group_by_source, conversation_files, count_groups, count_instances, store_statistics, resume_anti_join, contributor_semi_join, group_instance_metadata_join,
-    author_lookup_join, curation_reasons, paginate_groups, paginate_active_groups, sample_groups_seeded, groups_by_family, point_lookup, rejection_histogram,
+    author_lookup_join, checksum_normalised, blob_authors, run_summaries, curation_reasons, paginate_groups, paginate_active_groups, sample_groups_seeded, groups_by_family, point_lookup, rejection_histogram,
     acceptance_rate, stage_ids, safe_url, source_url, closed_forms, failure_upsert, answer_to_question, blob_path_update, text_or_base64_blob, url_cross_product,
     equality_saturation_split_unprocessed,
 )}
@@ -201,6 +234,14 @@ SELECT conv_id, lines, strlen(body) AS bytes, sha256(body) AS sha256 FROM f""",
     "contributor_semi_join": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "group_instance_metadata_join": f"WITH {_I}, {_G} SELECT hash, g.family AS group_family, definite, indefinite, i.instance_id, i.kind, role, length(c.text) AS n_text FROM g JOIN i USING (hash) LEFT JOIN (SELECT * FROM conversations WHERE turn = 0) c ON c.conv_id = i.instance_id",
     "author_lookup_join": "WITH c AS (SELECT conv_id, arg_min(role, turn) AS a, arg_max(role, turn) AS b, max(turn) AS turns FROM conversations GROUP BY conv_id) SELECT doc_id, CASE WHEN turns > 0 THEN b ELSE a END AS author FROM documents LEFT JOIN c ON c.conv_id = doc_id % 211",
+    # NFC and NFKC are the same for the characters of these tables; those that tell them apart are tested
+    "checksum_normalised": r"SELECT 'sha256:' || sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS checksum, min(doc_id) AS doc_id FROM documents WHERE length(text) > 0 GROUP BY ALL",
+    "blob_authors": """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'answer_body' ELSE 'question_body' END AS origin, CASE WHEN (turn % 3 = 0) = (turn % 2 = 1) THEN min(coalesce(role || '-', '') || conv_id) END AS author,
+  CASE WHEN (turn % 3 = 0) = (turn % 2 = 1) THEN 'https://example.org/u/' || conv_id END AS author_link FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn""",
+    "run_summaries": """WITH e AS (SELECT event_id // 500 AS run, event_id % 500 AS k, abs(value) + 1 AS t, abs(value) + 1 + event_id % 7 AS v FROM events),
+r AS (SELECT run, count(*) AS n_epochs, arg_max(t, k) AS t, arg_max(v, k) AS v, arg_min(t, k) AS t0, arg_min(v, k) AS v0, max(k) AS last, min(v) AS best, (arg_min(k, (v, k)) - min(k) + 1)::INT AS best_epoch FROM e GROUP BY run)
+SELECT run, n_epochs, best_epoch, round(t, 6) AS final_train_loss, round(v, 6) AS final_val_loss, round(0.001 / (1 + last), 6) AS final_lr, round(best, 6) AS best_val_loss,
+  round((t0 - t) / t0, 6) AS train_loss_improvement, round((v0 - v) / v0, 6) AS val_loss_improvement, round(v - t, 6) AS val_train_gap, round(v / t, 6) AS overfit_ratio FROM r""",
     "curation_reasons": "SELECT user_id AS target_id, arg_min(event_type, (ts, event_id)) AS reason FROM events GROUP BY user_id",
     "paginate_groups": f"WITH {_I} SELECT hash, count(*) AS n FROM i GROUP BY hash ORDER BY hash LIMIT 25 OFFSET 40",
     "paginate_active_groups": f"WITH {_I} SELECT hash, count(*) AS n FROM i WHERE instance_id NOT IN (SELECT instance_id FROM x) GROUP BY hash ORDER BY hash LIMIT 25 OFFSET 40",
