@@ -133,9 +133,20 @@ def infonce_loss(spark: SparkSession, d: str) -> DataFrame:
     return t.agg(F.round(F.avg("loss"), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
+def _similarities(spark: SparkSession, d: str) -> DataFrame:
+    """(vec_id, pos, neg): each tuple's cosine with its positive, and the mean of those with its negatives."""
+    t = _tuples(spark, d).select("vec_id", V.cosine(F.col("e"), F.col("p")).alias("pos"), F.transform("negatives", lambda n: V.cosine(F.col("e"), n)).alias("neg"))
+    return t.select("vec_id", "pos", (F.aggregate("neg", F.lit(0.0), lambda s, x: s + x) / F.size("neg")).alias("neg"))
+
+
+def embedding_quality_batches(spark: SparkSession, d: str) -> DataFrame:
+    """As a test run reports it: the mean of the batches' means, each batch 64 ids, so short batches weigh as much as full ones."""
+    per = _similarities(spark, d).groupBy(F.floor(F.col("vec_id") / 64).alias("batch")).agg(F.avg("pos").alias("pos"), F.avg("neg").alias("neg"))
+    return per.agg(F.count(F.lit(1)).alias("batches"), F.round(F.avg("pos"), 6).alias("pos_mean"), F.round(F.avg("neg"), 6).alias("neg_mean"), F.round(F.avg(F.col("pos") - F.col("neg")), 6).alias("margin"))
+
+
 def embedding_quality(spark: SparkSession, d: str) -> DataFrame:
-    t = _tuples(spark, d).select(V.cosine(F.col("e"), F.col("p")).alias("pos"), F.transform("negatives", lambda n: V.cosine(F.col("e"), n)).alias("neg"))
-    t = t.select("pos", (F.aggregate("neg", F.lit(0.0), lambda s, x: s + x) / F.size("neg")).alias("neg"))
+    t = _similarities(spark, d)
     return t.agg(F.round(F.avg("pos"), 6).alias("pos_mean"), F.round(F.avg("neg"), 6).alias("neg_mean"), F.round(F.avg("pos") - F.avg("neg"), 6).alias("margin"))
 
 
@@ -163,7 +174,7 @@ def analogy_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     vector_topk_cosine, vector_topk_postfilter, vector_topk_prefilter, batch_topk, index_topk, retrieval_recall_at_k, retrieval_mrr, retrieval_map, retrieval_ndcg10,
-    family_purity, tier1_evaluation, per_family_metrics, top_families, family_separation, infonce_loss, embedding_quality, analogy_topk, analogy_accuracy,
+    family_purity, tier1_evaluation, per_family_metrics, top_families, family_separation, infonce_loss, embedding_quality, embedding_quality_batches, analogy_topk, analogy_accuracy,
 )}
 
 _V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -214,6 +225,7 @@ ORACLE_SQL = {
 SELECT round(avg(c) FILTER (same), 6) AS intra_mean, round(avg(c) FILTER (NOT same), 6) AS inter_mean, round(avg(c) FILTER (same) - avg(c) FILTER (NOT same), 6) AS margin FROM p""",
     "infonce_loss": f"WITH {_TUPLES} SELECT round(avg(ln(exp(pos / 0.07) + negs) - pos / 0.07), 6) AS loss, count(*) AS n FROM c",
     "embedding_quality": f"WITH {_TUPLES} SELECT round(avg(pos), 6) AS pos_mean, round(avg(neg), 6) AS neg_mean, round(avg(pos) - avg(neg), 6) AS margin FROM c",
+    "embedding_quality_batches": f"WITH {_TUPLES}, b AS (SELECT vec_id // 64 AS batch, avg(pos) AS pos, avg(neg) AS neg FROM c GROUP BY ALL) SELECT count(*) AS batches, round(avg(pos), 6) AS pos_mean, round(avg(neg), 6) AS neg_mean, round(avg(pos - neg), 6) AS margin FROM b",
     "tier1_evaluation": "WITH " + _PER.replace("a.vec_id % 100 = 0", "a.vec_id IN (SELECT vec_id FROM v ORDER BY md5('42|' || vec_id), vec_id LIMIT 1000)") + " SELECT count(*) AS queries, round(avg(hit_10), 6) AS recall_10, round(avg(reciprocal), 6) AS mrr FROM m",
     "analogy_topk": f"WITH {_ANALOGY} SELECT query_id, vec_id, score, rank::INT AS rank FROM r WHERE rank <= 10",
     "analogy_accuracy": f"""WITH {_ANALOGY}, e AS (SELECT query_id, family, {', '.join(f'max(CASE WHEN vec_id = d_id AND rank <= {k} THEN 1.0 ELSE 0.0 END)::DOUBLE AS h{k}' for k in (1, 5, 10))} FROM r WHERE rank <= 10 GROUP BY ALL)
