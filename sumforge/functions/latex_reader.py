@@ -33,17 +33,26 @@ def tokens(s: str) -> Tokens:
 
 
 class Walk:
-    """A place in a list of tokens, and what has been written so far."""
+    """A place in a list of tokens, where the part that is looked at ends, and what has been written so far."""
 
     def __init__(self, items: Tokens):
-        self.items, self.at, self.out = items, 0, []
+        self.items, self.at, self.end, self.out = items, 0, len(items), []
+        self.closes, self.overs = {}, {}  # for each open brace its closing one, and the first \\over that it holds itself
+        opened = []
+        for k, t in enumerate(items):
+            if t == "{":
+                opened.append(k)
+            elif t == "}" and opened:
+                self.closes[opened.pop()] = k
+            elif t == "\\over" and opened:
+                self.overs.setdefault(opened[-1], k)
 
     def __bool__(self) -> bool:
-        return self.at < len(self.items)
+        return self.at < self.end
 
     def see(self, k: int | None = None) -> str:
         k = self.at if k is None else k
-        return self.items[k] if k < len(self.items) else ""
+        return self.items[k] if k < self.end else ""
 
     def name(self) -> str:
         """The command at the place, without its backslash."""
@@ -62,12 +71,8 @@ class Walk:
 
     def past_group(self, k: int) -> int | None:
         """The place behind the brace that closes the one at k."""
-        depth = 0
-        for j in range(k, len(self.items)):
-            depth += (self.items[j] == "{") - (self.items[j] == "}")
-            if not depth:
-                return j + 1 if j > k else None
-        return None
+        close = self.closes.get(k, self.end)
+        return close + 1 if close < self.end else None
 
     def lone_letter(self, k: int) -> bool:
         return letter(self.see(k)) and not word(self.see(k + 1))
@@ -109,6 +114,32 @@ def _pass(step: Callable[[Walk], bool]) -> Callable[[str], str]:
     return whole
 
 
+def _nested(step: Callable[[Walk], tuple | None]) -> Callable[[str], str]:
+    """A pass whose rewritings hold parts that are rewritten as well, however deeply: no recursion.
+
+    step returns None, or the place to go on at and what to write: strings, and (from, to) for a part of the tokens.
+    """
+
+    def whole(s: str) -> str:
+        walk = Walk(tokens(s))
+        todo: list = [(0, walk.end)]
+        while todo:
+            job = todo.pop()
+            if isinstance(job, str):
+                walk.out.append(job)
+                continue
+            walk.at, walk.end = job
+            while walk:
+                found = step(walk)
+                if found is not None:
+                    todo += [(found[0], walk.end), *found[:0:-1]]
+                    break
+                walk.copy()
+        return "".join(walk.out)
+
+    return whole
+
+
 def _power(w: Walk, k: int) -> int | None:
     """The place behind a power that begins with ^ at k: a group that is not empty, or digits."""
     if w.see(k) != "^":
@@ -265,22 +296,18 @@ def _colour(w: Walk) -> bool:
     return True
 
 
-def _fraction(w: Walk) -> bool:
+def _fraction(w: Walk) -> tuple | None:
     if w.name() not in ("frac", "dfrac", "tfrac", "cfrac"):
-        return False
+        return None
     parts, k = [], w.at + 1
     for _ in range(2):
         k = w.past_space(k)
         end = w.past_group(k) if w.see(k) == "{" else k + 1 if word(w.see(k)) or len(w.see(k)) > 1 and w.see(k)[1].isalpha() else None
         if end is None:
-            if parts or w.name() == "frac":
-                return False
-            w.write(w.at + 1, "\\frac")
-            return True
-        parts.append(w.text(k + 1, end - 1) if w.see(k) == "{" else w.see(k))
+            return None if parts or w.name() == "frac" else (w.at + 1, "\\frac")
+        parts.append((k + 1, end - 1) if w.see(k) == "{" else (k, end))
         k = end
-    w.write(k, *(f"{mark}{fractions(part)}" for mark, part in zip(("\\frac{", "}{"), parts, strict=True)), "}")
-    return True
+    return k, "\\frac{", parts[0], "}{", parts[1], "}"
 
 
 def _script(w: Walk) -> bool:
@@ -303,17 +330,20 @@ def _script(w: Walk) -> bool:
     return True
 
 
-def _over(w: Walk) -> bool:
-    end = w.past_group(w.at) if w.see() == "{" else None
-    if end is None:
-        return False
-    depth = 0
-    for k in range(w.at + 1, end - 1):
-        depth += (w.items[k] == "{") - (w.items[k] == "}")
-        if not depth and w.items[k] == "\\over":
-            w.write(end, "\\frac{", over_to_frac(w.text(w.at + 1, k)).strip(), "}{", over_to_frac(w.text(k + 1, end - 1)).strip(), "}")
-            return True
-    return False
+def _over(w: Walk) -> tuple | None:
+    end, over = w.past_group(w.at), w.overs.get(w.at)
+    if end is None or over is None:
+        return None
+
+    def bare(a: int, b: int) -> tuple[int, int]:
+        """The part without the space around it."""
+        while a < b and w.items[a].isspace():
+            a += 1
+        while a < b and w.items[b - 1].isspace():
+            b -= 1
+        return a, b
+
+    return end, "\\frac{", bare(w.at + 1, over), "}{", bare(over + 1, end - 1), "}"
 
 
 def _artifact(w: Walk) -> bool:
@@ -366,7 +396,8 @@ def _tag(w: Walk) -> bool:
 
 function_powers, inverse_notation, logarithms, function_arguments = map(_pass, (_moved_power, _inverse, _logarithm, _argument))
 differentials, integral_bounds, sizes_unwrapped, colours_stripped = map(_pass, (_differential, _integral_bounds, _sizes, _colour))
-fractions, scripts, over_to_frac, artifacts, text_inside, tags = map(_pass, (_fraction, _script, _over, _artifact, _text, _tag))
+scripts, artifacts, text_inside, tags = map(_pass, (_script, _artifact, _text, _tag))
+fractions, over_to_frac = map(_nested, (_fraction, _over))
 limits_removed, alignment_removed = _pass(_dropped("limits", "nolimits", "displaystyle")), _pass(_dropped("&"))
 
 
