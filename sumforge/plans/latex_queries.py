@@ -12,7 +12,7 @@ from sumforge.functions import latex as L
 from sumforge.functions import latex_reader as R
 from sumforge.functions import latex_scan
 from sumforge.functions.latex_reader import column
-from sumforge.sources.tables import sql_text, table
+from sumforge.sources.tables import spread, sql_text, table
 
 # Inputs of the golden tables and what must come of them.
 GOLDEN = {
@@ -75,7 +75,8 @@ INTEGRALS = {
 def _numbered(spark, d, *cases):
     """(k, input) of each part and each case; in a case, % stands for the number of the part."""
     texts = F.explode(F.array(*map(F.lit, cases))).alias("case")
-    return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), texts).select("k", F.replace("case", F.lit("%"), "k").alias("input"))
+    numbers = spread(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k")))
+    return numbers.select("k", texts).select("k", F.replace("case", F.lit("%"), "k").alias("input"))
 
 
 NUMBERED_CHAINS = {"a = b = %": ("a", "b | %", None), r"A \approx % ≈ C": ("A", "% | C", None), r"\int_0^1 x^2 dx = \frac{1}{%}": (r"\int_{0}^{1}x^2 dx", r"\frac{1}{%}", None)}

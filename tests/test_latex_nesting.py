@@ -41,3 +41,12 @@ def test_no_text_fails_or_takes_long(text):
     L.normalize(text)
     L.integral(text)
     assert time.process_time() - start < 20
+
+
+def test_a_text_without_what_a_pass_looks_for_is_not_walked(monkeypatch):
+    walked = []
+    monkeypatch.setattr(R, "tokens", lambda s: walked.append(s) or [])
+    s = "1 + x"
+    for one in (R.function_powers, R.inverse_notation, R.logarithms, R.function_arguments, R.differentials, R.integral_bounds, R.sizes_unwrapped, R.colours_stripped, R.scripts, R.artifacts, R.text_inside, R.tags, R.fractions, R.over_to_frac, R.limits_removed, R.alignment_removed):
+        assert one(s) == s
+    assert not walked
