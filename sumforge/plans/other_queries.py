@@ -11,7 +11,7 @@ from sumforge.functions import expressions as E
 from sumforge.operators import dataset as D
 from sumforge.operators import admission, egraph, ranges, text_features
 from sumforge.operators.work import folder
-from sumforge.sources.tables import sql_text, table
+from sumforge.sources.tables import spread, sql_text, table
 from sumforge.streaming import limits
 
 # Expression -> canonical, prefix, s-expression; prefix -> s-expression; queries -> normal form; expression -> why it is refused.
@@ -21,6 +21,14 @@ FORMS = {
     "x**(-1/2)": ("1/sqrt(x)", "pow x div INT- 1 2", "(pow x (/ -1 2))"), "-x": ("-x", "sub 0 x", "(* -1 x)"), "12*x/5": ("12*x/5", "mul div INT+ 1 2 5 x", "(* (/ 12 5) x)"), "x - x": ("0", "0", "0"), "9**9**9": ("9**9**9", None, None),
 }
 SEXPS = {"add x 1": "(+ x 1)", "add mul a b c": "(+ (* a b) c)", "mul x INT- 1": "(* x -1)", "add x INT- 1 2": "(+ x -12)", "mul INT+ 1 2 3 x": "(* 123 x)", "add mul INT- 2 x pow y INT- 1": "(+ (* -2 x) (pow y -1))", "mul INT+ 2 5 6 pow div x 2 8": "(* 256 (pow (/ x 2) 8))", "add x": None}
+#: The same with a number of each part: % is the number, # is 12 times it and 1; in prefixes both are what tokens they have.
+NUMBERED_FORMS = {
+    "x+%": ("x + %", "add % x", "(+ % x)"), "%*x*a": ("%*a*x", "mul % mul a x", "(* % (* a x))"), "%*x**2": ("%*x**2", "mul % pow x 2", "(* % (pow x 2))"), "polylog(%,x)": ("Li(%, x)", "Li % x", "(Li % x)"),
+    "zeta(%)": ("zeta(%)", "zeta %", "(zeta %)"), "%*x**2+sin(x)": ("%*x**2 + sin(x)", "add mul % pow x 2 sin x", "(+ (* % (pow x 2)) (sin x))"), "sin(x*%)": ("sin(%*x)", "sin mul % x", "(sin (* % x))"), "sin(%*a*x)": ("sin(%*a*x)", "sin mul % mul a x", "(sin (* % (* a x)))"),
+    "x**(-1/#)": ("1/x**(1/#)", "pow x div INT- 1 #", "(pow x (/ -1 #))"), "-x*#": ("-#*x", "mul INT- ~ x", "(* -# x)"), "12*x/#": ("12*x/#", "mul div INT+ 1 2 # x", "(* (/ 12 #) x)"), "%*x - x*%": ("0", "0", "0"), "%**9**9": ("%**9**9", None, None),
+}
+#: % is the number, ~ its digits as tokens.
+NUMBERED_SEXPS = {"add x INT+ ~": "(+ x %)", "add mul a b INT+ ~": "(+ (* a b) %)", "mul x INT- ~": "(* x -%)", "add x INT- ~ 2": "(+ x -%2)", "mul INT+ ~ x": "(* % x)", "add mul INT- ~ x pow y INT- 1": "(+ (* -% x) (pow y -1))", "mul INT+ ~ pow div x 2 8": "(* % (pow (/ x 2) 8))", "add INT+ ~": None}
 QUERY_FORMS = {"t**2/(t+1)": "x**2/(x + 1)", "u**2/(u+1)": "x**2/(x + 1)", "x**2/(x+1)": "x**2/(x + 1)", "sin(u)/u": "sin(x)/x", "t**n/(t+1)": "x**a/(x + 1)", "2**999999999": None, "eval('1')": None}
 VALID = {"x**2": None, "a*x + b": None, "alpha*sin(x)": None, "a*b*c*x": None, "dx*x": "spurious symbols", "theta*x": "spurious symbols", "a*b*c*s*x": "too many params", "theta_4*x": "subscripted variables", "q*x": "unknown params", "foo(x)": "disallowed functions", "I*x": "imaginary unit", "x +": "failed to parse"}
 SEEDS = ["sin(x)**2", "x**2+2*x+1", "exp(x)*exp(2*x)", "tan(x)", "x/(x+1)", "log(x**2)", "1/(x**2+1)", "sinh(x)", "cos(2*x)", "a*x+b*x"]
@@ -38,9 +46,19 @@ def golden_forms(spark, d):
     return _described(_forms(spark, FORMS))
 
 
+def _numbered(spark, d, cases, **marks):
+    """The cases for every part, with its numbers in place of marks."""
+    text = F.explode(F.array(*map(F.lit, cases)))
+    rows = spread(table(spark, d, "part").select("p_partkey")).select("p_partkey", text.alias("input"))
+    for mark, number in marks.values():
+        rows = rows.withColumn("input", F.replace("input", F.lit(mark), number.cast("string")))
+    return rows.select("input")
+
+
 def canonicalize(spark, d):
-    """The sine of every part's number, from 2 on, times x."""
-    return _described(table(spark, d, "part").select(F.concat(F.lit("sin(x*"), F.col("p_partkey") + 2, F.lit(")")).alias("input")))
+    """FORMS, and the same forms with every part's number, from 2 on."""
+    k = F.col("p_partkey") + 2
+    return _described(_numbered(spark, d, NUMBERED_FORMS, number=("%", k), twelvefold=("#", k * 12 + 1)).unionByName(_forms(spark, FORMS)))
 
 
 def golden_sexps(spark, d):
@@ -48,8 +66,9 @@ def golden_sexps(spark, d):
 
 
 def prefix_to_sexp(spark, d):
+    """SEXPS, and the same prefixes with every part's number, from 10 on."""
     digits = F.array_join(F.split((F.col("p_partkey") + 10).cast("string"), ""), " ")
-    return table(spark, d, "part").select(F.concat(F.lit("mul INT+ "), digits, F.lit(" x")).alias("input")).select("input", E.sexp_of_prefix("input").alias("output"))
+    return _numbered(spark, d, NUMBERED_SEXPS, digits=("~", digits)).unionByName(_forms(spark, SEXPS)).select("input", E.sexp_of_prefix("input").alias("output"))
 
 
 def query_normalize(spark, d):
@@ -278,9 +297,13 @@ f AS (SELECT s.query_id, s.positive_id, s.j, m.id FROM s JOIN c o ON o.c = s.d +
 SELECT query_id, positive_id, string_agg(id::VARCHAR, ',' ORDER BY j) AS negatives FROM f GROUP BY ALL"""
 
 ORACLE_SQL = {
-    "canonicalize": """SELECT 'sin(x*' || k || ')' AS input, 'sin(' || k || '*x)' AS canonical, 'sin mul ' || CASE WHEN k < 10 THEN k::VARCHAR ELSE 'INT+ ' || array_to_string(string_split(k::VARCHAR, ''), ' ') END || ' x' AS prefix,
-  '(sin (* ' || k || ' x))' AS sexp FROM (SELECT p_partkey + 2 AS k FROM part)""",
-    "prefix_to_sexp": "SELECT 'mul INT+ ' || array_to_string(string_split(k::VARCHAR, ''), ' ') || ' x' AS input, '(* ' || k || ' x)' AS output FROM (SELECT p_partkey + 10 AS k FROM part)",
+    "canonicalize": f"""WITH n AS (SELECT k, m, CASE WHEN k < 10 THEN k::VARCHAR ELSE 'INT+ ' || d END AS kp, 'INT+ ' || e AS mp, e
+  FROM (SELECT k, m, array_to_string(string_split(k::VARCHAR, ''), ' ') AS d, array_to_string(string_split(m::VARCHAR, ''), ' ') AS e FROM (SELECT p_partkey + 2 AS k, 12 * (p_partkey + 2) + 1 AS m FROM part)))
+SELECT replace(replace(i, '%', k::VARCHAR), '#', m::VARCHAR) AS input, replace(replace(c, '%', k::VARCHAR), '#', m::VARCHAR) AS canonical,
+  replace(replace(replace(p, '%', kp), '#', mp), '~', e) AS prefix, replace(replace(s, '%', k::VARCHAR), '#', m::VARCHAR) AS sexp
+FROM n, ({_table([(k, *v) for k, v in NUMBERED_FORMS.items()], "i, c, p, s")}) UNION ALL {_table([(k, *v) for k, v in FORMS.items()], "input, canonical, prefix, sexp")}""",
+    "prefix_to_sexp": f"""SELECT replace(i, '~', array_to_string(string_split(k::VARCHAR, ''), ' ')) AS input, replace(o, '%', k::VARCHAR) AS output
+FROM (SELECT p_partkey + 10 AS k FROM part), ({_table(NUMBERED_SEXPS.items(), "i, o")}) UNION ALL {_table(SEXPS.items(), "input, output")}""",
     "golden_forms": _table([(k, *v) for k, v in FORMS.items()], "input, canonical, prefix, sexp"),
     "golden_sexps": _table(SEXPS.items(), "input, output"), "query_normalize": _table(QUERY_FORMS.items(), "input, output"), "symbol_validation": _table(VALID.items(), "input, output"),
     "vocabulary": "SELECT id::INT AS id, token FROM (VALUES " + ", ".join(f"({k}, {sql_text(t)})" for k, t in enumerate(E.TOKENS)) + ") t(id, token)",

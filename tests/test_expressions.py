@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from sumforge.functions import expressions as E
 from sumforge.functions import latex
 from sumforge.operators import egraph as G
+from sumforge.plans import other_queries
+from sumforge.sources.tables import spread
 
 
 # What must be refused, and what must be read.
@@ -84,3 +86,27 @@ def test_single_letters(spark):
     cases = {"I": True, " J ": True, r"\mathcal{I}_{a_{1}}^2(x)": True, "I_n (a)(b)": True, "I" + "_1" * 50_000: True, "I + 1": False, "Ix": False, "I_{a": False, "x_1": False, "": False}
     rows = spark.createDataFrame(list(cases.items()), "s string, want boolean").select("want", latex.single_letter_ij(F.col("s")).alias("got")).collect()
     assert all(r.want == r.got for r in rows)
+
+
+def test_the_registered_queries_bring_every_form_into_canonical_form(spark):
+    d = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{d}/part.parquet").count()
+    found = other_queries.QUERIES["canonicalize"](spark, d)
+    assert found.count() == parts * len(other_queries.NUMBERED_FORMS) + len(other_queries.FORMS)
+    assert {tuple(r) for r in found.where(F.col("input").isin(*other_queries.FORMS)).collect()} >= {(k, *v) for k, v in other_queries.FORMS.items()}
+
+
+def test_the_registered_queries_read_every_prefix(spark):
+    d = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{d}/part.parquet").count()
+    found = other_queries.QUERIES["prefix_to_sexp"](spark, d)
+    assert found.count() == parts * len(other_queries.NUMBERED_SEXPS) + len(other_queries.SEXPS)
+    assert {tuple(r) for r in found.where(F.col("input").isin(*other_queries.SEXPS)).collect()} >= set(other_queries.SEXPS.items())
+
+
+def test_what_has_been_shown_takes_bounded_memory():
+    assert E._show.cache_info().maxsize is not None
+
+
+def test_long_work_in_python_is_dealt_out_however_small_the_file(spark):
+    assert spread(spark.range(10_001).coalesce(1)).rdd.getNumPartitions() == 5
