@@ -1,28 +1,64 @@
-"""TF-IDF of character n-grams, with DataFrame functions."""
+"""TF-IDF of character n-grams: counted text by text, weighted with DataFrame functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections import Counter
+from collections.abc import Collection
+from operator import add
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sumforge.sources.snapshots import Snapshots
 
 
-def char_ngrams(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(id, term, tf): how often each n-gram of characters occurs in each text, case kept."""
-    return _each_ngram(docs, id_col, text_col, sizes).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
+#: Rows of a batch of n-grams.
+BATCH = 100_000
 
-def _each_ngram(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    # characters first: to find the i-th one in a string takes time in proportion to i
-    rows = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text_col, F.lit("(?s)."), F.lit(0)).alias("chars"))
-    return rows.select("id", F.explode(F.concat(*(_grams(F.col("chars"), k) for k in sizes))).alias("term"))
 
+def char_ngrams(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...] = (1, 2, 3), *, among: Collection[str] | None = None) -> DataFrame:
+    """(id, term, tf): how often each n-gram of characters occurs in each text, case kept; among: only these terms.
 
-def _grams(chars: Column, k: int) -> Column:
-    n = F.size(chars)
-    starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat(*(F.get(chars, i + j) for j in range(k))))
+    A text is counted where it lies, so what is shuffled are its different terms; texts of one id count as one.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([rows.schema["id"], StructField("term", StringType()), StructField("tf", LongType())])
+    wanted = None if among is None else frozenset(among)
+
+    def run(batches):
+        for batch in batches:
+            places, terms, counts = [], [], []
+            for k, text in enumerate(batch.column(1)):
+                found = _counted(text.as_py() or "", sizes)
+                if wanted is not None:
+                    found = {t: n for t, n in found.items() if t in wanted}
+                places += [k] * len(found)
+                terms += found.keys()
+                counts += found.values()
+                if len(terms) >= BATCH:
+                    yield _batch(batch, places, terms, counts)
+                    places, terms, counts = [], [], []
+            if terms:
+                yield _batch(batch, places, terms, counts)
+
+    return rows.mapInArrow(run, schema).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+
+
+def _counted(text: str, sizes: tuple[int, ...]) -> Counter:
+    """How often each n-gram occurs: those of a size are those of the size below, each with the next character."""
+    found, grams = Counter(), list(text)
+    for k in range(1, max(sizes) + 1):
+        if k > 1:
+            grams = list(map(add, grams, text[k - 1 :]))
+        if k in sizes:
+            found.update(grams)
+    return found
+
+
+def _batch(batch: pa.RecordBatch, places: list[int], terms: list[str], counts: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["id", "term", "tf"])
 
 
 class Vectoriser:
@@ -61,8 +97,9 @@ class Vectoriser:
 
     def weights(self, docs: DataFrame, id_col: str, text_col: str, *, features: int = 384) -> DataFrame:
         """(id, term, weight): the terms of docs that are in the vocabulary, at unit length; texts without any have no rows."""
-        vocabulary = F.broadcast(self.vocabulary(features))  # as many rows as features
-        known = _each_ngram(docs, id_col, text_col).join(vocabulary, "term").groupBy("id", "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+        vocabulary = self.vocabulary(features)
+        terms = [r["term"] for r in vocabulary.select("term").collect()]  # as many rows as features
+        known = char_ngrams(docs, id_col, text_col, among=terms).join(F.broadcast(vocabulary), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
         norms = known.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         return known.join(norms, "id").select("id", "term", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))
 
