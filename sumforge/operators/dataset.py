@@ -67,6 +67,10 @@ def negatives(pairs: DataFrame, members: DataFrame, *, k: int = 3, seed: int = 4
 
 
 def permutation_dedup(rows: DataFrame, text: str) -> DataFrame:
-    """One row for each multiset of tokens: its least text."""
+    """One row for each multiset of tokens: its least text.
+
+    Equal texts are counted first, so that only different ones have their tokens sorted.
+    """
     key = F.array_join(F.array_sort(F.split(text, " ")), " ")
-    return rows.groupBy(key.alias("tokens")).agg(F.min(text).alias(text), F.count(F.lit(1)).alias("n"))
+    texts = rows.groupBy(text).agg(F.count(F.lit(1)).alias("n"))
+    return texts.groupBy(key.alias("tokens")).agg(F.min(text).alias(text), F.sum("n").alias("n"))

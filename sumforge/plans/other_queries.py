@@ -146,9 +146,15 @@ def negatives(spark, d):
     return D.negatives(D.ordered_pairs(m), m).select("query_id", "positive_id", F.array_join("negatives", ",").alias("negatives"))
 
 
+def _pairs(words):
+    """The neighbours in an array, joined by a space; the array is made once."""
+    pairs = lambda w: F.transform(F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    return F.get(F.transform(F.array(words), pairs), F.lit(0))
+
+
 def permutation_dedup(spark, d):
-    words = table(spark, d, "documents").select(F.explode(F.split("text", r"\. ")).alias("text")).select(F.explode(F.transform(F.when(F.size(F.split("text", " ")) > 1, F.sequence(F.lit(1), F.size(F.split("text", " ")) - 1)), lambda i: F.array_join(F.slice(F.split("text", " "), i, 2), " "))).alias("pair"))
-    return D.permutation_dedup(words, "pair")
+    sentences = table(spark, d, "documents").select(F.explode(F.split("text", r"\. ")).alias("text"))
+    return D.permutation_dedup(sentences.select(F.explode(_pairs(F.split("text", " "))).alias("pair")), "pair")
 
 
 def tfidf_char_ngrams(spark, d):
