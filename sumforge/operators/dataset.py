@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumforge.operators.ranges import scanned
+from sumforge.operators.work import written
+
+#: Rows of one task of a join or grouping of pairs.
+PER_TASK = 1_000_000
 
 
 def draw(*parts: Column) -> Column:
@@ -43,15 +47,25 @@ def ordered_pairs(members: DataFrame, *, k: int = 70, threshold: int = 200) -> D
     hashed = members.select("cluster", "id", F.md5(F.concat_ws("|", F.col("cluster").cast("string"), F.col("id").cast("string"))).alias("h"))
     rows = scanned(hashed, ["cluster"], ["h", "id"]).select("cluster", "id", (F.col("at") - 1).alias("at"))
     rows = rows.join(rows.groupBy("cluster").agg(F.max("at").alias("last")), "cluster").select("cluster", "id", "at", (F.col("last") + 1).alias("n")).where("n > 1")
+    rows = written(rows, "members")
     steps = F.when(F.col("n") < threshold, F.col("n") - 1).otherwise(F.least(F.lit(k), F.col("n") - 1)).cast("int")
+    parts = _parts(rows.agg(F.coalesce(F.sum(steps), F.lit(0))).first()[0])
     asked = rows.select("cluster", F.col("id").alias("query_id"), "at", "n", F.explode(F.sequence(F.lit(1), steps)).alias("j"))
     asked = asked.withColumn("at", F.pmod(F.col("at") + F.col("j"), F.col("n")))
-    return asked.join(rows.select("cluster", "at", F.col("id").alias("positive_id")), ["cluster", "at"]).select("cluster", "query_id", "positive_id")
+    others = rows.select("cluster", "at", F.col("id").alias("positive_id"))
+    return asked.repartition(parts, "cluster", "at").join(others.repartition(parts, "cluster", "at"), ["cluster", "at"]).select("cluster", "query_id", "positive_id")
+
+
+def _parts(rows: int) -> int:
+    """Tasks of a join or grouping that takes so many rows, so that none grows with them."""
+    return max(1, -(-rows // PER_TASK))
 
 
 def negatives(pairs: DataFrame, members: DataFrame, *, k: int = 3, seed: int = 42) -> DataFrame:
     """pairs with negatives array: k members of other clusters, each by a cluster draw that skips the own one, then a member
     draw; with replacement. Rows stay only if there is another cluster."""
+    pairs = written(pairs, "pairs")
+    parts = _parts(pairs.count() * k)
     numbered = scanned(members.select("cluster", "id"), ["cluster"], ["id"]).withColumn("at", F.col("at") - 1)
     clusters = scanned(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), [], ["cluster"], at="c").withColumn("c", F.col("c") - 1)
     total = F.broadcast(clusters.agg(F.count(F.lit(1)).alias("total")))  # one row
@@ -62,8 +76,9 @@ def negatives(pairs: DataFrame, members: DataFrame, *, k: int = 3, seed: int = 4
     slots = slots.withColumn("other", drawn + (drawn >= F.col("c")).cast("long")).withColumn("pick", draw(F.lit("m"), *key))
     far = clusters.select(F.col("c").alias("other"), F.col("cluster").alias("other_cluster"), "size")
     slots = slots.join(far, "other").withColumn("at", F.col("pick") % F.col("size"))
-    found = slots.join(numbered.select(F.col("cluster").alias("other_cluster"), "at", F.col("id").alias("negative_id")), ["other_cluster", "at"])
-    return found.groupBy("cluster", "query_id", "positive_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "negative_id"))), lambda x: x["negative_id"]).alias("negatives"))
+    others = numbered.select(F.col("cluster").alias("other_cluster"), "at", F.col("id").alias("negative_id"))
+    found = slots.repartition(parts, "other_cluster", "at").join(others.repartition(parts, "other_cluster", "at"), ["other_cluster", "at"])
+    return found.repartition(parts, "cluster", "query_id", "positive_id").groupBy("cluster", "query_id", "positive_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "negative_id"))), lambda x: x["negative_id"]).alias("negatives"))
 
 
 def permutation_dedup(rows: DataFrame, text: str) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sumforge.operators import ranges
+from sumforge.operators import dataset, ranges
 from sumforge.streaming import limits
 
 
@@ -87,3 +87,11 @@ def test_moving_average_across_ranges(spark):
         assert [r.step for r in got] == steps[:394]
         assert np.allclose([r["mean"] for r in got], [np.mean(values[k : k + 7]) for k in range(394)])
     assert limits.moving_average(series.limit(0), 7).count() == 0
+
+
+def test_tasks_of_pairs_follow_the_number_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(dataset, "PER_TASK", 100)
+    members = spark.range(60).select((F.col("id") % 2).alias("cluster"), "id")
+    pairs = dataset.ordered_pairs(members)
+    assert pairs.count() == 2 * 30 * 29 and pairs.rdd.getNumPartitions() == 18
+    assert dataset.negatives(pairs, members).rdd.getNumPartitions() == 53
