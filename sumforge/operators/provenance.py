@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -14,10 +16,22 @@ from pyspark.sql.types import StringType
 ITEMS = "items array<struct<question_id: long, answer_id: long, owner: struct<display_name: string, link: string>>>"
 
 
+def _plain(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text).split())
+
+
 @F.pandas_udf(StringType())
 def _compatible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()), na_action="ignore")
+        yield texts.map(_plain, na_action="ignore")
+
+
+def _digests(texts: pa.Array) -> pa.Array:
+    return pa.array((None if t is None else "sha256:" + hashlib.sha256(_plain(t).encode()).hexdigest() for t in (t.as_py() for t in texts)), pa.string())
+
+
+#: Beside its batch a worker holds one text at a time, and gives back digests alone.
+_digest = F.arrow_udf(_digests, StringType())
 
 
 def canonical(text: Column) -> Column:
@@ -27,7 +41,7 @@ def canonical(text: Column) -> Column:
 
 def checksum(text: Column) -> Column:
     """sha256:<hex> of the canonical text; null for a null or empty text."""
-    return F.when(F.length(text) > 0, F.concat(F.lit("sha256:"), F.sha2(canonical(text), 256)))
+    return F.when(F.length(text) > 0, _digest(text))
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:

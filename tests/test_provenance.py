@@ -58,3 +58,8 @@ def test_run_statistics_against_plain_python(spark):
             "run": name, "n_epochs": len(pairs), "final_train_loss": t, "final_val_loss": v, "final_lr": 0.1 / len(pairs), "best_val_loss": best, "best_epoch": [p[1] for p in pairs].index(best) + 1,
             "train_loss_improvement": (t0 - t) / t0 if t0 else None, "val_loss_improvement": (v0 - v) / v0, "val_train_gap": v - t, "overfit_ratio": v / t if t else None,
         }
+
+
+def test_workers_give_back_digests_and_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(provenance, "canonical", None)
+    assert spark.createDataFrame([("a  b",)], "t string").select(provenance.checksum(provenance.F.col("t"))).first()[0] == "sha256:" + hashlib.sha256(b"a b").hexdigest()
