@@ -14,6 +14,18 @@ def _alike(names):
     return names.join(least, "class")
 
 
+def _graph(nodes, names):
+    """A graph in which each class that names ask for is followed once, however many have it; and names."""
+    roots = names.select("class").distinct()
+    return S.graph(nodes, roots.select(F.col("class").alias("name"), "class")), names
+
+
+def _found(g, names):
+    """names with the classes that they have in g now."""
+    now = g.names().select(F.col("name").alias("root"), F.col("class").alias("now"))
+    return names.join(now, names["class"] == now["root"]).select("name", F.col("now").alias("class"))
+
+
 def congruence_closure(spark, d):
     """Orders as sums of lines, a line being a part with a flag; parts of one brand are equal. Which orders are then equal?"""
     parts = table(spark, d, "part").select("p_partkey", "p_brand")
@@ -31,11 +43,12 @@ def _saturated(spark, d, rules):
     """Each order as the sum of tax times discount, in hundredths, saturated by rules, with the least size and depth of its class."""
     hundredths = [F.round(F.col(c) * 100).cast("int").alias(n) for c, n in (("l_tax", "a"), ("l_discount", "b"))]
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *hundredths)
-    g = S.saturate(S.graph(*S.sums_of_products(lines, "l_orderkey", ["l_linenumber", "a", "b"], ("a", "b"))), rules)
+    g, names = _graph(*S.sums_of_products(lines, "l_orderkey", ["l_linenumber", "a", "b"], ("a", "b")))
+    g = S.saturate(g, rules)
     if g.stopped != "saturated":
         raise RuntimeError(f"stopped by {g.stopped} after {g.rounds} rounds")
     products = g.nodes.where("op = 'mul'").select("class").distinct().withColumn("product", F.lit(True))
-    rows = _alike(g.names()).join(products, "class", "left")
+    rows = _alike(_found(g, names)).join(products, "class", "left")
     costs = S.least_costs(g.nodes).groupBy("class").pivot("measure", list(S.MEASURES)).agg(F.max("cost"))
     rows = rows.join(costs, "class")
     return rows.select(F.col("name").alias("l_orderkey"), "same_as", F.coalesce("product", F.lit(False)).alias("product"), "size", "depth")
