@@ -33,10 +33,11 @@ def congruence_closure(spark, d):
     top = parts.agg(F.max("p_partkey")).first()[0] + 1
     flags = flags.select("l_returnflag", (F.ascii("l_returnflag") + top).alias("flag"))  # one letter
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"), "l_returnflag").join(F.broadcast(flags), "l_returnflag").drop("l_returnflag")
-    nodes, names = S.sums_of_products(lines, "l_orderkey", ["l_linenumber", "part", "flag"], ("part", "flag"))
     first = parts.groupBy("p_brand").agg(F.min("p_partkey").alias("v"))
-    g = S.graph(nodes, names, parts.join(first, "p_brand").select(F.col("p_partkey").alias("u"), "v"))
-    return _alike(g.names()).select(F.col("name").alias("l_orderkey"), "same_as")
+    equal = parts.join(first, "p_brand").select(F.col("p_partkey").alias("u"), "v")
+    nodes, names = S.sums_of_products(lines, "l_orderkey", ["l_linenumber", "part", "flag"], ("part", "flag"), equal)
+    g, names = _graph(nodes, names)
+    return _alike(_found(g, names)).select(F.col("name").alias("l_orderkey"), "same_as")
 
 
 def _saturated(spark, d, rules):
