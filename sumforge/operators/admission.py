@@ -8,8 +8,11 @@ falls out of that table is forgotten with its hits.
 What happens to a hit depends on all before it, but only through a state of bounded size: the admitted hits within the
 window, and of the clients those touched since the first of these was. So the log is cut into ranges of equal length.
 All are run at once from a guess, each from the end that the range before it reached in the last round; a range is run
-again only if what it began with has proved wrong. As old hits drop out of the window, wrong guesses are soon forgotten,
-and two or three rounds do for almost any log; in the worst case there are as many as ranges, and the result is the same.
+again only if what it began with has proved wrong. As old hits drop out of the window, wrong guesses are often forgotten
+soon, and two or three rounds do. Where hits are so many that the gate is busy nearly all the time, it never forgets when
+it began; so when a round leaves more than half of what the round before it left, the ranges are run one after the other,
+each once, from ends that are final. All rounds together thus run no more than four times the ranges, and the outcomes are
+one more.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections import OrderedDict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +31,8 @@ from sumforge.operators.ranges import scanned
 from sumforge.operators.work import written
 
 ADMITTED, BUSY, CLIENT = "admitted", "busy", "client"
-#: Hits in a range.
-RANGE = 50_000
+#: Hits in a range: the least, and the most, which bounds what a task holds; in between, a log has RANGES ranges.
+RANGE, LONGEST, RANGES = 50_000, 500_000, 64
 
 
 @dataclass
@@ -74,6 +78,21 @@ class Gate:
         self.overall.append(now)
         return ADMITTED
 
+    def run(self, clients: np.ndarray, times: np.ndarray) -> list[str]:
+        """decide() of hits in the order of time; hits that can only be "busy" are passed over at once."""
+        out, k, micros = [BUSY] * len(times), 0, self.limits.micros
+        at = times.tolist()
+        while k < len(at):
+            outcome = self.decide(clients[k], at[k])
+            if outcome != BUSY:
+                out[k] = outcome
+                k += 1
+            elif not self.overall:  # no hit is ever let in
+                break
+            else:
+                k = int(np.searchsorted(times, self.overall[0] + micros, "right"))
+        return out
+
     def state(self, now: int) -> tuple:
         """All that can still matter at now or later: equal states decide alike from then on."""
         self._trim(self.overall, now)
@@ -89,14 +108,16 @@ class Gate:
         return cls(limits, deque(overall), OrderedDict((c, deque(own)) for c, own in known))
 
 
-def admitted(events: DataFrame, limits: Limits = Limits(), *, id_col: str = "event_id", client_col: str = "user_id", time_col: str = "ts", size: int = RANGE) -> DataFrame:  # noqa: B008
+def admitted(events: DataFrame, limits: Limits = Limits(), *, id_col: str = "event_id", client_col: str = "user_id", time_col: str = "ts", size: int | None = None) -> DataFrame:  # noqa: B008
     """(id, client, outcome) of each event: in the order of time, then id. Events without a time come first, all at one moment long ago.
 
-    A task runs one range of size events. To the driver comes of each range the state that it ends with, which holds as
+    A task runs one range of size events (None: as many as suit the log). To the driver comes of each range the state that it ends with, which holds as
     many hits as all clients may have and as many clients as are known at once, at most. A null client is one like any other.
     """
     moment = F.coalesce(F.unix_micros(F.col(time_col).cast("timestamp")), F.lit(-(2**60)))
     rows = events.select(F.col(id_col).alias("id"), F.col(client_col).alias("client"), moment.alias("at"))
+    if size is None:
+        size = min(LONGEST, max(RANGE, events.count() // RANGES))
     rows = scanned(rows, [], ["at", "id"], at="n").withColumn("range", F.floor((F.col("n") - 1) / size).cast("long"))
     rows = written(rows, "hits")
     starts: dict[int, tuple] = {}
@@ -107,38 +128,38 @@ def admitted(events: DataFrame, limits: Limits = Limits(), *, id_col: str = "eve
         def ends(pdf: pd.DataFrame) -> pd.DataFrame:
             here = int(pdf["range"].iloc[0])
             gate = Gate.of(gates, begin.get(here, ()))
-            for client, at in _hits(pdf):
-                gate.decide(client, at)
+            gate.run(*_hits(pdf))
             overall, known = gate.state(firsts.get(here + 1, 2**62))
             return pd.DataFrame({"range": [here], "overall": [list(overall)], "clients": [[c for c, _ in known]], "times": [[list(own) for _, own in known]]})
 
         return ends
 
-    todo, schema = rows, f"range long, overall array<long>, clients array<{limited}>, times array<array<long>>"
-    while firsts:
-        found = todo.groupBy("range").applyInPandas(run(dict(starts)), schema).collect()
-        wrong = []
+    schema = f"range long, overall array<long>, clients array<{limited}>, times array<array<long>>"
+    todo, wrong, left = sorted(firsts), set(), 2 * len(firsts)
+    while todo:
+        some = rows if len(todo) == len(firsts) else rows.where(F.col("range").isin(todo))
+        found = some.groupBy("range").applyInPandas(run(dict(starts)), schema).collect()
+        wrong -= {*todo}
         for r in found:
             after, state = r["range"] + 1, (tuple(r["overall"]), tuple((c, tuple(own)) for c, own in zip(r["clients"], r["times"], strict=True)))
             if after in firsts and starts.get(after, ((), ())) != state:
                 starts[after] = state
-                wrong.append((after,))
-        if not wrong:
-            break
-        todo = rows.join(F.broadcast(events.sparkSession.createDataFrame(wrong, "range long")), "range", "left_semi")
+                wrong.add(after)
+        left = len(wrong) if 2 * len(wrong) <= left else 0  # 0: one after the other from now on
+        todo = sorted(wrong) if left else sorted(wrong)[:1]
 
     def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
         gate = Gate.of(gates, starts.get(int(pdf["range"].iloc[0]), ()))
         pdf = pdf.sort_values("n")
-        return pd.DataFrame({"id": pdf["id"], "client": pdf["client"], "outcome": [gate.decide(c, t) for c, t in _hits(pdf)]})
+        return pd.DataFrame({"id": pdf["id"], "client": pdf["client"], "outcome": gate.run(*_hits(pdf))})
 
     done = rows.groupBy("range").applyInPandas(outcomes, f"id {rows.schema['id'].dataType.simpleString()}, client {limited}, outcome string")
     return done.withColumnsRenamed({"id": id_col, "client": client_col})
 
 
-def _hits(pdf: pd.DataFrame) -> Iterator[tuple]:
+def _hits(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     pdf = pdf.sort_values("n")
-    return zip(pdf["client"].astype(object).where(pdf["client"].notna(), None), pdf["at"], strict=True)
+    return pdf["client"].astype(object).where(pdf["client"].notna(), None).to_numpy(), pdf["at"].to_numpy()
 
 
 def admitted_stream(events: DataFrame, limits: Limits = Limits(), *, id_col: str = "event_id", client_col: str = "user_id", time_col: str = "ts", delay: str = "1 minute") -> DataFrame:  # noqa: B008

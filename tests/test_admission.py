@@ -44,6 +44,18 @@ def test_against_one_hit_after_the_other(spark, limits, clients, size):
     assert limits == Limits() or len(set(got.values())) > 1
 
 
+def test_crowded_log_runs_each_range_a_few_times(spark, monkeypatch):
+    """Twenty hits at each moment and room for eleven: where the gate was busy first matters to the end."""
+    limits, rng, ran = Limits(60, 3, 11, 9), random.Random(3), []
+    rows = [(k, rng.randrange(15), k // 20 + (k % 7 == 0)) for k in range(6000)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s long").selectExpr("event_id", "user_id", "timestamp_seconds(s) AS ts")
+    collect = type(events).collect
+    monkeypatch.setattr(type(events), "collect", lambda df: [ran.append(r) or r for r in collect(df)] if "overall" in df.columns else collect(df))
+    done = admission.admitted(events, limits, size=200)
+    assert len(ran) <= 4 * 30
+    assert {r.event_id: r.outcome for r in collect(done)} == plain(rows, limits)
+
+
 def test_nulls_and_nothing(spark):
     events = spark.createDataFrame([(1, None, None), (2, None, None), (3, 5, None)], "event_id long, user_id long, ts timestamp")
     got = {r.event_id: (r.user_id, r.outcome) for r in admission.admitted(events, Limits(60, 1, 9, 9)).collect()}
