@@ -68,6 +68,24 @@ def test_substring_dedup(documents, monkeypatch, hot, very):
         assert (rows[d].n_words, rows[d].n_removed, rows[d].kept_sha256) == (len(words[d]), sum(gone), hashlib.sha256(kept).hexdigest()), d
 
 
+@pytest.mark.parametrize("hot", [4096, 20])
+def test_a_key_many_times_in_a_text(documents, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    tables = {}
+    monkeypatch.setattr(repeats, "written", lambda df, name, put=repeats.written: tables.setdefault(name, put(df, name)))
+    texts = ["a b " * n + f"end {n} " + "a b " * 40 for n in range(200, 230)] + ["c d " * 300]
+    words = [t.encode().split() for t in texts]
+    rows = {r.doc_id: r for r in repeats.removed(documents(texts), suffix_dedup.WORDS, suffix_dedup._nothing, id_col="doc_id", text_col="text").collect()}
+    for d, gone in enumerate(brute(words, 50, True)):
+        assert rows[d].n_removed == sum(gone), d
+    keys = [(r.k, r.key) for r in tables["suffix-words-keys"].collect()]
+    kind = suffix_dedup.WORDS
+    grams = [repeats.gram_hashes(kind.parse(t)[1], kind.gram) for t in texts]
+    at = [g[repeats.anchors(g, kind.window - kind.gram + 1)[0]].view(np.int64).tolist() for g in grams]
+    assert sorted(keys) == sorted((d, key) for d, own in enumerate(at) for key in set(own))
+    assert {r.key: r.n for r in tables["suffix-words-shared"].collect()}.items() >= {key: n for own in at for key in own if (n := sum(x.count(key) for x in at)) > 1}.items()
+
+
 def test_empty_tables(documents):
     assert suffix_dedup.dedup(documents([])).collect() == []
     assert substring_dedup.dedup(documents([])).collect() == []
