@@ -14,10 +14,10 @@ def _alike(names):
     return names.join(least, "class")
 
 
-def _graph(nodes, names):
+def _graph(nodes, names, **how):
     """A graph in which each class that names ask for is followed once, however many have it; and names."""
     roots = names.select("class").distinct()
-    return S.graph(nodes, roots.select(F.col("class").alias("name"), "class")), names
+    return S.graph(nodes, roots.select(F.col("class").alias("name"), "class"), **how), names
 
 
 def _found(g, names):
@@ -41,10 +41,10 @@ def congruence_closure(spark, d):
 
 
 def _saturated(spark, d, rules):
-    """Each order as the sum of tax times discount, in hundredths, saturated by rules, with the least size and depth of its class."""
+    """Each order as the sum of tax times discount, in hundredths, saturated by rules, with the least size and depth of its class; sums and products commute."""
     hundredths = [F.round(F.col(c) * 100).cast("int").alias(n) for c, n in (("l_tax", "a"), ("l_discount", "b"))]
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *hundredths)
-    g, names = _graph(*S.sums_of_products(lines, "l_orderkey", ["l_linenumber", "a", "b"], ("a", "b")))
+    g, names = _graph(*S.sums_of_products(lines, "l_orderkey", ["l_linenumber", "a", "b"], ("a", "b"), commute=True), commutes=("add", "mul"), apart=True)
     g = S.saturate(g, rules)
     if g.stopped != "saturated":
         raise RuntimeError(f"stopped by {g.stopped} after {g.rounds} rounds")
@@ -57,12 +57,12 @@ def _saturated(spark, d, rules):
 
 def saturation_factored(spark, d):
     """a + b = b + a, a b = b a, a b + a c = a (b + c): which orders are equal, which are products, and how short they get."""
-    return _saturated(spark, d, S.COMMUTE + S.FACTOR)
+    return _saturated(spark, d, S.FACTOR)
 
 
 def saturation_zeros(spark, d):
     """a + b = b + a, a b = b a, a + 0 = a, a 0 = 0."""
-    return _saturated(spark, d, S.COMMUTE + S.ZERO)
+    return _saturated(spark, d, S.ZERO)
 
 
 QUERIES = {f.__name__: f for f in (congruence_closure, saturation_factored, saturation_zeros)}
